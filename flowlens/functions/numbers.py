@@ -19,9 +19,10 @@ def clean_uint(text: Column, limit: int = 2**63 - 1) -> Column:
         return F.when(text.rlike(WHOLE_NUMBER), F.least(number, top)).otherwise(
             F.lit(0).cast("decimal(20,0)")
         )
-    top = F.lit(limit).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    number = F.least(F.greatest(text.try_cast("bigint"), zero), top)
-    return F.when(number.isNotNull() & text.isNotNull(), number).when(
-        text.rlike(WHOLE_NUMBER), top
-    ).otherwise(zero)
+    top, zero = F.lit(limit).cast("bigint"), F.lit(0).cast("bigint")
+    number = text.try_cast("bigint")
+    return (
+        F.when(number.isNotNull(), F.least(F.greatest(number, zero), top))
+        .when(text.rlike(WHOLE_NUMBER), top)
+        .otherwise(zero)
+    )

@@ -132,9 +132,7 @@ SELECT CASE WHEN elapsed_time % 13 = 12 THEN concat('Jan 1 00:00:00 ', device_na
 FROM {{flows}} WHERE log_source = 'flows_pan'
 """
 
-URL_LINES = f"""
-SELECT CASE WHEN session_id % 17 = 16 THEN 'Jan 1 00:00:00 cut'
-  ELSE concat({_HEADER.format(host="device_name")}, {_csv_line({
+URL_FIELDS = {
     1: _SLASH_TIME,
     2: "'S01'",
     3: "CASE WHEN session_id % 13 = 12 THEN 'TRAFFIC' ELSE 'THREAT' END",
@@ -164,11 +162,24 @@ SELECT CASE WHEN session_id % 17 = 16 THEN 'Jan 1 00:00:00 cut'
     62: "lower(http_method)",
     74: """'"a,b"'""",
     75: "'uuid-2'",
-    105: "replace(substr(CAST(ts AS VARCHAR(30)),1,19),' ','T')",
-}, 107)}) END AS line
+    105: "concat(replace(substr(CAST(ts AS VARCHAR(30)),1,19),' ','T'), '.250', CASE session_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+03:00' ELSE '' END)",
+}
+URL_LAST_FIELD = 107
+URL_LINES = f"""
+SELECT CASE WHEN session_id % 17 = 16 THEN 'Jan 1 00:00:00 cut'
+  ELSE concat({_HEADER.format(host="device_name")}, {_csv_line(URL_FIELDS, URL_LAST_FIELD)}) END AS line
 FROM {{urls}}
 """
 
+# URLs with the forms that decomposing has to tell apart.
+URL_FORMS = """
+SELECT ts, session_id, url AS plain_url, url_domain AS plain_domain,
+  CASE session_id % 8 WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 2 THEN regexp_replace(url, '^([a-z]+://[^/?#]+)', concat('https://', url_domain, ':8080'))
+    WHEN 3 THEN replace(url, '://', '://me@') WHEN 4 THEN concat(url, '&b=&c=1&c=2') WHEN 5 THEN concat(url, repeat('x', 2100))
+    WHEN 6 THEN concat('ftp://10.1.', CAST(session_id % 250 AS VARCHAR(20)), '.7:2121/a//b;v=1?q=%20a&q=2') WHEN 7 THEN 'http://a1b2c3d4e5.tk:bad/' ELSE url END AS url
+FROM {urls}
+"""
+
 # Every order stands for a tracked log file, every line item for a rotated piece of one.
 INGEST_FILES = """
 SELECT concat('/var/log/fw-', CAST(o_orderkey AS VARCHAR(20)), '.log') AS path,
@@ -244,6 +255,10 @@ def url_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, URL_LINES, urls=urls(spark, sf_dir))
 
 
+def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, URL_FORMS, urls=urls(spark, sf_dir))
+
+
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, INGEST_FILES)
 

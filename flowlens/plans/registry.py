@@ -42,9 +42,9 @@ def _plain(sql: str, **views: str) -> str:
 FLOWS_CTE = f"flows AS ({_plain(fx.FLOWS)})"
 URLS_CTE = f"urls AS ({_plain(fx.URLS)})"
 _LINE_CTES = {
-    "kv_lines": (FLOWS_CTE, fx.KV_LINES),
-    "traffic_lines": (FLOWS_CTE, fx.TRAFFIC_LINES),
-    "url_lines": (URLS_CTE, fx.URL_LINES),
+    "kv_lines": (FLOWS_CTE, fx.KV_LINES, "flows"),
+    "traffic_lines": (FLOWS_CTE, fx.TRAFFIC_LINES, "flows"),
+    "url_lines": (URLS_CTE, fx.URL_LINES, "urls"),
 }
 FILES_CTE = f"files AS ({_plain(fx.TRACKED_FILES)}), progress AS ({_plain(fx.INGEST_FILES)})"
 RECORDS_CTE = f"records AS ({_plain(fx.INGEST_RECORDS)})"
@@ -62,23 +62,30 @@ SELECT ts AS timestamp, concat(device_name, ' ', src_ip, ' ', dst_ip) AS raw_mes
 FROM flows)"""
 
 
+def _with(ctes: str, sql: str) -> str:
+    """SQL after a WITH list; text that starts with a comma adds to the list."""
+    sql = sql.strip()
+    return f"WITH {ctes}{sql}" if sql.startswith(",") else f"WITH {ctes} {sql}"
+
+
 def on_flows(sql: str) -> str:
-    return f"WITH {FLOWS_CTE} {sql}"
+    return _with(FLOWS_CTE, sql)
 
 
 def on_urls(sql: str) -> str:
-    return f"WITH {URLS_CTE} {sql}"
+    return _with(URLS_CTE, sql)
 
 
 def on_unified(sql: str) -> str:
-    return f"WITH {FLOWS_CTE}, {UNIFIED_CTE} {sql}"
+    return _with(f"{FLOWS_CTE}, {UNIFIED_CTE}", sql)
 
 
 def on_lines(name: str, sql: str) -> str:
-    """SQL over rendered lines as well as the rows they were rendered from."""
-    base, lines = _LINE_CTES[name]
-    return f"WITH {base}, {name} AS ({_plain(lines, flows='flows', urls='urls')}) {sql}"
+    """SQL over rendered lines, each beside the row it was rendered from."""
+    base, lines, rows = _LINE_CTES[name]
+    beside = _plain(lines, flows="flows", urls="urls").replace("AS line", f"AS line, {rows}.*")
+    return _with(f"{base}, {name} AS ({beside})", sql)
 
 
 def on_files(sql: str) -> str:
-    return f"WITH {FILES_CTE}, {RECORDS_CTE} {sql}"
+    return _with(f"{FILES_CTE}, {RECORDS_CTE}", sql)

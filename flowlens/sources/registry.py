@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The keys of a registry document.
-FILE_INFO = T.StructType.fromDDL(
-    "filepath STRING, size BIGINT, last_modified DOUBLE, last_processed_position BIGINT,"
-    " last_processed_time DOUBLE, rotated_files ARRAY<STRING>, total_lines_processed BIGINT,"
-    " total_bytes_processed BIGINT, clickhouse_verified BOOLEAN"
+FILE_INFO = (
+    "filepath: STRING, size: BIGINT, last_modified: DOUBLE, last_processed_position: BIGINT,"
+    " last_processed_time: DOUBLE, rotated_files: ARRAY<STRING>, total_lines_processed: BIGINT,"
+    " total_bytes_processed: BIGINT, clickhouse_verified: BOOLEAN"
 )
-RECORD = T.StructType.fromDDL(
-    "original_file STRING, rotated_file STRING, start_position BIGINT, end_position BIGINT,"
-    " lines_processed BIGINT, bytes_processed BIGINT, processing_start_time DOUBLE,"
-    " processing_end_time DOUBLE, clickhouse_verification_time DOUBLE, safe_to_delete BOOLEAN"
+RECORD = (
+    "original_file: STRING, rotated_file: STRING, start_position: BIGINT, end_position: BIGINT,"
+    " lines_processed: BIGINT, bytes_processed: BIGINT, processing_start_time: DOUBLE,"
+    " processing_end_time: DOUBLE, clickhouse_verification_time: DOUBLE, safe_to_delete: BOOLEAN"
 )
-REGISTRY = T.StructType(
-    [
-        T.StructField("file_info", T.MapType(T.StringType(), FILE_INFO)),
-        T.StructField("processed_records", T.ArrayType(RECORD)),
-        T.StructField("last_updated", T.DoubleType()),
-    ]
+REGISTRY = (
+    f"file_info MAP<STRING, STRUCT<{FILE_INFO}>>, processed_records ARRAY<STRUCT<{RECORD}>>,"
+    " last_updated DOUBLE"
 )
 
 

@@ -97,7 +97,7 @@ def _as_text(df: DataFrame) -> list[Column]:
 def export_csv(df: DataFrame, path: str) -> None:
     """Header, every value quoted, quotes doubled."""
     df.select(*_as_text(df)).write.mode("overwrite").options(
-        header="true", quoteAll="true", escape='"', emptyValue=""
+        header="true", quoteAll="true", escape='"'
     ).csv(path)
 
 
