@@ -11,18 +11,11 @@ WHOLE_NUMBER = r"^\s*\+?[0-9]+\s*$"
 def clean_uint(text: Column, limit: int = 2**63 - 1) -> Column:
     """Whole number in 0..limit: text, fractions and negatives give 0, larger values the limit.
 
-    The pattern is only looked at where the cast failed, which is rare.
+    Up to 18 characters cannot overflow, so a failed cast means 0 there; only longer text, which
+    is rare, has to match the pattern.
     """
-    if limit > 2**63 - 1:
-        top = F.lit(str(limit)).cast("decimal(20,0)")
-        number = F.coalesce(text.try_cast("decimal(20,0)"), top)
-        return F.when(text.rlike(WHOLE_NUMBER), F.least(number, top)).otherwise(
-            F.lit(0).cast("decimal(20,0)")
-        )
-    top, zero = F.lit(limit).cast("bigint"), F.lit(0).cast("bigint")
-    number = text.try_cast("bigint")
-    return (
-        F.when(number.isNotNull(), F.least(F.greatest(number, zero), top))
-        .when(text.rlike(WHOLE_NUMBER), top)
-        .otherwise(zero)
-    )
+    kind = "bigint" if limit < 2**63 else "decimal(20,0)"
+    top, zero = F.lit(str(limit)).cast(kind), F.lit(0).cast(kind)
+    short = F.least(F.greatest(text.try_cast("bigint").cast(kind), zero), top)
+    long = F.when(text.rlike(WHOLE_NUMBER), F.least(F.coalesce(text.try_cast(kind), top), top))
+    return F.when(F.length(text) > 18, F.coalesce(long, zero)).otherwise(short)

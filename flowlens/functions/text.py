@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as one key=value pair of a line.
-KV_PAIR = r'(\w+)=(".*?"|\S+)'
+# What counts as one key=value pair of a line. A key starts at a word boundary and never gives
+# characters back, which spares the pattern its backtracking.
+KV_PAIR = r'\b(\w++)=("[^"]*"|\S+)'
 
 WHITESPACE = " \t\r\n\x0b\x0c"
 
 # A field of a quoted line after its comma. A quote opens at the start of a field only and closes
 # before a comma or the end only; one that follows a comma inside the field never closes.
 _QUOTED = r'"(?:[^"]++|(?<=,)"|"(?!,|\z))*+(?:"|\z)'
-QUOTED_FIELD = rf",({_QUOTED}|[^,]*)"
+_FIELD = rf"(?:{_QUOTED}|[^,]*+)"
+QUOTED_FIELD = rf",({_FIELD})"
+TYPE_FIELDS = rf"^{_FIELD},{_FIELD},{_FIELD},({_FIELD}),({_FIELD})(?:,|\z)"
 # The pattern recurses once per quote inside a field; beyond this many the fold below takes over.
 MAX_PATTERN_QUOTES = 500
 
@@ -54,61 +57,69 @@ def split_plain(payload: Column) -> Column:
     return F.split(payload, ",")
 
 
-def split_quoted(payload: Column) -> Column:
-    """Fields of a comma-separated line in which quoted fields may hold commas.
+def raw_fields(payload: Column) -> Column:
+    """Fields of a comma-separated line in which quoted fields may hold commas, as they stand.
 
-    Fields come back stripped; an empty last field is dropped.
+    `clean_field` takes the quotes off, so that only the fields in use are cleaned.
     """
     quotes = F.length(payload) - F.length(F.replace(payload, F.lit('"'), F.lit("")))
-    fields = (
+    return (
         F.when(quotes == 0, F.split(payload, ","))
-        .when(quotes <= MAX_PATTERN_QUOTES, _by_pattern(payload))
+        .when(
+            quotes <= MAX_PATTERN_QUOTES,
+            F.regexp_extract_all(F.concat(F.lit(","), payload), F.lit(QUOTED_FIELD), F.lit(1)),
+        )
         .otherwise(_by_fold(payload))
     )
-    fields = F.when(F.element_at(fields, -1) == "", F.slice(fields, 1, F.size(fields) - 1)).otherwise(
-        fields
-    )
-    return F.transform(fields, strip)
 
 
-def _by_pattern(payload: Column) -> Column:
-    def unquote(field: Column) -> Column:
-        inner = F.regexp_replace(F.substring(field, 2, 2**31 - 1), r'(?<=,)"', "")
-        closed = field.endswith('"') & ~field.endswith(',"') & (F.length(field) > 1)
-        return F.when(
-            field.startswith('"'),
-            F.when(closed, inner.substr(F.lit(1), F.length(inner) - 1)).otherwise(inner),
-        ).otherwise(field)
+def clean_field(raw: Column) -> Column:
+    """A raw field stripped, without the quotes that open and close it. Inside a quoted field, a
+    quote after a comma is dropped, too."""
+    inner = F.regexp_replace(F.substring(raw, 2, 2**31 - 1), r'(?<=,)"', "")
+    closed = raw.endswith('"') & ~raw.endswith(',"') & (F.length(raw) > 1)
+    unquoted = F.when(closed, inner.substr(F.lit(1), F.length(inner) - 1)).otherwise(inner)
+    return strip(F.when(raw.startswith('"'), unquoted).otherwise(raw))
+
+
+def split_quoted(payload: Column) -> Column:
+    """All fields, cleaned; an empty last field is dropped."""
+    raw = raw_fields(payload)
+    last = F.element_at(raw, -1)
+    kept = F.when(last.isin("", '""', '"'), F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
+    return F.transform(kept, clean_field)
+
 
-    raw = F.regexp_extract_all(F.concat(F.lit(","), payload), F.lit(QUOTED_FIELD), F.lit(1))
-    return F.transform(raw, unquote)
+def type_fields(payload: Column) -> tuple[Column, Column]:
+    """Fields 3 and 4 alone, without splitting the rest of the line; empty below five fields."""
+    return tuple(clean_field(F.regexp_extract(payload, TYPE_FIELDS, n)) for n in (1, 2))
 
 
 def _by_fold(payload: Column) -> Column:
-    """The same rule as a fold over the pieces between commas."""
+    """The raw fields as a fold over the pieces between commas."""
     start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(False).alias("inq")
+        F.array().cast("array<string>").alias("done"),
+        F.lit("").alias("open"),
+        F.lit(False).alias("quoted"),
     )
 
     def step(state: Column, piece: Column) -> Column:
         opens = piece.startswith('"')
-        inq = state["inq"] | opens
-        closes = inq & piece.endswith('"') & (F.length(piece) > 1)
-        body = F.when(opens, F.substring(piece, 2, 2**31 - 1)).otherwise(piece)
-        body = F.when(closes, body.substr(F.lit(1), F.length(body) - 1)).otherwise(body)
-        text = F.concat(state["open"], body)
-        goes_on = inq & ~closes
+        quoted = state["quoted"] | opens
+        # a lone quote is the opening one, or stands after a comma; neither closes
+        goes_on = quoted & ~(piece.endswith('"') & (F.length(piece) > 1))
+        text = F.concat(state["open"], piece)
         return F.struct(
             F.when(goes_on, state["done"])
             .otherwise(F.concat(state["done"], F.array(text)))
             .alias("done"),
             F.when(goes_on, F.concat(text, F.lit(","))).otherwise("").alias("open"),
-            goes_on.alias("inq"),
+            goes_on.alias("quoted"),
         )
 
     def finish(state: Column) -> Column:
         rest = state["open"].substr(F.lit(1), F.length(state["open"]) - 1)
-        return F.when(state["inq"], F.concat(state["done"], F.array(rest))).otherwise(state["done"])
+        return F.when(state["quoted"], F.concat(state["done"], F.array(rest))).otherwise(state["done"])
 
     return F.aggregate(F.split(payload, ","), start, step, finish)
 

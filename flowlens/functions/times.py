@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HALF_YEAR_DAYS = 183
@@ -27,13 +27,14 @@ def slash_time(text: Column) -> Column:
     return parse_time(F.trim(text), "yyyy/M/d H:m:s")
 
 
-def header_time(parts: Column, near: Column, as_of: Column) -> Column:
-    """Time of a syslog header, which has no year.
+def with_header_time(df: DataFrame, name: str, parts: str, near: str, as_of: Column) -> DataFrame:
+    """Add the time of a syslog header, which has no year; NULL when it is no time.
 
     With a full timestamp from the line (`near`), the year is the one that comes closest to it;
     without, the latest year that does not lie more than a day after `as_of`.
     """
-    reference = F.coalesce(near, as_of)
+    same, full = F.col("_same_year"), F.col(near)
+    reference = F.coalesce(full, as_of)
 
     def in_year(shift: int) -> Column:
         text = F.concat_ws(
@@ -41,14 +42,13 @@ def header_time(parts: Column, near: Column, as_of: Column) -> Column:
         )
         return parse_time(text, "yyyy MMM d H:m:s")
 
-    same = in_year(0)
     days = F.datediff(same, reference)
-    return (
-        F.when(near.isNull() & (same > as_of + F.expr("INTERVAL 1 DAY")), in_year(-1))
-        .when(near.isNotNull() & (days > HALF_YEAR_DAYS), in_year(-1))
-        .when(near.isNotNull() & (days < -HALF_YEAR_DAYS), in_year(1))
-        .otherwise(same)
+    late = F.when(full.isNull(), same > as_of + F.expr("INTERVAL 1 DAY")).otherwise(
+        days > HALF_YEAR_DAYS
     )
+    early = full.isNotNull() & (days < -HALF_YEAR_DAYS)
+    chosen = F.when(late, in_year(-1)).when(early, in_year(1)).otherwise(same)
+    return df.withColumn("_same_year", in_year(0)).withColumn(name, chosen).drop("_same_year")
 
 
 def hires_time(text: Column) -> Column:
@@ -64,7 +64,7 @@ def epoch_micros(text: Column) -> Column:
     return F.timestamp_micros(text.try_cast("bigint"))
 
 
-def with_time_columns(df, ts: str = "timestamp"):
+def with_time_columns(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Derived date, hour, clock text and month of the event time."""
     return df.withColumns(
         {

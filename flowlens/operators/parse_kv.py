@@ -49,22 +49,31 @@ def parse_kv_typed(df: DataFrame, as_of, line: str = "line") -> DataFrame:
     Adds `srcip_raw` and `dstip_raw` as they stood in the line: rows are judged by those, and an
     IPv6 address survives there.
     """
-    kv = F.col("kv")
+    kv, keep = F.col("kv"), [c for c in df.columns if c != line]
+    names = {n: n for n in KV_COLUMNS if n not in ("timestamp", "raw_message")} | KV_EXTRA
+    keys = names | {"_date": "date", "_time": "time"}
+    # one look-up per key, in columns of their own; the typed columns use them several times
+    found = parse_kv(df, line).select(
+        *keep,
+        F.col(line).alias("raw_message"),
+        *[F.try_element_at(kv, F.lit(key)).alias(f"_f_{name}") for name, key in keys.items()],
+    )
 
     def column(name: str, kind: str) -> Column:
-        value = F.try_element_at(kv, F.lit(name))
-        if name == "timestamp":
-            return F.coalesce(times.kv_time(kv["date"], kv["time"]), times.moment(as_of))
-        if name == "raw_message":
-            return F.col(line)
+        value = F.col(f"_f_{name}")
         if kind == "ip":
             return net.clean_ipv4(value)
         if KINDS[kind].limit is not None:
             return numbers.clean_uint(value, KINDS[kind].limit).cast(KINDS[kind].type)
         return F.coalesce(value, F.lit(""))
 
-    typed = {name: column(name, kind) for name, kind in KV_COLUMNS.items()}
-    typed |= {out: F.coalesce(kv[key], F.lit("")) for out, key in KV_EXTRA.items()}
-    typed |= {"srcip_raw": kv["srcip"], "dstip_raw": kv["dstip"]}
-    keep = [c for c in df.columns if c != line]
-    return parse_kv(df, line).select(*keep, *[value.alias(name) for name, value in typed.items()])
+    time = times.kv_time(F.col("_f__date"), F.col("_f__time"))
+    typed = {name: column(name, KV_COLUMNS.get(name, "str")) for name in names}
+    typed = {
+        "timestamp": F.coalesce(time, times.moment(as_of)),
+        "raw_message": F.col("raw_message"),
+        **typed,
+        "srcip_raw": F.col("_f_srcip"),
+        "dstip_raw": F.col("_f_dstip"),
+    }
+    return found.select(*keep, *[value.alias(name) for name, value in typed.items()])

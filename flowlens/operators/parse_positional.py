@@ -26,58 +26,80 @@ def split_header(df: DataFrame, line: str = "line") -> DataFrame:
     return with_header.withColumn("payload", F.get("header", 4))
 
 
-def traffic_outcome(fields: Column) -> Column:
-    """parsed for TRAFFIC lines, skipped for other types, error for lines too short to tell."""
-    kind = F.get(fields, 3)
+def traffic_outcome(payload: Column) -> Column:
+    """parsed for TRAFFIC lines, skipped for other types, error for lines too short to tell.
+
+    Only the first fields are split off, since Catalyst evaluates a filter on this a second time
+    below the split of the whole line.
+    """
+    kind = F.get(F.split(payload, ",", 5), 3)
     return F.when(kind == "TRAFFIC", PARSED).when(kind.isNotNull(), SKIPPED).otherwise(ERROR)
 
 
-def url_outcome(fields: Column) -> Column:
+def url_outcome(payload: Column) -> Column:
     """parsed for THREAT lines of subtype url, in any case; error only without a header."""
-    is_url = (F.upper(F.get(fields, 3)) == "THREAT") & (F.lower(F.get(fields, 4)) == "url")
-    return F.when(fields.isNull(), ERROR).when(F.coalesce(is_url, F.lit(False)), PARSED).otherwise(
-        SKIPPED
-    )
+    kind, subtype = text.type_fields(payload)
+    is_url = (F.upper(kind) == "THREAT") & (F.lower(subtype) == "url")
+    return F.when(payload.isNull(), ERROR).when(is_url, PARSED).otherwise(SKIPPED)
 
 
 def with_traffic_fields(df: DataFrame, line: str = "line") -> DataFrame:
     """Add `header`, `fields` and `outcome`."""
-    split = split_header(df, line).withColumn("fields", text.split_plain(F.col("payload")))
-    return split.withColumn("outcome", traffic_outcome(F.col("fields"))).drop("payload")
+    split = split_header(df, line)
+    return split.withColumns(
+        {"fields": text.split_plain(F.col("payload")), "outcome": traffic_outcome(F.col("payload"))}
+    ).drop("payload")
 
 
 def with_url_fields(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add `header`, `fields` and `outcome`."""
-    split = split_header(df, line).withColumn("fields", text.split_quoted(F.col("payload")))
-    return split.withColumn("outcome", url_outcome(F.col("fields"))).drop("payload")
+    """Add `header`, `fields` (raw, quotes on) and `outcome`."""
+    split = split_header(df, line)
+    return split.withColumns(
+        {"fields": text.raw_fields(F.col("payload")), "outcome": url_outcome(F.col("payload"))}
+    ).drop("payload")
 
 
-def _by_name(positions: list[tuple[int, str]]) -> dict[str, Column]:
-    """Text of each named field; of several positions the last that is not blank, NULL if none is."""
+def _named(df: DataFrame, line: str, positions: list[tuple[int, str]], clean) -> DataFrame:
+    """One text column `_f_<name>` per named field, beside `header`, the line and the rest.
+
+    Of several positions the last that is not blank counts; NULL if none is. A column of its own
+    keeps later uses from taking the field out of the array again.
+    """
     found: dict[str, list[Column]] = {}
     for index, name in positions:
-        value = text.not_blank(F.trim(F.get("fields", index)))
+        value = text.not_blank(clean(F.get("fields", index)))
         found.setdefault(name, []).insert(0, value)
-    return {name: F.coalesce(*values) for name, values in found.items()}
+    keep = [c for c in df.columns if c not in ("fields", "outcome")]
+    return df.select(*keep, *[F.coalesce(*v).alias(f"_f_{n}") for n, v in found.items()])
 
 
-def _typed(value: Column | None, kind: str, timestamp: Column, now: Column) -> Column:
-    """A field by its kind, with the default of the kind where it is blank."""
+def _field(name: str) -> Column:
+    return F.col(f"_f_{name}")
+
+
+def _typed(df: DataFrame, name: str, kind: str, timestamp: Column, now: Column) -> Column:
+    """A field by its kind, with the default of the kind where it is blank or not given."""
+    given = f"_f_{name}" in df.columns
+    value = _field(name) if given else None
     if kind == "ts":
         # not given: now; given but not readable: the time of the line
-        return now if value is None else F.when(value.isNull(), now).otherwise(
+        return F.when(value.isNull(), now).otherwise(
             F.coalesce(times.slash_time(value), timestamp)
-        )
+        ) if given else now
     if kind == "ip":
-        return F.lit(net.NO_IP) if value is None else net.clean_ipv4(value)
+        return net.clean_ipv4(value) if given else F.lit(net.NO_IP)
     if KINDS[kind].limit is not None:
-        number = F.lit(0) if value is None else numbers.clean_uint(value, KINDS[kind].limit)
+        number = numbers.clean_uint(value, KINDS[kind].limit) if given else F.lit(0)
         return number.cast(KINDS[kind].type)
-    return F.lit("") if value is None else F.coalesce(value, F.lit(""))
+    return F.coalesce(value, F.lit("")) if given else F.lit("")
+
+
+def _protocol(name: Column) -> Column:
+    return F.least(net.protocol_number(name), F.lit(255)).cast("smallint")
 
 
 def _select(df: DataFrame, line: str, columns: dict[str, Column]) -> DataFrame:
-    keep = [c for c in df.columns if c not in (line, "header", "fields", "outcome", "_ts")]
+    keep = [c for c in df.columns if c not in (line, "header") and not c.startswith("_")]
     return df.select(*keep, *[value.alias(name) for name, value in columns.items()])
 
 
@@ -89,19 +111,16 @@ def parse_traffic(df: DataFrame, as_of, line: str = "line") -> DataFrame:
     """
     now = times.moment(as_of)
     rows = with_traffic_fields(df, line).where(F.col("outcome") == PARSED)
-    generated = times.slash_time(F.get("fields", 1))
-    rows = rows.withColumn(
-        "_ts", F.coalesce(times.header_time(F.col("header"), generated, now), now)
-    )
-    values = _by_name(TRAFFIC_POSITIONS)
-    out = {}
-    for name, kind in TRAFFIC_COLUMNS.items():
-        out[name] = _typed(values.get(name), kind, F.col("_ts"), now)
+    rows = _named(rows, line, TRAFFIC_POSITIONS, F.trim)
+    rows = rows.withColumn("_full_time", times.slash_time(_field("generated_time")))
+    rows = times.with_header_time(rows, "_header_time", "header", "_full_time", now)
+    rows = rows.withColumn("_ts", F.coalesce("_header_time", now))
+    out = {n: _typed(rows, n, k, F.col("_ts"), now) for n, k in TRAFFIC_COLUMNS.items()}
     out["timestamp"] = F.col("_ts")
     out["raw_message"] = F.col(line)
-    out["protocol"] = F.least(net.protocol_number(values["ip_protocol"]), F.lit(255)).cast("smallint")
-    out["device_name"] = F.coalesce(values["device_name"], F.get("header", 3))
-    out["src_ip_raw"], out["dst_ip_raw"] = values["src_ip"], values["dst_ip"]
+    out["protocol"] = _protocol(_field("ip_protocol"))
+    out["device_name"] = F.coalesce(_field("device_name"), F.get("header", 3))
+    out["src_ip_raw"], out["dst_ip_raw"] = _field("src_ip"), _field("dst_ip")
     return _select(rows, line, out)
 
 
@@ -109,15 +128,15 @@ def parse_slim(df: DataFrame, as_of, line: str = "line") -> DataFrame:
     """TRAFFIC lines as the 19 columns shared with the key-value table."""
     now = times.moment(as_of)
     rows = with_traffic_fields(df, line).where(F.col("outcome") == PARSED)
-    rows = rows.withColumn("_ts", F.coalesce(times.slash_time(F.get("fields", 1)), now))
-    values = _by_name(SLIM_POSITIONS)
-    out = {n: _typed(values.get(n), k, F.col("_ts"), now) for n, k in SLIM_COLUMNS.items()}
+    rows = _named(rows, line, [(1, "generated_time"), *SLIM_POSITIONS], F.trim)
+    rows = rows.withColumn("_ts", F.coalesce(times.slash_time(_field("generated_time")), now))
+    out = {n: _typed(rows, n, k, F.col("_ts"), now) for n, k in SLIM_COLUMNS.items()}
     out["timestamp"] = F.col("_ts")
     out["raw_message"] = F.col(line)
     out["devname"] = F.get("header", 3)
     out["action"] = F.lower(out["action"])
-    out["proto"] = F.least(net.protocol_number(values["proto"]), F.lit(255)).cast("smallint")
-    out["srcip_raw"], out["dstip_raw"] = values["srcip"], values["dstip"]
+    out["proto"] = _protocol(_field("proto"))
+    out["srcip_raw"], out["dstip_raw"] = _field("srcip"), _field("dstip")
     return _select(rows, line, out)
 
 
@@ -134,35 +153,35 @@ def parse_url(df: DataFrame, as_of, line: str = "line", wide: bool = False) -> D
     `protocol`. With `wide`, every other named position follows as text.
     """
     now = times.moment(as_of)
+    extra = ("high_resolution_timestamp",)
+    positions = [(i, n) for i, n in URL_POSITIONS if wide or n in URL_COLUMNS or n in extra]
     rows = with_url_fields(df, line).where(F.col("outcome") == PARSED)
-    generated = times.slash_time(F.get("fields", 6))
-    rows = rows.withColumn("_ts", times.header_time(F.col("header"), generated, now))
-    values = _by_name(URL_POSITIONS)
-    host = F.get("header", 3)
-    received = F.coalesce(F.col("_ts"), now)
-
-    out = {n: _typed(values.get(n), k, received, now) for n, k in URL_COLUMNS.items()}
-    out["receive_time"] = received
-    out["timestamp"] = F.coalesce(generated, received)
-    out["generated_time"] = F.coalesce(generated, now)
+    rows = _named(rows, line, positions, text.clean_field)
+    rows = rows.withColumn("_full_time", times.slash_time(_field("generated_time")))
+    rows = times.with_header_time(rows, "_header_time", "header", "_full_time", now)
+    rows = rows.withColumn("_received", F.coalesce("_header_time", now))
+
+    out = {n: _typed(rows, n, k, F.col("_received"), now) for n, k in URL_COLUMNS.items()}
+    out["receive_time"] = F.col("_received")
+    out["timestamp"] = F.coalesce("_full_time", "_received")
+    out["generated_time"] = F.coalesce("_full_time", now)
     out["processing_timestamp"] = now
     out["raw_message"] = F.col(line)
-    out["device_name"] = F.coalesce(values["device_name"], host)
-    out["ip_protocol"] = F.least(net.protocol_number(values["ip_protocol"]), F.lit(255)).cast("smallint")
-    out["protocol"] = F.coalesce(F.lower(values["ip_protocol"]), F.lit(""))
+    out["device_name"] = F.coalesce(_field("device_name"), F.get("header", 3))
+    out["ip_protocol"] = _protocol(_field("ip_protocol"))
+    out["protocol"] = F.coalesce(F.lower(_field("ip_protocol")), F.lit(""))
     out["http_method"] = F.upper(out["http_method"])
     for name in ("url", "user_agent", "referer"):
-        out[name] = F.coalesce(_unwrapped(values[name]), F.lit(""))
+        out[name] = F.coalesce(_unwrapped(_field(name)), F.lit(""))
     for name in ("source_user", "destination_user"):
-        out[name] = F.coalesce(text.user_name(values[name]), F.lit(""))
-        out[f"{name}_domain"] = F.coalesce(text.user_domain(values[name]), F.lit(""))
-    out["high_resolution_timestamp"] = times.hires_time(values["high_resolution_timestamp"])
+        out[name] = F.coalesce(text.user_name(_field(name)), F.lit(""))
+        out[f"{name}_domain"] = F.coalesce(text.user_domain(_field(name)), F.lit(""))
+    out["high_resolution_timestamp"] = times.hires_time(_field("high_resolution_timestamp"))
     if wide:
-        for name, value in values.items():
-            out.setdefault(name, F.coalesce(value, F.lit("")))
+        for _, name in positions:
+            out.setdefault(name, F.coalesce(_field(name), F.lit("")))
 
-    parts = ("url_domain", "url_path", "url_query")
-    for name in parts:
+    for name in ("url_domain", "url_path", "url_query"):
         out.pop(name)
     typed = with_url_parts(_select(rows, line, out))
     lead = [c for c in df.columns if c != line]

@@ -17,6 +17,11 @@ def _count_action(action: str) -> Column:
     return F.count_if(F.col("action") == action)
 
 
+def _hashed(column: str) -> Column:
+    """Input of a sketch. Sketches of text leave out the empty text, which is a value here."""
+    return F.when(F.col(column).isNotNull(), F.xxhash64(column))
+
+
 def daily_category_actions(df: DataFrame, ts: str = "timestamp", exact: bool = False) -> DataFrame:
     """Per day, category and action: requests, blocked, distinct sources and domains."""
     distinct = F.countDistinct if exact else F.approx_count_distinct
@@ -71,7 +76,7 @@ class Rollup:
         return self._group(df).agg(
             *[c.alias(n) for n, c in self.sums.items()],
             *[
-                F.hll_sketch_agg(c, F.lit(SKETCH_LOG_SIZE)).alias(f"{n}_sketch")
+                F.hll_sketch_agg(_hashed(c), F.lit(SKETCH_LOG_SIZE)).alias(f"{n}_sketch")
                 for n, c in self.distinct.items()
             ],
             *[F.sum(F.col(c).cast("bigint")).alias(f"{n}_sum") for n, c in self.means.items()],

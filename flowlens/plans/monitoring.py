@@ -353,7 +353,7 @@ def sink_csv(spark, sf_dir):
         rows.withColumn("rule_name", F.concat(F.lit('"'), "rule_name", F.lit('", or so'))), path
     )
     schema = T.StructType([T.StructField(c, T.StringType()) for c in _EXPORT])
-    return spark.read.schema(schema).options(header="true", escape='"').csv(path)
+    return spark.read.schema(schema).options(header="true", escape='"', nullValue="NULL").csv(path)
 
 
 @query("sink_json", on_flows("""

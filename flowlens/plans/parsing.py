@@ -283,8 +283,8 @@ def route_log_type(spark, sf_dir):
     split = positional.split_header(feed)
     return split.select(
         "line",
-        positional.traffic_outcome(text.split_plain(F.col("payload"))).alias("as_traffic"),
-        positional.url_outcome(text.split_quoted(F.col("payload"))).alias("as_url"),
+        positional.traffic_outcome(F.col("payload")).alias("as_traffic"),
+        positional.url_outcome(F.col("payload")).alias("as_url"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.plans import fixtures as fx
+from flowlens.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; without SQL only its rows are looked at."""
 
     def add(function: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: without_zone(function(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: without_zone(function(tune(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return function
