@@ -215,6 +215,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over more tasks where files give fewer tasks than there are cores.
+
+    A Parquet file of one row group is one task, however many cores wait. A large table has more
+    row groups than there are cores and is left as it is, without a shuffle.
+    """
+    tasks, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if tasks >= cores else df.repartition(min(cores, 8 * max(tasks, 1)), *keys)
+
+
 def _run(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", sql))
     inputs = {n: given[n] if n in given else read(spark, sf_dir, n) for n in names}
@@ -224,10 +234,10 @@ def _run(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> Data
 def flows(
     spark: SparkSession, sf_dir: str, since: datetime | None = None, until: datetime | None = None
 ) -> DataFrame:
-    """One row per line item. Bounds on the event time become bounds on the stored ship date,
+    """One row per line item.
 
-    the column the event time is made from, so that the Parquet reader can skip row groups; the
-    caller still filters on `ts` itself.
+    Bounds on the event time become bounds on the stored ship date, from which it is made, so that
+    the Parquet reader can skip row groups; the caller still filters on `ts` itself.
     """
     lineitem = read(spark, sf_dir, "lineitem")
     if since is not None:
@@ -236,11 +246,12 @@ def flows(
         )
     if until is not None:
         lineitem = lineitem.where(F.col("l_shipdate") <= F.lit(str(until)).cast("timestamp_ntz"))
-    return _run(spark, sf_dir, FLOWS, lineitem=lineitem)
+    return _run(spark, sf_dir, FLOWS, lineitem=spread(lineitem, "l_orderkey", "l_linenumber"))
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, URLS)
+    events = spread(read(spark, sf_dir, "events"), "event_id")
+    return _run(spark, sf_dir, URLS, events=events)
 
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

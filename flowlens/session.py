@@ -33,6 +33,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # call sites of every Column call cost half of the time to build a wide parser
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -31,9 +31,18 @@ def scan_evolved(
     return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
+def by_month(df: DataFrame) -> DataFrame:
+    """Rows shuffled by `ym`, so that a month is written as few files of a good size.
+
+    Adaptive execution sizes the tasks: small months share one, and a month that holds most of the
+    rows is split over many.
+    """
+    return df.hint("rebalance", "ym")
+
+
 def append(df: DataFrame, path: str, ts: str = "timestamp") -> None:
     """Append rows below their month."""
-    _partitioned(df.withColumn("ym", month(F.col(ts))), path, "append")
+    _partitioned(by_month(df.withColumn("ym", month(F.col(ts)))), path, "append")
 
 
 def _partitioned(df: DataFrame, path: str, mode: str, **options: str) -> None:
@@ -87,7 +96,7 @@ def apply_retention(
     """Write the retained rows to a new place. Months before the limit are not read at all."""
     limit = as_of - timedelta(days=days)
     table = spark.read.parquet(path).where(F.col("ym") >= limit.year * 100 + limit.month)
-    retained(table, as_of, ts, days).write.mode("overwrite").partitionBy("ym").parquet(target)
+    _partitioned(by_month(retained(table, as_of, ts, days)), target, "overwrite")
 
 
 def _as_text(df: DataFrame) -> list[Column]:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(spark__python__sql__dataFrameDebugging__enabled="false")
+    session = local_session()
     yield session
     session.stop()
 
