@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-# Settings the wide parsers run much faster with; all can be set on a running session. Methods above
-# 8000 bytes of bytecode are never compiled by HotSpot, so a projection that large is better split
-# into small methods than fused into one.
-RUNTIME_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Settings to use with these queries; all can be set on a running session.
+RUNTIME_CONF = {
+    # Methods above 8000 bytes of bytecode are never compiled by HotSpot, so the projection of a
+    # wide parser is better split into small methods than fused into one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Sketches and nested lists aggregate by hash up to this many groups per task, before all input
+    # is sorted. A group holds a sketch of 4 KiB or a list of 256 rows at most.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -37,7 +37,7 @@ def by_month(df: DataFrame) -> DataFrame:
     Adaptive execution sizes the tasks: small months share one, and a month that holds most of the
     rows is split over many.
     """
-    return df.hint("rebalance", "ym")
+    return df.hint("rebalance", F.col("ym"))
 
 
 def append(df: DataFrame, path: str, ts: str = "timestamp") -> None:

@@ -101,3 +101,19 @@ def test_clustered_files_hold_narrow_ranges(spark, sf_dir):
     by_time = sorted(files, key=lambda f: (f["low"], f["high"]))
     assert all(a["high"] <= b["low"] for a, b in zip(by_time, by_time[1:]))
     assert sum(f["n"] for f in files) == rows.count()
+
+
+def test_hot_month_is_written_by_many_tasks(spark, sf_dir):
+    """With small task sizes, the month that holds a third of the rows spreads; none is lost."""
+    rows = fx.flows(spark, sf_dir).withColumn(
+        "ts", F.when(F.col("action") == "deny", F.lit("1999-01-01").cast("timestamp_ntz")).otherwise(F.col("ts")))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "16k")
+    try:
+        path = f"{scratch_dir(spark, 'test-hot')}/flows"
+        tables.append(rows, path, "ts")
+    finally:
+        spark.conf.unset(key)
+    files = spark.read.parquet(path).groupBy("ym", F.input_file_name().alias("f")).count().collect()
+    assert len([f for f in files if f["ym"] == 199901]) > 1
+    assert sum(f["count"] for f in files) == rows.count()
