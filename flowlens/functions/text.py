@@ -58,10 +58,7 @@ def split_plain(payload: Column) -> Column:
 
 
 def raw_fields(payload: Column) -> Column:
-    """Fields of a comma-separated line in which quoted fields may hold commas, as they stand.
-
-    `clean_field` takes the quotes off, so that only the fields in use are cleaned.
-    """
+    """Fields of a comma-separated line in which quoted fields may hold commas, quotes still on."""
     quotes = F.length(payload) - F.length(F.replace(payload, F.lit('"'), F.lit("")))
     return (
         F.when(quotes == 0, F.split(payload, ","))

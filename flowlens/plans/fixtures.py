@@ -251,7 +251,8 @@ def flows(
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spread(read(spark, sf_dir, "events"), "event_id")
-    return _run(spark, sf_dir, URLS, events=events)
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    return _run(spark, sf_dir, URLS, events=events, pages=pages)
 
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The keys of a registry document.
+# The keys of a registry document, as the files have them.
 FILE_INFO = (
     "filepath: STRING, size: BIGINT, last_modified: DOUBLE, last_processed_position: BIGINT,"
     " last_processed_time: DOUBLE, rotated_files: ARRAY<STRING>, total_lines_processed: BIGINT,"
