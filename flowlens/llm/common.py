@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -16,11 +17,14 @@ from flowlens.session import scratch_dir
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Bytes of text that one numpy step looks at; a single longer text is a step of its own.
 PIECE_BYTES = 8 << 20
+BATCH_BYTES = 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package, where PYTHONPATH does not already say so."""
     context = spark.sparkContext
+    # Rows here can be large; a batch for a worker is cut by bytes, too.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_flowlens", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="flowlens-code-"), "flowlens-code.zip")
@@ -34,6 +38,19 @@ def ship(spark: SparkSession) -> None:
     context._flowlens = True
 
 
+def land_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write an intermediate table bucketed by `key`: joins on it move the other side only.
+
+    Tasks write their rows straight into buckets, without a shuffle.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark, name)}/rows")
+    writer.option("compression", "uncompressed").saveAsTable(table)
+    return spark.table(table)
+
+
 def land(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -63,7 +80,7 @@ def pieces(offsets, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
 def frozen(table: pa.Table | pa.RecordBatch) -> bytes:
     """Rows as one compressed value."""
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
     with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
         writer.write(table)
     return sink.getvalue().to_pybytes()
@@ -73,31 +90,47 @@ def thawed(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
 
 
-def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """Documents as a landed table of chunks: chunk long, n_docs int, blob binary (doc_id, text).
+ROW_BITS = 21
+
+
+def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_columns: bool = False) -> DataFrame:
+    """Documents as a landed table of chunks: chunk long, n_docs long, n_bytes long, blob binary; by chunk.
 
-    A chunk holds neighbouring rows of one input partition, about PIECE_BYTES of text, so no key
-    decides its size. Its number is unique; a row is named by chunk and place.
+    A blob holds neighbouring rows of one input partition, about PIECE_BYTES of text, so no key decides
+    its size: __id, __text and, if kept, all columns of `docs`. A row is named by chunk << ROW_BITS | place.
     """
-    ship(docs.sparkSession)
     from pyspark.sql import functions as F
 
+    ship(docs.sparkSession)
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from flowlens.llm.words import texts
 
-        number = partition_id() << 24
+        number = partition_id() << 20
         for batch in batches:
             _, offsets = texts(batch.column(1))
             for lo, hi in pieces(offsets):
-                part = batch.slice(lo, hi - lo)
                 yield pa.record_batch(
                     {
                         "chunk": pa.array([number], pa.int64()),
-                        "n_docs": pa.array([hi - lo], pa.int32()),
-                        "blob": pa.array([frozen(part)], pa.binary()),
+                        "n_docs": pa.array([hi - lo], pa.int64()),
+                        "n_bytes": pa.array([int(offsets[hi] - offsets[lo])], pa.int64()),
+                        "blob": pa.array([frozen(batch.slice(lo, hi - lo))], pa.binary()),
                     }
                 )
                 number += 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return land(rows.mapInArrow(chunks, "chunk long, n_docs int, blob binary"), name, "uncompressed")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("__id"),
+        F.col(text_col).cast("string").alias("__text"),
+        *([F.col(f"`{c}`") for c in docs.columns if c != text_col] if keep_columns else []),
+    )
+    return land_by(rows.mapInArrow(chunks, "chunk long, n_docs long, n_bytes long, blob binary"), name, "chunk")
+
+
+def packed_size(packed: DataFrame) -> tuple[int, int]:
+    """Documents and bytes of text."""
+    from pyspark.sql import functions as F
+
+    row = packed.agg(F.sum("n_docs").alias("d"), F.sum("n_bytes").alias("b")).first()
+    return row["d"] or 0, row["b"] or 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import best_fit, pivotal, rans, url_trie
+from flowlens.llm import best_fit, icws, pivotal, rans, suffix_dedup, url_trie, zstd_langid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return best_fit.pack(docs, vocabulary(), size=4096, end_id=1).drop("ids")
+
+
+@_query("op10_icws_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return icws.near_duplicates(docs)
+
+
+@_query(
+    "op6_suffix_automaton_dedup",
+    r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], ' ')) AS h FROM starts),
+least AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM windows JOIN least USING (h) WHERE first_doc < doc_id),
+gone_lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, k: js IS NULL OR NOT list_contains(js, k)), ' ')) AS kept_sha256
+FROM words LEFT JOIN gone_lists USING (doc_id)
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return suffix_dedup.removed_words(docs, size=13).drop("text")
+
+
+@_query("op5_zstd_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return zstd_langid.identify(docs)
