@@ -8,8 +8,8 @@ whole. So a source misses its target by half a document at most.
 
 Random numbers are hashes of document, level and seed: reruns agree, whatever the partitions.
 
-Equal rows (same id, source and size) form one item, which shares out its copies evenly, so that a repeated
-row makes no large group. Groups are cut by hash, GROUP items on average. Nulls: a null text has size 0, a
+Equal rows (same id, source, size and hash of the text) form one item, which shares out its copies evenly, so that
+a repeated row makes no large group. Groups are cut by hash, GROUP items on average. Nulls: a null text has size 0, a
 null source is a source of its own, sorted last; a null id is an id. Documents of size 0 are taken 0 words.
 An empty table gives no rows. Other columns are not looked at.
 """
@@ -82,62 +82,98 @@ def _fold(items: str, epsilon: float) -> str:
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    cap: float = 3.0,
-    id_col="doc_id",
-    text_col="text",
-    source_col="source",
-    seed: int = 7,
-    group: int = GROUP,
+_KEY = ["doc_id", "source", "size", "text_hash"]
+
+
+def _keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        n_words(text).alias("size"),
+        F.xxhash64(text).alias("text_hash"),
+    ]
+
+
+def _decided(
+    docs: DataFrame, keys: list[Column], weights: tuple[float, ...], cap: float, seed: int, group: int
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each document."""
-    sized = land(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col).cast("string")).alias("size"),
-        ),
-        "sizes",
-    )
+    """Items, each with its equal rows and all copies that these are taken together."""
+    sized = land(docs.select(*keys), "sizes")
     goal = targets(sized, weights, cap)
-    items = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
-    items = _with_targets(items, goal)
+    items = _with_targets(sized.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows")), goal)
     share = F.col("rows") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # Whole up to rounding errors of the division.
     items = items.withColumn("share", F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(share))
     items = items.withColumn("whole", F.floor("share")).withColumn("p", F.col("share") - F.floor("share"))
-    items = land(items.withColumn("key", F.struct("doc_id", "source", "size")), "mix-items")
+    items = land(items.withColumn("key", F.struct(*_KEY)), "mix-items")
 
     open_items = items.where((F.col("p") > 0) & (F.col("size") > 0)).select(
-        "key", F.col("key.source").alias("source"), F.col("size").cast("double").alias("size"), "p"
+        "key", "source", F.col("size").cast("double").alias("size"), "p"
     )
-    largest = open_items.groupBy("source").count().agg(F.max("count").alias("n")).first()["n"] or 0
     settled: list[DataFrame] = []
     level = 0
-    while largest > 1:
+    while (open_items.groupBy("source").count().agg(F.max("count").alias("n")).first()["n"] or 0) > 1:
         open_items, done = _round(open_items, seed, level, group)
         settled.append(done)
-        groups = open_items.groupBy("source").count().agg(F.max("count").alias("n")).first()["n"] or 0
-        level, largest = level + 1, groups
-    last = open_items.select("key", F.round("p").cast("long").alias("up"))
-    ups = last
+        level += 1
+    ups = open_items.select("key", F.round("p").cast("long").alias("up"))
     for done in settled:
         ups = ups.unionByName(done)
     ups = ups.select("key.*", "up")
-    join = [F.col(f"i.{c}").eqNullSafe(F.col(f"u.{c}")) for c in ("doc_id", "source", "size")]
-    decided = items.alias("i").join(ups.alias("u"), join, "left").select("i.*", F.coalesce("u.up", F.lit(0)).alias("up"))
-    copies = F.col("whole") + F.col("up")
-    each = decided.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).withColumn(
-        "copies",
-        (F.floor(copies / F.col("rows")) + F.when(F.col("n") <= F.pmod(copies, F.col("rows")), 1).otherwise(0)).cast("long"),
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"u.{c}")) for c in _KEY]
+    joined = items.alias("i").join(ups.alias("u"), same, "left")
+    return joined.select(
+        *[F.col(f"i.{c}") for c in (*_KEY, "rows", "source_size", "target")],
+        (F.col("i.whole") + F.coalesce("u.up", F.lit(0))).cast("long").alias("all_copies"),
     )
-    return each.select(
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    cap: float = 3.0,
+    id_col="doc_id",
+    text_col="text",
+    source_col="source",
+    seed: int = 7,
+    group: int = GROUP,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row for each document."""
+    items = _decided(docs, _keys(id_col, text_col, source_col), weights, cap, seed, group)
+    each = items.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    copies = F.floor(F.col("all_copies") / F.col("rows")) + F.when(
+        F.col("n") <= F.pmod("all_copies", "rows"), 1
+    ).otherwise(0)
+    return each.withColumn("copies", copies.cast("long")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
+def repeated(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    cap: float = 3.0,
+    id_col="doc_id",
+    text_col="text",
+    source_col="source",
+    seed: int = 7,
+    group: int = GROUP,
+) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it.
+
+    Of equal rows one is repeated for all.
+    """
+    keys = _keys(id_col, text_col, source_col)
+    items = _decided(docs, keys, weights, cap, seed, group).where("all_copies > 0").select(*_KEY, "all_copies")
+    columns = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *keys)
+    once = whole.groupBy(*_KEY).agg(F.first("doc").alias("doc"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"i.{c}")) for c in _KEY]
+    taken = once.alias("d").join(items.alias("i"), same)
+    return taken.select("d.doc", F.explode(F.sequence(F.lit(1).cast("long"), "i.all_copies"))).select("doc.*")
+
+
 def _with_targets(items: DataFrame, goal: DataFrame) -> DataFrame:
     """One row for each source, met by hash join; Spark decides by its size whether to broadcast it."""
     goal = goal.withColumnRenamed("source", "goal_source")

@@ -1,19 +1,20 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
 Each language that labelled documents have gets a zstandard dictionary of raw content: text of at most
-`sample_docs` labelled documents, SAMPLE_BYTES bytes of each, chosen by hash. That bounded sample is the model. A text
-is cut into segments of SEGMENT bytes, all of which are compressed with each dictionary, so a long text is judged
+`sample_docs` labelled documents, SAMPLE_BYTES bytes of each, chosen by hash. That bounded sample is the model. Texts are
+put in lower case, and what lies between letters becomes one space. A text is cut into segments of SEGMENT bytes, all of which are compressed with each dictionary, so a long text is judged
 whole and each part of it against fresh dictionaries. The margin is the saving of the best language over the next,
 as a share of the next; below `margin` the document is rejected.
 
 lang_pred is `und` if the text is null or has no letter, and rejected is then true. score is 1 - 2 ** -(margin * 100).
-Ties go to the language that sorts first. With fewer than two learned languages the margin is 1; with none, `und`.
+Ties go to the language with more labelled documents, then to the one that sorts first. With fewer than two learned languages the margin is 1; with none, `und`.
 Each row gives one row, null ids and repeated rows too; a null id is not learned from. Empty texts have no letter. An
 empty table gives no rows. `identified` keeps the columns of its input and adds its own; same names give way.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,62 +22,75 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlens.llm.common import ship
 
-SAMPLE_DOCS, SAMPLE_BYTES = 64, 2048
+SAMPLE_DOCS, SAMPLE_BYTES = 128, 2048
 SEGMENT = 2048
-LEVEL = 3
+LEVEL = 6
 # A document whose best language saves less than this over the next is rejected.
 MARGIN = 0.002
 UNKNOWN = "und"
 
 
-def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Raw content by language, from `doc_id`, `text`, `lang`; the best-ranked text stands last, where matches are near."""
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    return _BETWEEN.sub(" ", text.lower()).encode()
+
+
+def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
+    """(language, raw content) from `doc_id`, `text`, `lang`, the most frequent language first.
+
+    The best-ranked text stands last, where matches are near.
+    """
     known = labelled.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")
     ).select("lang", "doc_id", F.xxhash64("doc_id").alias("draw"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     rows = known.withColumn("rank", rank).where(F.col("rank") <= sample_docs).collect()
-    rows.sort(key=lambda r: (r["lang"], -r["rank"]))
-    out: dict[str, list[bytes]] = {}
+    rows.sort(key=lambda r: -r["rank"])
+    content: dict[str, list[bytes]] = {}
     for r in rows:
-        out.setdefault(r["lang"], []).append(r["text"].encode())
-    return {lang: b"\n".join(texts) for lang, texts in out.items()}
+        content.setdefault(r["lang"], []).append(plain(r["text"])[:SAMPLE_BYTES])
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    return [(lang, b" ".join(content[lang])) for lang in sorted(content, key=lambda x: (-counts[x], x))]
 
 
 class Judge:
-    def __init__(self, content: dict[str, bytes]):
+    def __init__(self, content: list[tuple[str, bytes]]):
         import zstandard
 
-        self.langs = sorted(content)
+        self.langs = [lang for lang, _ in content]
         self.coders = []
-        for lang in self.langs:
-            raw = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=raw, write_content_size=False))
+        for _, raw in content:
+            known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=LEVEL)
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False))
 
     def sizes(self, text: bytes) -> list[int]:
         parts = [text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.coders]
 
-    def judge(self, text: bytes) -> tuple[str, float]:
+    def judge(self, text: str) -> tuple[str, float]:
+        """Language and margin."""
         if not self.langs:
             return UNKNOWN, 0.0
-        sizes = self.sizes(text)
+        sizes = self.sizes(plain(text).strip())
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         if len(order) == 1:
             return self.langs[0], 1.0
-        best, next_ = sizes[order[0]], sizes[order[1]]
-        return self.langs[order[0]], (next_ - best) / next_
+        best, after = sizes[order[0]], sizes[order[1]]
+        return self.langs[order[0]], (after - best) / after
 
 
-def _judged(docs: DataFrame, content: dict[str, bytes], margin: float) -> DataFrame:
-    """Columns of `docs`, of which `__text` is judged, with __lang, __margin, __rejected."""
+def _judged(docs: DataFrame, text_col: str, content: list[tuple[str, bytes]], margin: float) -> DataFrame:
+    """Columns of `docs`, with __lang, __margin, __rejected."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(content)  # sample_docs * SAMPLE_BYTES for each language
-    at = docs.columns.index("__text")
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
@@ -84,7 +98,7 @@ def _judged(docs: DataFrame, content: dict[str, bytes], margin: float) -> DataFr
             texts = batch.column(at)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
             found = [
-                judge.judge(t.as_buffer().to_pybytes()) if ok else (UNKNOWN, 0.0)
+                judge.judge(t.as_py()) if ok else (UNKNOWN, 0.0)
                 for t, ok in zip(texts, letters, strict=True)
             ]
             share = np.array([f[1] for f in found], np.float64)
@@ -95,7 +109,8 @@ def _judged(docs: DataFrame, content: dict[str, bytes], margin: float) -> DataFr
                 [*batch.schema.names, "__lang", "__margin", "__rejected"],
             )
 
-    schema = docs.schema.add("__lang", "string").add("__margin", "double").add("__rejected", "boolean")
+    added = StructType().add("__lang", "string").add("__margin", "double").add("__rejected", "boolean")
+    schema = StructType(docs.schema.fields + added.fields)
     return docs.mapInArrow(run, schema)
 
 
@@ -103,7 +118,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", **options) -> dict[str, bytes]:
+def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", **options) -> list[tuple[str, bytes]]:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return dictionaries(rows.where(~held_out(F.col("doc_id"))), **options)
 
@@ -111,8 +126,8 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", **
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", margin: float = MARGIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, rejected: one row for each document."""
     content = learn(docs, id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    return _judged(rows, content, margin).select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(rows, "text", content, margin).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("__lang").alias("lang_pred"),
@@ -125,5 +140,4 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
 def accepted(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", margin: float = MARGIN) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     content = learn(docs, id_col, text_col, lang_col)
-    rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    return _judged(rows, content, margin).where(~F.col("__rejected")).select(*[f"`{c}`" for c in docs.columns])
+    return _judged(docs, text_col, content, margin).where(~F.col("__rejected")).select(*[f"`{c}`" for c in docs.columns])
