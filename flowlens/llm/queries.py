@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import best_fit, icws, pivotal, rans, suffix_dedup, url_trie, zstd_langid
+from flowlens.llm import best_fit, icws, mih, pivotal, rans, suffix_dedup, tput, url_trie, zstd_langid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return zstd_langid.identify(docs)
+
+
+@_query(
+    "op3_tput_top_k",
+    """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM scores) WHERE k <= 5
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return tput.top_k(vecs, lambda vec_id: vec_id % 50 == 0, k=5, scale=256)
+
+
+@_query("op8_multi_index_hashing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return mih.search(vecs, lambda vec_id: vec_id % 100 == 0, k=10)
