@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import best_fit, icws, mih, pivotal, rans, suffix_dedup, tput, url_trie, zstd_langid
+from flowlens.llm import best_fit, context_mixing, icws, mih, pivotal, rans, suffix_dedup, tput, url_trie, zstd_langid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return mih.search(vecs, lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+@_query("op4_context_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return context_mixing.scores(docs)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 REQUEST = "chunk long, bucket long, keys binary, adds binary, more binary"
-ANSWER = "chunk long, bucket long, totals binary"
+ANSWER = "chunk long, bucket long, totals binary, n_keys long, n_total long"
 # Keys a bucket should hold, about.
 BUCKET_KEYS = 1 << 20
 NONE = ~np.uint64(0)
@@ -76,6 +76,7 @@ def requests(
 def answers(asked: DataFrame, least: bool = False) -> DataFrame:
     """Rows of ANSWER: the sum of all adds of a key, aligned with the request's keys.
 
+    n_keys and n_total: the bucket's keys with a sum above 0, and all sums, in one row of the bucket, else 0.
     least: the least value of the key over all chunks, or NONE if that is its only value.
     """
 
@@ -95,11 +96,16 @@ def answers(asked: DataFrame, least: bool = False) -> DataFrame:
         totals = np.empty(len(flat), np.uint64)
         totals[order] = np.repeat(total, np.diff(np.append(starts, len(flat))))
         ends = np.cumsum([len(k) for k in keys])
+        once = np.zeros((2, len(keys)), np.int64)
+        if not least:
+            once[:, 0] = np.count_nonzero(total), total.sum()
         return pa.table(
             {
                 "chunk": rows.column("chunk"),
                 "bucket": rows.column("bucket"),
                 "totals": pa.array([squeeze(t) for t in np.split(totals, ends[:-1])], pa.binary()),
+                "n_keys": pa.array(once[0]),
+                "n_total": pa.array(once[1]),
             }
         )
 
