@@ -1,8 +1,11 @@
 """Token ids of texts by the tokenizers library, each distinct word encoded once in a while.
 
-Holds for vocabularies that drop white space and never join words across it, as word_bpe_49k.json:
-the ids of a text are then those of its words in turn. Words are cut at ASCII white space only; what
-else the vocabulary's own rules cut or join lies within a word and is left to the library.
+Holds for vocabularies that drop white space, ignore case and cut letters from marks, as word_bpe_49k.json:
+
+- The ids of a text are those of its words in turn. Words are cut at ASCII white space only; what else the
+  vocabulary's rules cut or join lies within a word and is left to the library.
+- A-Z in lower case gives the same ids, unless a word could hold a special token, which starts with `<`.
+- Marks (.,;:!?) that follow an ASCII letter and end a word are a piece of their own.
 """
 
 from __future__ import annotations
@@ -11,11 +14,15 @@ import os
 from array import array
 
 import numpy as np
+import pandas as pd
 
-from flowlens.llm.words import Words
+from flowlens.llm.words import Words, lowered
 
 # Words a worker remembers, about 200 bytes each.
-CAPACITY = 1 << 19
+CAPACITY = 1 << 20
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -58,7 +65,10 @@ class WordEncoder:
 
     def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with end_id after each text, and the number of ids of each text."""
-        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        words = _units(words)
+        which, distinct = pd.factorize(words.hashes())
+        first = np.empty(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
         place = self._places(words.values(first))
         ends = np.array(self.ends, dtype=np.int64)
         begin, count = ends[place], ends[place + 1] - ends[place]
@@ -69,3 +79,33 @@ class WordEncoder:
         flat = ids[np.arange(total) + np.repeat(begin - (stops - count), count)]
         per_doc = np.bincount(words.doc, weights=count, minlength=words.n_docs).astype(np.int64)
         return np.insert(flat, np.cumsum(per_doc), np.uint32(end_id)), per_doc + 1
+
+
+def _units(words: Words) -> Words:
+    """Words in lower case, marks at their ends cut off."""
+    data, start, end = words.data, words.start, words.end
+    low = lowered(data)
+    special = np.flatnonzero(data == ord("<"))
+    if len(special):
+        held = np.unique(np.searchsorted(start, special, "right") - 1)
+        edge = np.zeros(len(data) + 1, np.int32)
+        edge[start[held]] += 1
+        edge[end[held]] -= 1
+        low = np.where(np.cumsum(edge)[:-1] > 0, data, low)
+    core = end.copy()
+    live = np.flatnonzero(_MARK[data[end - 1]]) if len(end) else end
+    while len(live):  # back over the marks
+        core[live] -= 1
+        live = live[core[live] > start[live]]
+        live = live[_MARK[data[core[live] - 1]]]
+    cut = (core < end) & (core > start)
+    cut[cut] = _LETTER[data[core[cut] - 1]]
+    core = np.where(cut, core, end)
+    at = np.flatnonzero(cut)
+    return Words(
+        low,
+        np.insert(start, at + 1, core[at]),
+        np.insert(core, at + 1, end[at]),
+        np.insert(words.doc, at + 1, words.doc[at]),
+        words.n_docs,
+    )
