@@ -17,8 +17,6 @@ _QUOTED = r'"(?:[^"]++|(?<=,)"|"(?!,|\z))*+(?:"|\z)'
 _FIELD = rf"(?:{_QUOTED}|[^,]*+)"
 QUOTED_FIELD = rf",({_FIELD})"
 TYPE_FIELDS = rf"^{_FIELD},{_FIELD},{_FIELD},({_FIELD}),({_FIELD})(?:,|\z)"
-# The pattern recurses once per quote inside a field; beyond this many the fold below takes over.
-MAX_PATTERN_QUOTES = 500
 
 
 def strip(text: Column) -> Column:
@@ -59,15 +57,8 @@ def split_plain(payload: Column) -> Column:
 
 def raw_fields(payload: Column) -> Column:
     """Fields of a comma-separated line in which quoted fields may hold commas, quotes still on."""
-    quotes = F.length(payload) - F.length(F.replace(payload, F.lit('"'), F.lit("")))
-    return (
-        F.when(quotes == 0, F.split(payload, ","))
-        .when(
-            quotes <= MAX_PATTERN_QUOTES,
-            F.regexp_extract_all(F.concat(F.lit(","), payload), F.lit(QUOTED_FIELD), F.lit(1)),
-        )
-        .otherwise(_by_fold(payload))
-    )
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), payload), F.lit(QUOTED_FIELD), F.lit(1))
+    return F.when(F.contains(payload, F.lit('"')), quoted).otherwise(F.split(payload, ","))
 
 
 def clean_field(raw: Column) -> Column:
@@ -79,48 +70,23 @@ def clean_field(raw: Column) -> Column:
     return strip(F.when(raw.startswith('"'), unquoted).otherwise(raw))
 
 
-def split_quoted(payload: Column) -> Column:
-    """All fields, cleaned; an empty last field is dropped."""
-    raw = raw_fields(payload)
+def cleaned_fields(raw: Column) -> Column:
+    """Raw fields, cleaned; an empty last field is dropped."""
     last = F.element_at(raw, -1)
     kept = F.when(last.isin("", '""', '"'), F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
     return F.transform(kept, clean_field)
 
 
+def split_quoted(payload: Column) -> Column:
+    """All fields, cleaned; an empty last field is dropped."""
+    return cleaned_fields(raw_fields(payload))
+
+
 def type_fields(payload: Column) -> tuple[Column, Column]:
     """Fields 3 and 4 alone, without splitting the rest of the line; empty below five fields."""
     return tuple(clean_field(F.regexp_extract(payload, TYPE_FIELDS, n)) for n in (1, 2))
 
 
-def _by_fold(payload: Column) -> Column:
-    """The raw fields as a fold over the pieces between commas."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit("").alias("open"),
-        F.lit(False).alias("quoted"),
-    )
-
-    def step(state: Column, piece: Column) -> Column:
-        opens = piece.startswith('"')
-        quoted = state["quoted"] | opens
-        # a lone quote is the opening one, or stands after a comma; neither closes
-        goes_on = quoted & ~(piece.endswith('"') & (F.length(piece) > 1))
-        text = F.concat(state["open"], piece)
-        return F.struct(
-            F.when(goes_on, state["done"])
-            .otherwise(F.concat(state["done"], F.array(text)))
-            .alias("done"),
-            F.when(goes_on, F.concat(text, F.lit(","))).otherwise("").alias("open"),
-            goes_on.alias("quoted"),
-        )
-
-    def finish(state: Column) -> Column:
-        rest = state["open"].substr(F.lit(1), F.length(state["open"]) - 1)
-        return F.when(state["quoted"], F.concat(state["done"], F.array(rest))).otherwise(state["done"])
-
-    return F.aggregate(F.split(payload, ","), start, step, finish)
-
-
 def header_parts(line: Column) -> Column:
     """Month, day, time, host and the rest. Runs of blanks separate, as one-digit days are padded."""
     return F.split(F.ltrim(line), r"\s+", 5)

@@ -259,30 +259,41 @@ log_subtype
 virtual_system
 """)
 
-# Names of the fields of a web-access line from position 2 on, `-` where unnamed.
-URL_FIELD_NAMES = """
-serial_number log_type log_subtype - generated_time source_address destination_address
-nat_source_ip nat_destination_ip rule_name source_user destination_user application
-virtual_system source_zone destination_zone inbound_interface outbound_interface log_action -
-session_id repeat_count source_port destination_port nat_source_port nat_destination_port flags
-ip_protocol action url threat_id url_category severity direction sequence_number action_flags
-source_country destination_country content_type pcap_id file_digest cloud url_index user_agent
-file_type xff_address referer sender subject recipient report_id
-device_group_hierarchy_level_1 device_group_hierarchy_level_2 device_group_hierarchy_level_3
-device_group_hierarchy_level_4 virtual_system_name device_name action_source source_vm_uuid
-destination_vm_uuid http_method tunnel_id_imsi monitor_tag_imei parent_session_id
-parent_start_time tunnel_type threat_category content_version sig_flags sctp_association_id
-payload_protocol_id http_headers url_category_list rule_uuid http2_connection
-dynamic_user_group_name xff_address source_device_category source_device_profile
-source_device_model source_device_vendor source_device_os_family source_device_os_version
-source_hostname source_mac_address destination_device_category destination_device_profile
-destination_device_model destination_device_vendor destination_device_os_family
-destination_device_os_version destination_hostname destination_mac_address container_id
-pod_namespace pod_name source_external_dynamic_list destination_external_dynamic_list host_id
-domain_edl source_dynamic_address_group destination_dynamic_address_group partial_hash
-high_resolution_timestamp reason justification
-""".split()
-URL_POSITIONS = [(i, n) for i, n in enumerate(URL_FIELD_NAMES, start=2) if n != "-"]
+# Positions (from 0) of the named fields of a web-access line.
+URL_POSITIONS = [
+    (2, "serial_number"), (3, "log_type"), (4, "log_subtype"), (6, "generated_time"),
+    (7, "source_address"), (8, "destination_address"), (9, "nat_source_ip"),
+    (10, "nat_destination_ip"), (11, "rule_name"), (12, "source_user"), (13, "destination_user"),
+    (14, "application"), (15, "virtual_system"), (16, "source_zone"), (17, "destination_zone"),
+    (18, "inbound_interface"), (19, "outbound_interface"), (20, "log_action"), (22, "session_id"),
+    (23, "repeat_count"), (24, "source_port"), (25, "destination_port"), (26, "nat_source_port"),
+    (27, "nat_destination_port"), (28, "flags"), (29, "ip_protocol"), (30, "action"), (31, "url"),
+    (32, "threat_id"), (33, "url_category"), (34, "severity"), (35, "direction"),
+    (36, "sequence_number"), (37, "action_flags"), (38, "source_country"),
+    (39, "destination_country"), (40, "content_type"), (41, "pcap_id"), (42, "file_digest"),
+    (43, "cloud"), (44, "url_index"), (45, "user_agent"), (46, "file_type"), (47, "xff_address"),
+    (48, "referer"), (49, "sender"), (50, "subject"), (51, "recipient"), (52, "report_id"),
+    (53, "device_group_hierarchy_level_1"), (54, "device_group_hierarchy_level_2"),
+    (55, "device_group_hierarchy_level_3"), (56, "device_group_hierarchy_level_4"),
+    (57, "virtual_system_name"), (58, "device_name"), (59, "action_source"), (60, "source_vm_uuid"),
+    (61, "destination_vm_uuid"), (62, "http_method"), (63, "tunnel_id_imsi"),
+    (64, "monitor_tag_imei"), (65, "parent_session_id"), (66, "parent_start_time"),
+    (67, "tunnel_type"), (68, "threat_category"), (69, "content_version"), (70, "sig_flags"),
+    (71, "sctp_association_id"), (72, "payload_protocol_id"), (73, "http_headers"),
+    (74, "url_category_list"), (75, "rule_uuid"), (76, "http2_connection"),
+    (77, "dynamic_user_group_name"), (78, "xff_address"), (79, "source_device_category"),
+    (80, "source_device_profile"), (81, "source_device_model"), (82, "source_device_vendor"),
+    (83, "source_device_os_family"), (84, "source_device_os_version"), (85, "source_hostname"),
+    (86, "source_mac_address"), (87, "destination_device_category"),
+    (88, "destination_device_profile"), (89, "destination_device_model"),
+    (90, "destination_device_vendor"), (91, "destination_device_os_family"),
+    (92, "destination_device_os_version"), (93, "destination_hostname"),
+    (94, "destination_mac_address"), (95, "container_id"), (96, "pod_namespace"), (97, "pod_name"),
+    (98, "source_external_dynamic_list"), (99, "destination_external_dynamic_list"),
+    (100, "host_id"), (101, "domain_edl"), (102, "source_dynamic_address_group"),
+    (103, "destination_dynamic_address_group"), (104, "partial_hash"),
+    (105, "high_resolution_timestamp"), (106, "reason"), (107, "justification"),
+]
 
 # The unified schema: each column with the column or SQL literal that fills it per source.
 UNIFIED = [
