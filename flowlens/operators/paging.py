@@ -1,4 +1,4 @@
-"""Sorted pages. A page deep in the result never passes through one task or the driver."""
+"""Sorted pages. Whatever its depth, no more than a page passes through one task or the driver."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from flowlens.session import ensure_checkpoint_dir
 
 PAGE_SIZE = 50
-# Rows a top-k may keep per task: up to here a page is one TakeOrderedAndProject.
-SHALLOW = 10_000
 
 
 def latest_rows(df: DataFrame, limit: int, ts: str = "timestamp") -> DataFrame:
@@ -25,68 +23,73 @@ def newest_first(df: DataFrame, ts: str = "timestamp") -> list[Column]:
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
     """Page `number` (from 1) of the frame in that order."""
-    return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    return _Ranked(df, order).rows((max(number, 1) - 1) * size, size)
 
 
-def newest_page(
-    df: DataFrame, number: int, size: int = PAGE_SIZE, ts: str = "timestamp", shallow: int = SHALLOW
-) -> DataFrame:
-    """Page `number` of the rows, newest first, at any depth.
+def newest_page(df: DataFrame, number: int, size: int = PAGE_SIZE, ts: str = "timestamp") -> DataFrame:
+    """Page `number` of the rows, newest first and rows without a time last, at any depth.
 
-    Beyond `shallow` rows, counts per hour and then per second (small, and aggregated on the
-    executors) tell which time the page lies in, and only that time is sorted.
+    Counts per hour and then per second (small, and aggregated on the executors) tell which time
+    the page lies in, and only that time is sorted.
     """
     order, skip = newest_first(df, ts), (max(number, 1) - 1) * size
     for unit in ("HOUR", "SECOND"):
-        if skip + size <= shallow:
-            break
         df, skip = _narrow(df, F.date_trunc(unit, F.col(ts)), skip, size)
-    if skip + size <= shallow:
-        return df.orderBy(*order).offset(skip).limit(size)
-    return _by_rank(df, order, skip, size)
+    return _Ranked(df, order).rows(skip, size)
 
 
 def _narrow(df: DataFrame, bucket: Column, skip: int, size: int) -> tuple[DataFrame, int]:
     """The buckets that hold rows skip+1..skip+size, and how many rows to skip within them."""
     counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before, newest, oldest = 0, None, None
-    inner_skip = 0
+    before, inner_skip = 0, 0
+    held: list = []  # the first and the last bucket of the page
     # one row per hour (or per second of the hours left), newest first, read only as far as needed
-    for row in counts.orderBy(F.desc("bucket")).toLocalIterator():
-        if newest is None and before + row["n"] > skip:
-            newest, inner_skip = row["bucket"], skip - before
+    for row in counts.orderBy(F.desc_nulls_last("bucket")).toLocalIterator():
+        if before + row["n"] > skip:
+            if not held:
+                inner_skip = skip - before
+            held = [held[0] if held else row["bucket"], row["bucket"]]
         before += row["n"]
-        oldest = row["bucket"]
         if before >= skip + size:
             break
-    if newest is None:
+    if not held:
         return df.where(F.lit(False)), 0
+    newest, oldest = held
+    if newest is None:
+        return df.where(bucket.isNull()), inner_skip
+    if oldest is None:
+        return df.where((bucket <= F.lit(newest)) | bucket.isNull()), inner_skip
     return df.where(bucket.between(F.lit(oldest), F.lit(newest))), inner_skip
 
 
-def _by_rank(df: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
-    """Rows skip+1..skip+size by a range-partitioned sort.
+class _Ranked:
+    """A frame in order, any stretch of which can be taken without passing rows through one task.
 
-    The sorted rows are checkpointed, since range bounds are sampled anew on every run; then the
-    row counts per partition place each partition, and one or two partitions hold the page.
+    The range-partitioned rows are checkpointed, since range bounds are sampled anew on every run;
+    the row counts per partition then place each partition.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    sorted_rows = (
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-        .checkpoint()
-    )
-    counts = sorted_rows.groupBy("_part").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_row").alias("first")
-    )
-    wanted, before = F.lit(False), 0
-    for row in counts.orderBy("_part").collect():  # one row per partition
-        low, high = max(skip - before, 0), min(skip + size - before, row["n"])
-        if low < high:
-            place = F.col("_row") - row["first"]
-            wanted |= (F.col("_part") == row["_part"]) & (place >= low) & (place < high)
-        before += row["n"]
-    return sorted_rows.where(wanted).orderBy("_row").drop("_part", "_row")
+
+    def __init__(self, df: DataFrame, order: list[Column]):
+        ensure_checkpoint_dir(df.sparkSession)
+        self.sorted = (
+            df.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+            .checkpoint()
+        )
+        counts = self.sorted.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first"))
+        self.parts = counts.orderBy("_part").collect()  # one row per partition
+        self.total = sum(row["n"] for row in self.parts)
+
+    def rows(self, skip: int, size: int) -> DataFrame:
+        wanted, before = F.lit(False), 0
+        for row in self.parts:
+            low, high = max(skip - before, 0), min(skip + size - before, row["n"])
+            if low < high:
+                place = F.col("_row") - row["first"]
+                wanted |= (F.col("_part") == row["_part"]) & (place >= low) & (place < high)
+            before += row["n"]
+        return self.sorted.where(wanted).orderBy("_row").drop("_part", "_row")
 
 
 @dataclass(frozen=True)
@@ -98,8 +101,11 @@ class Page:
 
 
 def clamped_page(df: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE) -> Page:
-    """A page with its totals; a number beyond the last page gives the last, below 1 the first."""
-    total = df.count()
-    pages = max(-(-total // size), 1)
+    """A page with its totals; a number beyond the last page gives the last, below 1 the first.
+
+    The frame is computed once, for the totals and the page.
+    """
+    ranked = _Ranked(df, order)
+    pages = max(-(-ranked.total // size), 1)
     number = min(max(number, 1), pages)
-    return Page(page(df, order, number, size), number, pages, total)
+    return Page(ranked.rows((number - 1) * size, size), number, pages, ranked.total)

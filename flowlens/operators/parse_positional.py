@@ -57,10 +57,10 @@ def with_url_fields(df: DataFrame, line: str = "line") -> DataFrame:
     Cleaning all fields in one array expression is faster than fifty copies of that expression in
     the projection that picks them.
     """
-    split = split_header(df, line)
+    split = split_header(df, line).withColumn("raw", text.raw_fields(F.col("payload")))
     return split.withColumns(
-        {"fields": text.split_quoted(F.col("payload")), "outcome": url_outcome(F.col("payload"))}
-    ).drop("payload")
+        {"fields": text.cleaned_fields(F.col("raw")), "outcome": url_outcome(F.col("payload"))}
+    ).drop("payload", "raw")
 
 
 def _named(df: DataFrame, positions: list[tuple[int, str]], clean=F.trim) -> DataFrame:
@@ -144,6 +144,20 @@ def parse_slim(df: DataFrame, as_of, line: str = "line") -> DataFrame:
     return _select(rows, line, out)
 
 
+def traffic_times(df: DataFrame, as_of, line: str = "line") -> DataFrame:
+    """line, timestamp and slim_timestamp of TRAFFIC lines, as parse_traffic and parse_slim give them."""
+    now = times.moment(as_of)
+    rows = with_traffic_fields(df, line).where(F.col("outcome") == PARSED)
+    rows = _named(rows, [(1, "generated_time")])
+    rows = rows.withColumn("_full_time", times.slash_time(_field("generated_time")))
+    rows = times.with_header_time(rows, "_header_time", "header", "_full_time", now)
+    return rows.select(
+        F.col(line).alias("line"),
+        F.coalesce("_header_time", now).alias("timestamp"),
+        F.coalesce("_full_time", now).alias("slim_timestamp"),
+    )
+
+
 def _unwrapped(value: Column) -> Column:
     """Without a pair of quotes around the whole value."""
     wrapped = value.startswith('"') & value.endswith('"') & (F.length(value) > 1)

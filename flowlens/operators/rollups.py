@@ -33,8 +33,9 @@ def daily_category_actions(df: DataFrame, ts: str = "timestamp", exact: bool = F
     )
 
 
-def uniq_approx(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.approx_count_distinct(c).alias(f"uniq_{c}") for c in columns])
+def uniq_approx(df: DataFrame, by: list[str], columns: list[str], error: float = 0.01) -> DataFrame:
+    """Distinct counts by sketches with that relative standard error."""
+    return df.groupBy(*by).agg(*[F.approx_count_distinct(c, error).alias(f"uniq_{c}") for c in columns])
 
 
 @dataclass(frozen=True)

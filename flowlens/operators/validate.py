@@ -14,11 +14,23 @@ def accepted(source_raw: str, destination_raw: str) -> Column:
     return is_ipv4(F.col(source_raw)) & is_ipv4(F.col(destination_raw))
 
 
+def with_accepted(
+    df: DataFrame, source_raw: str = "srcip_raw", destination_raw: str = "dstip_raw"
+) -> DataFrame:
+    """Add `accepted`, false for rows to quarantine: one pass serves both, as in a write
+    partitioned by it."""
+    return df.withColumn("accepted", F.coalesce(accepted(source_raw, destination_raw), F.lit(False)))
+
+
 def split_valid_invalid(
     df: DataFrame, source_raw: str = "srcip_raw", destination_raw: str = "dstip_raw"
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows to store and rows to quarantine, by the same predicate; together they are all rows."""
-    good = accepted(source_raw, destination_raw)
+    """Rows to store and rows to quarantine, by the same predicate; together they are all rows.
+
+    Two frames read their input twice unless it is stored or persisted, as a batch of a stream is;
+    with_accepted does it in one pass.
+    """
+    good = F.coalesce(accepted(source_raw, destination_raw), F.lit(False))
     return df.where(good), df.where(~good)
 
 

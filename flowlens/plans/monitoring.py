@@ -114,6 +114,16 @@ def source_freshness(spark, sf_dir):
     return _freshness(spark, sf_dir)
 
 
+@query("source_freshness_default", on_flows("""
+SELECT device_name, max(ts) AS last_seen, CAST(floor(epoch((SELECT max(ts) FROM flows))) - floor(epoch(max(ts))) AS BIGINT) AS age_seconds,
+  floor(epoch((SELECT max(ts) FROM flows))) - floor(epoch(max(ts))) < 300 AS is_active FROM flows GROUP BY device_name"""))
+def source_freshness_default(spark, sf_dir):
+    """With the default of five minutes, as of the newest row."""
+    rows = fx.flows(spark, sf_dir)
+    newest = rows.agg(F.max("ts").alias("ts")).first()["ts"]
+    return monitor.source_freshness(rows, newest, "ts")
+
+
 @query("source_status_counts", on_flows(f"""
 SELECT count(*) AS total_sources, CAST(count_if(known AND is_active) AS BIGINT) AS active_sources, CAST(count_if(known AND NOT is_active) AS BIGINT) AS inactive_sources,
   CAST(count_if(NOT known) AS BIGINT) AS pending_sources FROM (SELECT *, device_name IN ({', '.join(f"'{d}'" for d in APPROVED)}) AS known FROM ({FRESH_SQL}))"""))
@@ -137,14 +147,21 @@ def status_summary(spark, sf_dir):
 
 # --- sources ----------------------------------------------------------------------------------
 
+def _scanned(spark, rows: DataFrame, name: str) -> DataFrame:
+    path = f"{scratch_dir(spark, name)}/table"
+    rows.write.parquet(path)
+    return tables.scan(spark, path, rows.schema)
+
+
 @query("scan_flows", on_flows("SELECT * FROM flows"))
 def scan_flows(spark, sf_dir):
-    return fx.flows(spark, sf_dir)
+    """The stored table, scanned whole."""
+    return _scanned(spark, fx.flows(spark, sf_dir), "scan-flows")
 
 
 @query("scan_urls", on_urls("SELECT * FROM urls"))
 def scan_urls(spark, sf_dir):
-    return fx.urls(spark, sf_dir)
+    return _scanned(spark, fx.urls(spark, sf_dir), "scan-urls")
 
 
 def land_lines(spark, lines: DataFrame, name: str, **options: str) -> str:

@@ -259,6 +259,13 @@ def facets_url(spark, sf_dir):
     return summary.facets(fx.urls(spark, sf_dir), URL_FACETS)
 
 
+@query("facets_url_filtered", on_urls(f", kept AS (SELECT * FROM urls WHERE action = 'allow' AND http_method = 'GET') {_facet_sql('kept', URL_FACETS)}"))
+def facets_url_filtered(spark, sf_dir):
+    """The choices that the current filter leaves."""
+    spec = UrlFilterSpec(action="allow", http_method="GET")
+    return summary.facets(fx.urls(spark, sf_dir).where(spec.predicate("ts")), URL_FACETS)
+
+
 @query("facets_grouped", on_flows(_facet_sql("flows", ["action", "device_name"])))
 def facets_grouped(spark, sf_dir):
     return summary.facets(fx.flows(spark, sf_dir), ["action", "device_name"])
@@ -286,7 +293,20 @@ def logs_page(spark, sf_dir):
 @query("logs_page_deep", on_flows(f"SELECT * FROM flows ORDER BY {FLOW_ORDER_SQL} LIMIT 50 OFFSET 4950"))
 def logs_page_deep(spark, sf_dir):
     """Page 100, found by counts per hour and second rather than by keeping 5 000 rows per task."""
-    return paging.newest_page(fx.flows(spark, sf_dir), 100, ts="ts", shallow=1000)
+    return paging.newest_page(fx.flows(spark, sf_dir), 100, ts="ts")
+
+
+_TIMELESS = "CASE WHEN action = 'deny' THEN NULL ELSE ts END"
+
+
+@query("logs_page_timeless", on_flows(f"""
+SELECT * FROM (SELECT {_TIMELESS} AS ts, * EXCLUDE (ts) FROM flows) ORDER BY {FLOW_ORDER_SQL.replace('ts DESC', 'ts DESC NULLS LAST')} LIMIT 50
+OFFSET (SELECT CAST(floor(count(*) / 50.0) * 50 AS BIGINT) FROM flows WHERE action <> 'deny')"""))
+def logs_page_timeless(spark, sf_dir):
+    """The page on which rows without a time begin."""
+    rows = fx.flows(spark, sf_dir).withColumn("ts", F.when(F.col("action") != "deny", F.col("ts")))
+    timed = rows.where(F.col("ts").isNotNull()).count()
+    return paging.newest_page(rows, timed // 50 + 1, ts="ts")
 
 
 def page_label_sql(x: str, zero: bool = True) -> str:
@@ -460,6 +480,15 @@ def subnet_page(spark, sf_dir):
     return found.rows.withColumn("total_pages", F.lit(found.total_pages).cast("bigint"))
 
 
+@query("subnet_page_middle", on_flows(f"""
+SELECT *, (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) FROM ({SUBNET_SQL})) AS total_pages FROM ({SUBNET_SQL})
+ORDER BY last_seen DESC, {SUBNET_ORDER} LIMIT 50 OFFSET 100"""))
+def subnet_page_middle(spark, sf_dir):
+    groups = grouping.subnet_rollup(_flow_groups(spark, sf_dir))
+    found = paging.clamped_page(groups, grouping.subnet_order(), 3)
+    return found.rows.withColumn("total_pages", F.lit(found.total_pages).cast("bigint"))
+
+
 # --- rollups ----------------------------------------------------------------------------------
 
 @query("daily_category_actions", on_urls("""
@@ -470,10 +499,31 @@ def daily_category_actions(spark, sf_dir):
     return rollups.daily_category_actions(fx.urls(spark, sf_dir), "ts", exact=True)
 
 
-@query("uniq_approx")
+def beside_exact(estimated: DataFrame, exact: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """The exact counts beside whether the estimates are within 5 %, or one; other columns as estimated
+    frames have them."""
+    named = exact.select(*keys, *[F.col(c).alias(f"_{c}") for c in counts])
+    joined = estimated.join(named, keys)
+
+    def close(c: str) -> Column:
+        return F.abs(F.col(c) - F.col(f"_{c}")) <= F.greatest(F.lit(1.0), 0.05 * F.col(f"_{c}"))
+
+    rest = [c for c in estimated.columns if c not in counts]
+    return joined.select(
+        *rest, *[F.col(f"_{c}").alias(c) for c in counts], *[close(c).alias(f"{c}_close") for c in counts]
+    )
+
+
+_UNIQ = ["source_address", "url_domain", "source_user"]
+
+
+@query("uniq_approx", on_urls(f"""
+SELECT url_category, action, {', '.join(f"count(DISTINCT {c}) AS uniq_{c}, true AS uniq_{c}_close" for c in _UNIQ)} FROM urls GROUP BY url_category, action"""))
 def uniq_approx(spark, sf_dir):
-    columns = ["source_address", "url_domain", "source_user"]
-    return rollups.uniq_approx(fx.urls(spark, sf_dir), ["url_category", "action"], columns)
+    """Sketched distinct counts, judged against exact ones."""
+    by, rows = ["url_category", "action"], fx.urls(spark, sf_dir)
+    exact = rows.groupBy(*by).agg(*[F.countDistinct(c).alias(f"uniq_{c}") for c in _UNIQ])
+    return beside_exact(rollups.uniq_approx(rows, by, _UNIQ), exact, by, [f"uniq_{c}" for c in _UNIQ])
 
 
 @query("rollup_url_hourly", on_urls("""
@@ -505,29 +555,37 @@ def rollup_blocked_hourly(spark, sf_dir):
     return rollups.blocked_hourly("ts").exact(fx.urls(spark, sf_dir))
 
 
-@query("rollup_merge", on_urls("""
-SELECT date_trunc('hour', ts) AS hour, url_category, action, device_name, count(*) AS requests,
+HOURLY_MERGED_SQL = """SELECT date_trunc('hour', ts) AS hour, url_category, action, device_name, count(*) AS requests,
   CAST(count_if(action = 'block') AS BIGINT) AS blocked_requests, CAST(count_if(action = 'allow') AS BIGINT) AS allowed_requests,
   CAST(sum(bytes_sent) AS BIGINT) AS total_bytes_sent, CAST(sum(bytes_received) AS BIGINT) AS total_bytes_received,
-  CAST(sum(response_time_ms) AS DOUBLE) / count(response_time_ms) AS avg_response_time FROM urls GROUP BY ALL"""))
+  count(DISTINCT source_address) AS unique_users, true AS unique_users_close,
+  count(DISTINCT url_domain) AS unique_domains, true AS unique_domains_close,
+  CAST(sum(response_time_ms) AS DOUBLE) / count(response_time_ms) AS avg_response_time FROM urls GROUP BY ALL"""
+
+
+def judged_rollup(merged: DataFrame, rollup: rollups.Rollup, rows: DataFrame) -> DataFrame:
+    """A merged rollup, its sketched counts judged against one exact pass."""
+    return beside_exact(merged, rollup.exact(rows), list(rollup.keys), list(rollup.distinct))
+
+
+@query("rollup_merge", on_urls(HOURLY_MERGED_SQL))
 def rollup_merge(spark, sf_dir):
-    """Partial states of two parts, merged; the sketched distinct counts have their own query."""
+    """Partial states of two parts, merged."""
     rollup = rollups.url_hourly("ts")
     rows = fx.urls(spark, sf_dir)
     first = rollup.partial(rows.where(F.col("http_method") == "GET"))
     second = rollup.partial(rows.where(F.col("http_method") != "GET"))
-    merged = rollup.finish(rollup.merge(first.unionByName(second)))
-    return merged.drop("unique_users", "unique_domains")
+    return judged_rollup(rollup.finish(rollup.merge(first.unionByName(second))), rollup, rows)
 
 
-@query("rollup_merge_sketches")
+@query("rollup_merge_sketches", on_urls("SELECT *, true AS unique_domains_close, true AS unique_categories_close FROM (" + USER_DAILY_SQL + ")"))
 def rollup_merge_sketches(spark, sf_dir):
     """Daily user activity from partial states, with distinct counts from merged sketches."""
     rollup = rollups.user_daily("ts")
     rows = fx.urls(spark, sf_dir)
     first = rollup.partial(rows.where(F.col("action") == "allow"))
     second = rollup.partial(rows.where(F.col("action") != "allow"))
-    return rollup.finish(rollup.merge(first.unionByName(second)))
+    return judged_rollup(rollup.finish(rollup.merge(first.unionByName(second))), rollup, rows)
 
 
 @query("rollup_replacing", on_urls("""

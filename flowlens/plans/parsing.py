@@ -10,8 +10,23 @@ from flowlens.operators import parse_kv as kv_parser
 from flowlens.operators import parse_positional as positional
 from flowlens.operators import validate
 from flowlens.plans import fixtures as fx
+from flowlens.plans.monitoring import land_lines
 from flowlens.plans.registry import _plain, on_flows, on_lines, on_urls, query
-from flowlens.schemas import KV_COLUMNS, TRAFFIC_COLUMNS, URL_COLUMNS
+from flowlens.schemas import KV_COLUMNS, TRAFFIC_COLUMNS, URL_COLUMNS, URL_POSITIONS
+from flowlens.sources import syslog
+
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark, sf_dir: str, kind: str) -> DataFrame:
+    """Rendered lines as text files, written once for each session: parsers read files, and code is
+    generated for the parser without what renders its lines."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _LANDED:
+        lines = {"kv": fx.kv_lines, "traffic": fx.traffic_lines, "url": fx.url_lines}[kind](spark, sf_dir)
+        _LANDED[key] = land_lines(spark, lines, f"{kind}-lines")
+    return syslog.read_syslog(spark, _LANDED[key]).select("line")
+
 
 AS_OF, URL_AS_OF = f"TIMESTAMP '{fx.AS_OF}'", f"TIMESTAMP '{fx.URL_AS_OF}'"
 U64, I64 = 2**64 - 1, 2**63 - 1
@@ -27,7 +42,7 @@ SELECT line, {_DATE} AS date, action, concat('from ', src_country) AS msg, '' AS
   CAST(23 + CASE WHEN packets_sent = 7 THEN 0 ELSE 1 END + CASE WHEN packets_received = 6 THEN 1 ELSE 0 END AS INTEGER) AS pairs
 FROM kv_lines"""))
 def parse_kv(spark, sf_dir):
-    parsed = kv_parser.parse_kv(fx.kv_lines(spark, sf_dir))
+    parsed = kv_parser.parse_kv(landed(spark, sf_dir, "kv"))
     names = ["date", "action", "msg", "note", "devname", "x", "tail"]
     return parsed.select(
         "line", *[F.col("kv")[n].alias(n) for n in names], F.size("kv").alias("pairs")
@@ -39,7 +54,7 @@ SELECT line, {_DATE} AS date, action, CAST(packets_received AS VARCHAR) AS rcvdp
   CASE WHEN packets_sent = 7 AND packets_received = 6 THEN '1' END AS x, CASE WHEN packets_sent = 7 THEN '9' END AS tail,
   CAST(23 + CASE WHEN packets_sent = 7 AND packets_received = 6 THEN 1 ELSE 0 END AS INTEGER) AS pairs FROM kv_lines"""))
 def parse_kv_window(spark, sf_dir):
-    parsed = kv_parser.parse_kv_window(fx.kv_lines(spark, sf_dir))
+    parsed = kv_parser.parse_kv_window(landed(spark, sf_dir, "kv"))
     names = ["date", "action", "rcvdpkt", "x", "tail"]
     return parsed.select(
         "line", *[F.col("kv")[n].alias(n) for n in names], F.size("kv").alias("pairs")
@@ -50,7 +65,7 @@ def parse_kv_window(spark, sf_dir):
 SELECT line, CASE WHEN packets_sent IN (8, 9) THEN NULL ELSE make_timestamp(1000000000000000 + bytes_sent * 1000003) END AS event_timestamp
 FROM kv_lines"""))
 def epoch_micros_ts(spark, sf_dir):
-    return kv_parser.parse_kv_window(fx.kv_lines(spark, sf_dir)).select("line", "event_timestamp")
+    return kv_parser.parse_kv_window(landed(spark, sf_dir, "kv")).select("line", "event_timestamp")
 
 
 _KV_SRC_PORT = "CASE WHEN packets_sent IN (3, 4) THEN 0 WHEN packets_sent = 5 THEN 65535 ELSE src_port END"
@@ -102,7 +117,7 @@ KV_TYPED_SQL = (
 
 @query("parse_kv_typed", on_lines("kv_lines", KV_TYPED_SQL))
 def parse_kv_typed(spark, sf_dir):
-    return kv_parser.parse_kv_typed(fx.kv_lines(spark, sf_dir), fx.AS_OF)
+    return kv_parser.parse_kv_typed(landed(spark, sf_dir, "kv"), fx.AS_OF)
 
 
 @query("clean_numeric", on_lines("kv_lines", f"""
@@ -110,7 +125,7 @@ SELECT line, CAST({_KV_SRC_PORT} AS BIGINT) AS port, CAST({_KV_SENT} AS BIGINT)
 FROM kv_lines"""))
 def clean_numeric(spark, sf_dir):
     kv = F.col("kv")
-    return kv_parser.parse_kv(fx.kv_lines(spark, sf_dir)).select(
+    return kv_parser.parse_kv(landed(spark, sf_dir, "kv")).select(
         "line",
         numbers.clean_uint(kv["srcport"], 65535).alias("port"),
         numbers.clean_uint(kv["sentbyte"]).alias("sent"),
@@ -122,7 +137,7 @@ def clean_numeric(spark, sf_dir):
 SELECT line, {_KV_RAW} AS raw, CASE WHEN {_BAD_SRC} THEN '0.0.0.0' ELSE src_ip END AS cleaned FROM kv_lines"""))
 def clean_ipv4(spark, sf_dir):
     raw = F.col("kv")["srcip"]
-    return kv_parser.parse_kv(fx.kv_lines(spark, sf_dir)).select(
+    return kv_parser.parse_kv(landed(spark, sf_dir, "kv")).select(
         "line", raw.alias("raw"), net.clean_ipv4(raw).alias("cleaned")
     )
 
@@ -130,13 +145,8 @@ def clean_ipv4(spark, sf_dir):
 @query("split_valid_invalid", on_lines("kv_lines", f"""
 SELECT line AS raw_message, {_KV_RAW} AS srcip_raw, NOT ({_BAD_SRC}) AS accepted FROM kv_lines"""))
 def split_valid_invalid(spark, sf_dir):
-    good, bad = validate.split_valid_invalid(
-        kv_parser.parse_kv_typed(fx.kv_lines(spark, sf_dir), fx.AS_OF)
-    )
-    both = good.withColumn("accepted", F.lit(True)).unionByName(
-        bad.withColumn("accepted", F.lit(False))
-    )
-    return both.select("raw_message", "srcip_raw", "accepted")
+    typed = kv_parser.parse_kv_typed(landed(spark, sf_dir, "kv"), fx.AS_OF)
+    return validate.with_accepted(typed).select("raw_message", "srcip_raw", "accepted")
 
 
 @query("fill_defaults", on_flows(f"""
@@ -206,7 +216,7 @@ TRAFFIC_SQL = (
 
 @query("parse_pan_traffic", on_lines("traffic_lines", TRAFFIC_SQL))
 def parse_pan_traffic(spark, sf_dir):
-    return positional.parse_traffic(fx.traffic_lines(spark, sf_dir), fx.AS_OF)
+    return positional.parse_traffic(landed(spark, sf_dir, "traffic"), fx.AS_OF)
 
 
 @query("parse_pan_slim", on_lines("traffic_lines", f"""
@@ -218,7 +228,7 @@ SELECT ts AS timestamp, line AS raw_message, device_name AS devname, CASE WHEN {
   src_user AS username, CASE WHEN {_TRAFFIC_BAD} THEN '10.11.40.' ELSE src_ip END AS srcip_raw, dst_ip AS dstip_raw
 FROM traffic_lines WHERE {_TRAFFIC}"""))
 def parse_pan_slim(spark, sf_dir):
-    return positional.parse_slim(fx.traffic_lines(spark, sf_dir), fx.AS_OF)
+    return positional.parse_slim(landed(spark, sf_dir, "traffic"), fx.AS_OF)
 
 
 @query("parse_syslog_header", on_lines("traffic_lines", f"""
@@ -227,7 +237,7 @@ SELECT line, CASE WHEN {_CUT} THEN 'Jan' ELSE strftime(ts, '%b') END AS month,
   CASE WHEN {_CUT} THEN '00:00:00' ELSE strftime(ts, '%H:%M:%S') END AS clock, device_name AS host,
   NOT ({_CUT}) AS has_payload FROM traffic_lines"""))
 def parse_syslog_header(spark, sf_dir):
-    split = positional.split_header(fx.traffic_lines(spark, sf_dir))
+    split = positional.split_header(landed(spark, sf_dir, "traffic"))
     names = ["month", "day", "clock", "host"]
     return split.select(
         "line",
@@ -244,26 +254,26 @@ UNION ALL SELECT 'traffic', line, ts FROM traffic_lines WHERE {_TRAFFIC}
 UNION ALL SELECT 'slim', line, ts FROM traffic_lines WHERE {_TRAFFIC}"""))
 def resolve_event_time(spark, sf_dir):
     """The event time that each of the four line formats resolves to."""
-    traffic = fx.traffic_lines(spark, sf_dir)
-    parsed = {
-        "kv": kv_parser.parse_kv_typed(fx.kv_lines(spark, sf_dir), fx.AS_OF),
-        "traffic": positional.parse_traffic(traffic, fx.AS_OF),
-        "slim": positional.parse_slim(traffic, fx.AS_OF),
-        "url": positional.parse_url(fx.url_lines(spark, sf_dir), fx.URL_AS_OF),
-    }
-    out = None
-    for kind, df in parsed.items():
-        part = df.select(F.lit(kind).alias("kind"), F.col("raw_message").alias("line"), "timestamp")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kv = kv_parser.parse_kv_typed(landed(spark, sf_dir, "kv"), fx.AS_OF)
+    urls = positional.parse_url(landed(spark, sf_dir, "url"), fx.URL_AS_OF)
+
+    def part(kind: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col("raw_message").alias("line"), "timestamp")
+
+    # both forms of a traffic line come from one parse
+    times = positional.traffic_times(landed(spark, sf_dir, "traffic"), fx.AS_OF)
+    both = times.select("line", F.explode(F.create_map(
+        F.lit("traffic"), F.col("timestamp"), F.lit("slim"), F.col("slim_timestamp")
+    )).alias("kind", "timestamp"))
+    return part("kv", kv).unionByName(part("url", urls)).unionByName(both.select("kind", "line", "timestamp"))
 
 
 @query("resolve_device", on_lines("traffic_lines", f"""
 , url AS ({on_lines('url_lines', "SELECT line, CASE WHEN session_id % 2 = 0 THEN concat('DEV-', device_name) ELSE device_name END AS device_name FROM url_lines WHERE session_id % 17 <> 16 AND session_id % 13 <> 12")})
 SELECT line, {_DEVICE} AS device_name FROM traffic_lines WHERE {_TRAFFIC} UNION ALL SELECT line, device_name FROM url"""))
 def resolve_device(spark, sf_dir):
-    traffic = positional.parse_traffic(fx.traffic_lines(spark, sf_dir), fx.AS_OF)
-    urls = positional.parse_url(fx.url_lines(spark, sf_dir), fx.URL_AS_OF)
+    traffic = positional.parse_traffic(landed(spark, sf_dir, "traffic"), fx.AS_OF)
+    urls = positional.parse_url(landed(spark, sf_dir, "url"), fx.URL_AS_OF)
     return traffic.select(F.col("raw_message").alias("line"), "device_name").unionByName(
         urls.select(F.col("raw_message").alias("line"), "device_name")
     )
@@ -279,7 +289,7 @@ SELECT line, {_OUTCOME} AS as_traffic, CASE WHEN {_CUT} THEN 'error' ELSE 'skipp
 UNION ALL SELECT line, as_traffic, as_url FROM url"""))
 def route_log_type(spark, sf_dir):
     """One feed of both formats, and what each parser makes of its lines."""
-    feed = fx.traffic_lines(spark, sf_dir).unionByName(fx.url_lines(spark, sf_dir))
+    feed = landed(spark, sf_dir, "traffic").unionByName(landed(spark, sf_dir, "url"))
     split = positional.split_header(feed)
     return split.select(
         "line",
@@ -295,13 +305,28 @@ SELECT device_name, count(*) AS total_lines, CAST(count_if(outcome = 'parsed') A
 FROM (SELECT *, {_OUTCOME} AS outcome FROM traffic_lines) GROUP BY device_name"""))
 def ingest_stats(spark, sf_dir):
     """Counters per sending device."""
-    lines = positional.with_traffic_fields(fx.traffic_lines(spark, sf_dir))
+    lines = positional.with_traffic_fields(landed(spark, sf_dir, "traffic"))
     inserted = net.is_ipv4(F.get("fields", 7)) & net.is_ipv4(F.get("fields", 8))
     return validate.ingest_stats(
         lines.withColumn("device_name", F.get("header", 3)), ["device_name"], inserted
     )
 
 
+@query("parse_rate", on_lines("traffic_lines", f"""
+SELECT device_name, CAST(count_if({_OUTCOME} = 'parsed') AS BIGINT) AS parsed,
+  CASE WHEN max(epoch(ts)) > min(epoch(ts)) THEN CAST(count_if({_OUTCOME} = 'parsed') AS DOUBLE) / CAST(floor(max(epoch(ts))) - floor(min(epoch(ts))) AS BIGINT) ELSE 0 END AS lines_per_second
+FROM traffic_lines WHERE {_TRAFFIC} GROUP BY device_name"""))
+def parse_rate(spark, sf_dir):
+    """Parsed lines per second of logged time, by the host that sent them."""
+    rows = positional.parse_traffic(landed(spark, sf_dir, "traffic"), fx.AS_OF)
+    host = F.regexp_replace("device_name", "^DEV-", "").alias("device_name")
+    seconds = F.unix_timestamp(F.max("timestamp").cast("timestamp")) - F.unix_timestamp(F.min("timestamp").cast("timestamp"))
+    counted = rows.groupBy(host).agg(F.count(F.lit(1)).alias("parsed"), seconds.alias("seconds"))
+    return counted.select(
+        "device_name", "parsed", validate.parse_rate(F.col("parsed"), F.col("seconds")).alias("lines_per_second")
+    )
+
+
 # --- web-access lines -------------------------------------------------------------------------
 
 _URL_LINE = "session_id % 17 <> 16 AND session_id % 13 <> 12"
@@ -356,20 +381,32 @@ SELECT {_expected(URL_COLUMNS, _URL_KNOWN)}, CASE WHEN source_user = '' THEN ''
   CASE regexp_extract(url, '^([a-z]+):', 1) WHEN 'https' THEN 443 ELSE 80 END AS url_port
 FROM url_lines WHERE {_URL_LINE}"""))
 def parse_pan_url(spark, sf_dir):
-    return positional.parse_url(fx.url_lines(spark, sf_dir), fx.URL_AS_OF)
-
-
-@query("parse_hires_ts", on_lines("url_lines", f"""
-SELECT line, {_SECOND} + INTERVAL '250' MILLISECOND AS high_resolution_timestamp FROM url_lines WHERE {_URL_LINE}"""))
-def parse_hires_ts(spark, sf_dir):
-    rows = positional.parse_url(fx.url_lines(spark, sf_dir), fx.URL_AS_OF)
-    return rows.select(F.col("raw_message").alias("line"), "high_resolution_timestamp")
+    return positional.parse_url(landed(spark, sf_dir, "url"), fx.URL_AS_OF)
 
 
 _FIELD_TEXT = fx.URL_FIELDS | {
     0: "'1'", 31: _FULL_URL, 45: "concat(user_agent, ' (X11, Linux)')", 48: "''", 74: "'a,b'",
 }
 _JOINED = ", ".join(_FIELD_TEXT.get(i, "''") for i in range(fx.URL_LAST_FIELD))
+_BLANK = "''"
+_WIDE_NAMES = [n for i, n in URL_POSITIONS if n not in URL_COLUMNS and n != "high_resolution_timestamp"]
+
+
+@query("parse_pan_url_wide", on_lines("url_lines", "SELECT line, " + ", ".join(
+    f"coalesce(nullif({_FIELD_TEXT.get(i, _BLANK)}, ''), '') AS {n}" for i, n in dict((n, (i, n)) for i, n in URL_POSITIONS if n in _WIDE_NAMES).values()
+) + f" FROM url_lines WHERE {_URL_LINE}"))
+def parse_pan_url_wide(spark, sf_dir):
+    """The positions of a web-access line beyond the columns of the table, as text."""
+    rows = positional.parse_url(landed(spark, sf_dir, "url"), fx.URL_AS_OF, wide=True)
+    names = list(dict.fromkeys(_WIDE_NAMES))
+    return rows.select(F.col("raw_message").alias("line"), *names)
+
+
+@query("parse_hires_ts", on_lines("url_lines", f"""
+SELECT line, {_SECOND} + INTERVAL '250' MILLISECOND AS high_resolution_timestamp FROM url_lines WHERE {_URL_LINE}"""))
+def parse_hires_ts(spark, sf_dir):
+    rows = positional.parse_url(landed(spark, sf_dir, "url"), fx.URL_AS_OF)
+    return rows.select(F.col("raw_message").alias("line"), "high_resolution_timestamp")
 
 
 @query("csv_split_quoted", on_lines("url_lines", f"""
@@ -377,7 +414,7 @@ SELECT line, CAST(CASE WHEN session_id % 17 = 16 THEN NULL ELSE {fx.URL_LAST_FIE
   CASE WHEN session_id % 17 <> 16 THEN concat_ws('|', {_JOINED}) END AS joined FROM url_lines"""))
 def csv_split_quoted(spark, sf_dir):
     fields = text.split_quoted(F.col("payload"))
-    split = positional.split_header(fx.url_lines(spark, sf_dir)).withColumn("fields", fields)
+    split = positional.split_header(landed(spark, sf_dir, "url")).withColumn("fields", fields)
     return split.select(
         "line",
         F.when(F.col("fields").isNotNull(), F.size("fields")).alias("n_fields"),
@@ -396,15 +433,15 @@ def _on_forms(sql: str) -> str:
 
 
 _IP_HOST = "concat('10.1.', CAST(session_id % 250 AS VARCHAR), '.7:2121')"
-_FORM_DOMAIN = (f"CASE WHEN {_FORM} IN (5, 7) THEN '' WHEN {_FORM} = 2 THEN concat(plain_domain, ':8080') "
+_FORM_DOMAIN = (f"CASE WHEN {_FORM} = 7 THEN '' WHEN {_FORM} = 2 THEN concat(plain_domain, ':8080') "
                 f"WHEN {_FORM} = 3 THEN concat('me@', plain_domain) WHEN {_FORM} = 6 THEN {_IP_HOST} ELSE plain_domain END")
-_FORM_SCHEME = (f"CASE WHEN {_FORM} IN (1, 5, 7) THEN '' WHEN {_FORM} = 2 THEN 'https' WHEN {_FORM} = 6 THEN 'ftp' "
+_FORM_SCHEME = (f"CASE WHEN {_FORM} IN (1, 7) THEN '' WHEN {_FORM} = 2 THEN 'https' WHEN {_FORM} = 6 THEN 'ftp' "
                 "ELSE regexp_extract(plain_url, '^([a-z]+):', 1) END")
-_PLUS = f"concat(plain_url, CASE WHEN {_FORM} = 4 THEN '&b=&c=1&c=2' ELSE '' END)"
+_PLUS = f"concat(plain_url, CASE WHEN {_FORM} = 4 THEN '&b=&c=1&c=2' WHEN {_FORM} = 5 THEN repeat('x', 2100) ELSE '' END)"
 
 
 def _by_form(plain: str, sixth: str) -> str:
-    return f"CASE WHEN {_FORM} IN (5, 7) THEN '' WHEN {_FORM} = 6 THEN '{sixth}' ELSE {plain} END"
+    return f"CASE WHEN {_FORM} = 7 THEN '' WHEN {_FORM} = 6 THEN '{sixth}' ELSE {plain} END"
 
 
 _FORM_PATH = _by_form(_PATH.format(_PLUS), "/a//b")
@@ -417,14 +454,14 @@ def _forms(spark, sf_dir) -> DataFrame:
 
 
 @query("url_decompose", _on_forms(f"""
-SELECT session_id, CASE WHEN {_FORM} IN (5, 7) THEN '' ELSE url END AS url, {_FORM_DOMAIN} AS url_domain, {_FORM_PATH} AS url_path,
+SELECT session_id, CASE WHEN {_FORM} = 7 THEN '' ELSE url END AS url, {_FORM_DOMAIN} AS url_domain, {_FORM_PATH} AS url_path,
   {_FORM_QUERY} AS url_query, {_by_form(_FRAGMENT.format(_PLUS), '')} AS url_fragment, {_FORM_SCHEME} AS url_scheme FROM forms"""))
 def url_decompose(spark, sf_dir):
     return _forms(spark, sf_dir).drop("url_port")
 
 
 @query("url_port", _on_forms(f"""
-SELECT session_id, CASE WHEN {_FORM} IN (1, 5, 7) THEN 0 WHEN {_FORM} = 2 THEN 8080 WHEN {_FORM} = 6 THEN 2121
+SELECT session_id, CASE WHEN {_FORM} IN (1, 7) THEN 0 WHEN {_FORM} = 2 THEN 8080 WHEN {_FORM} = 6 THEN 2121
   WHEN starts_with(plain_url, 'https:') THEN 443 ELSE 80 END AS url_port FROM forms"""))
 def url_port(spark, sf_dir):
     return _forms(spark, sf_dir).select("session_id", "url_port")

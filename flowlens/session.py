@@ -38,6 +38,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowlens-"))
         # call sites of every Column call cost half of the time to build a wide parser
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -49,16 +50,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
+    """The folder every executor can reach, as the session names it in spark.checkpoint.dir.
 
-    Only a local session without that setting gets a folder of its own.
+    A session without that setting must have a checkpoint directory; only one that runs on a single
+    machine gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="flowlens-")
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlens-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
@@ -73,6 +74,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """DataFrame.checkpoint() needs the folder set on the context, too."""
     if spark.sparkContext.getCheckpointDir() is None:

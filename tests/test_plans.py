@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import grouping, paging, summary, unify
 from flowlens.operators.filters import FilterSpec, TimeWindow
+from flowlens.plans import catalogue
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalogue import QUERIES
 from flowlens.session import scratch_dir
@@ -74,9 +75,34 @@ def test_subnet_rollup_shuffles_twice(spark, sf_dir):
     assert text.count("Exchange hashpartitioning") == 2
 
 
-def test_page_is_top_k(spark, sf_dir):
-    text = plan(paging.newest_page(spark.read.parquet(_stored_flows(spark, sf_dir)), 3, ts="ts"))
-    assert "TakeOrderedAndProject" in text and "Exchange" not in text
+def test_page_has_no_growing_offset(spark, sf_dir):
+    """A page is a filter on rows that lie in order, whatever its depth."""
+    rows = spark.read.parquet(_stored_flows(spark, sf_dir))
+    for found in (paging.newest_page(rows, 3, ts="ts"), paging.newest_page(rows, 90, ts="ts"),
+                  paging.clamped_page(rows, [F.asc("ts"), F.asc("src_ip")], 10**9).rows):
+        text = plan(found)
+        assert "TakeOrderedAndProject" not in text and "Limit" not in text
+
+
+def test_lines_are_parsed_once(spark, sf_dir):
+    """Acceptance, and both times of a traffic line, come from one scan of the lines."""
+    text = plan(catalogue.QUERIES["split_valid_invalid"](spark, sf_dir), "simple")
+    assert text.count("FileScan text") == 1
+    text = plan(catalogue.QUERIES["resolve_event_time"](spark, sf_dir), "simple")
+    assert text.count("FileScan text") == 3, "key-value, traffic and web-access lines, once each"
+
+
+def test_parsers_compile(spark, sf_dir):
+    """No stage of a parser falls back from generated code."""
+    names = [n for n in catalogue.QUERIES if n.startswith("parse_")]
+    assert len(names) >= 9
+    for name in names:
+        catalogue.QUERIES[name](spark, sf_dir)  # lands the lines
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        try:
+            catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        finally:
+            spark.conf.unset("spark.sql.codegen.fallback")
 
 
 _stored = {}

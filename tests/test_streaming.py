@@ -24,8 +24,48 @@ def test_quarantine_holds_the_rest(spark, sf_dir):
     stream = syslog.stream_syslog(spark, landing).select("line")
     ingest.ingest_kv(stream, root, f"{root}/checkpoint", fx.AS_OF, ONCE).awaitTermination()
     good, bad = validate.split_valid_invalid(parse_kv.parse_kv_typed(lines, fx.AS_OF))
-    assert rows(ingest.stored(spark, root, "accepted").drop("batch_id", "ym")) == rows(good)
-    assert rows(ingest.stored(spark, root, "quarantine").drop("batch_id")) == rows(bad)
+    for branch, want in (("accepted", good), ("quarantine", bad)):
+        found = ingest.stored(spark, root, branch, ingest.kv_schema(spark, branch, fx.AS_OF))
+        assert rows(found.drop("batch_id", "ym")) == rows(want)
+
+
+def _positional(spark, lines, name):
+    root = scratch_dir(spark, name)
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{root}/in")
+    stream = syslog.stream_syslog(spark, f"{root}/in").select("line")
+    ingest.ingest_positional(stream, root, f"{root}/checkpoint", fx.AS_OF, ONCE).awaitTermination()
+    return {
+        b: ingest.stored(spark, root, b, ingest.positional_schema(spark, b, fx.AS_OF))
+        for b in ingest.positional_branches(fx.AS_OF)
+    }
+
+
+def test_batch_without_an_accepted_row(spark):
+    """Each line is in one place, and a branch that never had a row reads as empty."""
+    bad = "Jun 8 13:33:23 fw " + ",".join(["1", "2025/06/08 13:33:23", "s", "TRAFFIC", "end", "x", "r", "bad", "also bad"] + ["0"] * 60)
+    other = "Jun 8 13:33:23 fw 1,2,3,SYSTEM,general,x"
+    found = _positional(spark, [bad, other, "broken", ""], "test-rejects")
+    counts = {b: df.count() for b, df in found.items()}
+    assert counts == {"traffic": 0, "traffic_quarantine": 1, "urls": 0, "unreadable": 3}
+    assert sorted(r["outcome"] for r in found["unreadable"].collect()) == ["error", "error", "skipped"]
+
+
+def test_nothing_stored_yet(spark):
+    schema = ingest.positional_schema(spark, "traffic", fx.AS_OF)
+    assert ingest.stored(spark, scratch_dir(spark, "test-none"), "traffic", schema).count() == 0
+
+
+def test_metrics_of_more_than_a_hundred_batches(spark, sf_dir):
+    from flowlens.operators import parse_positional as positional
+
+    root = scratch_dir(spark, "test-many")
+    line = fx.traffic_lines(spark, sf_dir).first()["line"]
+    spark.range(0, 105, 1, 105).select(F.lit(line).alias("value")).write.text(f"{root}/in")
+    stream = syslog.stream_syslog(spark, f"{root}/in", max_files=1).select("line")
+    judged = positional.with_traffic_fields(stream).select("outcome")
+    ingest.ingest_counted(judged, root, f"{root}/checkpoint", None, ONCE).awaitTermination()
+    found = ingest.metrics(spark, root)
+    assert found.count() == 105 and found.agg(F.sum("total_lines")).first()[0] == 105
 
 
 def test_repeated_batch_is_stored_once(spark, sf_dir):
