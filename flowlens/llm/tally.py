@@ -45,9 +45,9 @@ def unsqueeze_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(blob), dtype=np.uint64)
 
 
-def bucket_bits(keys: int) -> int:
-    """Leading bits to cut by, so that a bucket holds BUCKET_KEYS about."""
-    return max(0, (max(1, keys) // BUCKET_KEYS).bit_length())
+def bucket_bits(keys: int, each: int = BUCKET_KEYS) -> int:
+    """Leading bits to cut by, so that a bucket holds `each` keys about."""
+    return max(0, (max(1, keys) // each).bit_length())
 
 
 def requests(
@@ -59,7 +59,7 @@ def requests(
     """
     bucket = (keys >> np.uint64(bits - cut)).astype(np.int64)
     names, first = np.unique(bucket, return_index=True)
-    ends = np.append(first[1:], len(keys))
+    ends = np.append(first, len(keys))[1:]
     if len(names):
         spans = list(zip(first.tolist(), ends.tolist(), strict=True))
         yield pa.record_batch(
