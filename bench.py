@@ -1,8 +1,8 @@
 """Time the headline queries. Prints one JSON line.
 
-Each query is built, run in full and its rows thrown away (noop sink); the best of the runs counts.
-A query that has taken BENCH_LONG seconds is not run again. BENCH_SF_DIR, BENCH_CPUS and BENCH_RUNS
-set data, cores and runs.
+Each query is built, run in full and its rows thrown away (noop sink). The first run of a query warms up
+and is not counted; the best of BENCH_RUNS further runs is, so all figures are warm. BENCH_SF_DIR and
+BENCH_CPUS set data and cores. Fixture rows are dealt over all cores.
 """
 
 from __future__ import annotations
@@ -32,22 +32,21 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
-    long = float(os.environ.get("BENCH_LONG", "12"))
-    spark = local_session(cpus, shuffle_partitions=8)
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    spark = local_session(cpus, shuffle_partitions=8, flowlens__fixture__tasks=cpus)
     seconds: dict[str, float] = {}
     for name in HEADLINE:
         times: list[float] = []
-        while len(times) < runs and sum(times) < long:
+        for _ in range(1 + runs):
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
-        seconds[name] = round(min(times), 3)
+        seconds[name] = round(min(times[1:]), 3)
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
             {
-                "metric": "total seconds of headline queries",
+                "metric": "total seconds of headline queries, warm",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

