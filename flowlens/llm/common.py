@@ -16,8 +16,8 @@ from flowlens.session import scratch_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Bytes of text that one numpy step looks at; a single longer text is a step of its own.
-PIECE_BYTES = 8 << 20
-BATCH_BYTES = 32 << 20
+PIECE_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:

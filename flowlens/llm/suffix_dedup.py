@@ -44,7 +44,7 @@ class _Chunk:
     """Words and windows of a chunk."""
 
     def __init__(self, blob: bytes, size: int):
-        from flowlens.llm.words import grams, split, texts
+        from flowlens.llm.words import split, texts
 
         self.table, self.size = thawed(blob), size
         data, offsets = texts(self.table.column("__text"))
@@ -54,7 +54,12 @@ class _Chunk:
         self.ids = ids.fill_null(0).to_numpy()
         self.per_doc = self.words.per_doc()
         self.first = np.cumsum(self.per_doc) - self.per_doc
-        hashes = self.words.hashes()
+
+    def look(self) -> None:
+        """Find all windows: at (their first words), window (hashes), anchor, doc."""
+        from flowlens.llm.words import grams
+
+        size, hashes = self.size, self.words.hashes()
         anchor = min(ANCHOR, size)
         at, value = grams(hashes, self.words.doc, anchor)
         least = np.full(max(0, len(hashes) - anchor + 1), ~U64(0))
@@ -71,7 +76,8 @@ class _Chunk:
         self.doc = self.words.doc[self.at]
 
     def repeated(self, totals: np.ndarray) -> None:
-        """Keep the windows whose anchor occurs in more than one document."""
+        """Find the windows whose anchor occurs in more than one document."""
+        self.look()
         keys = np.unique(self.anchor)
         keep = totals[np.searchsorted(keys, self.anchor)] > 1
         self.at, self.window, self.doc = self.at[keep], self.window[keep], self.doc[keep]
@@ -85,6 +91,7 @@ def _anchors(packed: DataFrame, size: int, cut: int) -> DataFrame:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = _Chunk(blob, size)
+                c.look()
                 order = np.lexsort((c.doc, c.anchor))
                 key, doc = c.anchor[order], c.doc[order]
                 new = np.ones(len(key), bool)
@@ -111,7 +118,7 @@ def _runs(packed: DataFrame, size: int) -> DataFrame:
         keys, which = np.unique(c.window, return_inverse=True)
         order = np.lexsort((ids, which))
         starts = np.flatnonzero(np.diff(which[order], prepend=-1))
-        ends = np.append(starts[1:], len(order)) - 1
+        ends = np.append(starts, len(order))[1:] - 1
         sorted_ids = ids[order]
         yield from tally.requests(chunk, keys, sorted_ids[starts], 64, cut, sorted_ids[ends])
 
@@ -129,7 +136,7 @@ def _runs(packed: DataFrame, size: int) -> DataFrame:
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner)) - 1
+        last = np.append(first, len(owner))[1:] - 1
         out = [[] for _ in range(7)]
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             begin, end, d = int(at[a]), int(at[b]) + size, int(doc[a])
