@@ -8,14 +8,17 @@
 
 Candidates: each document gives bands * rows consistent weighted samples. A sample keeps the least ln a of the
 shingles, a value that the shingle and its quantized weight t determine, and hence stands for both. Documents
-that agree on all samples of a band meet in a bucket. At similarity 0.8, 9 bands of 3 miss 0.2 % of pairs.
+that agree on all samples of a band meet in a bucket: at similarity 0.8, 14 bands of 4 miss 0.06 % of pairs. Documents
+that meet others give SAMPLES more, one bit of each; pairs are candidates if their bits differ in no more places than at the
+threshold plus 3.5 standard deviations, which misses another 0.02 %.
 
 - Documents whose shingles that occur elsewhere weigh less than the threshold of their whole weight cannot
   have a partner and skip the buckets; this is exact, as common shingles hold that share of both documents.
 - Documents with the same shingles and counts are collapsed by a 128-bit key before they meet buckets.
-- In a bucket all members are compared with its least row, its pivot. Members linked to it are one class. Pairs of
-  different classes in one bucket are compared next unless their distances to the pivot differ by more than the
-  distance allowed: 1 - similarity is a metric, so such pairs cannot be linked. No bucket is gathered.
+- In a bucket all candidates are compared with its least row, its pivot. Members linked to it are one class. A bucket with
+  members of other classes gets another pivot among these, PIVOTS times in all, while classes merge across buckets. Then
+  all candidate pairs of different classes that still share a bucket are compared, each in the first band they share, so
+  that none is left out; pairs of one class need no more links. No bucket is gathered.
 
 Each row gives one row; repeated rows are copies of each other. Null and empty texts, and texts of white space, are
 classes of their own. class_id is the least doc_id of a class; null ids count only if there is no other. An empty
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tally
@@ -37,7 +40,10 @@ from flowlens.llm.common import ROW_BITS, land, packed_size, packed_texts, thawe
 from flowlens.llm.components import components
 
 U64 = np.uint64
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 9, 3
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 4
+SAMPLES = 1024
+# Times that open buckets get another pivot before all open pairs are compared.
+PIVOTS = 4
 # Bits of a shingle's key.
 BITS = 48
 # Random (r, beta, ln c) that keys are hashed to, shared by all samples.
@@ -46,38 +52,50 @@ SKETCH = "row long, doc_id long, key binary, bands array<long>, payload binary"
 
 
 class Sampler:
-    def __init__(self, samples: int, seed: int = 20):
-        rng = np.random.Generator(np.random.PCG64(seed))
+    """Consistent weighted samples. Weights enter in steps of 5 %, beyond e of 20 %, so that ln a of all
+    table entries is held for each step; the check of links uses the weights as they are."""
+
+    def __init__(self, samples: int, seed: int):
+        rng = np.random.Generator(np.random.PCG64(20))
         n = 1 << TABLE_BITS
         self.r = -np.log(rng.random(n) * rng.random(n))
         self.log_c = np.log(-np.log(rng.random(n) * rng.random(n)))
         self.beta = rng.random(n)
-        self.factors = rng.integers(1, 1 << 63, samples, dtype=np.uint64) * U64(2) + U64(1)
-        self.usual: dict[float, np.ndarray] = {}
-
-    def log_a(self, at: np.ndarray, log_w: np.ndarray | float) -> np.ndarray:
-        r, beta = self.r[at], self.beta[at]
-        t = np.floor(log_w / r + beta)
-        return self.log_c[at] - r * (t - beta) - r
-
-    def samples(self, keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, usual: float) -> np.ndarray:
-        """(samples, documents): the least ln a of each document's shingles. Most weigh `usual`."""
-        if usual not in self.usual:
-            self.usual = {usual: self.log_a(np.arange(1 << TABLE_BITS), np.log(usual))}
-        table = self.usual[usual]
-        odd = np.flatnonzero(weights != usual)
-        log_w = np.log(weights[odd])
+        drawn = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, samples, dtype=np.uint64)
+        self.factors = drawn * U64(2) + U64(1)
+        self.tables: dict[int, np.ndarray] = {}
+
+    def table(self, step: int) -> np.ndarray:
+        """ln a of all entries for one step of weights."""
+        if step not in self.tables:
+            log_w = step / 20 if step < 20 else 1 + (step - 20) / 5
+            t = np.floor(log_w / self.r + self.beta)
+            self.tables[step] = (self.log_c - self.r * (t - self.beta) - self.r).astype(np.float32)
+        return self.tables[step]
+
+    def samples(self, keys: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(samples, documents): the least ln a of each document's shingles."""
+        log_w = np.log(weights)
+        steps = np.where(log_w < 1, np.round(log_w * 20), 20 + np.round((log_w - 1) * 5)).astype(np.int64)
+        names, which = np.unique(steps, return_inverse=True)
+        flat = np.concatenate([self.table(s) for s in names.tolist()])
+        offset = which.astype(U64) << U64(TABLE_BITS)
         spread = keys * U64(0x9E3779B97F4A7C15)
         spread ^= spread >> U64(29)
-        out = np.empty((len(self.factors), len(starts)))
+        out = np.empty((len(self.factors), len(starts)), np.float32)
         for k, factor in enumerate(self.factors):
-            at = (spread * factor) >> U64(64 - TABLE_BITS)
-            a = table[at]
-            a[odd] = self.log_a(at[odd], log_w)
-            out[k] = np.minimum.reduceat(a, starts)
+            out[k] = np.minimum.reduceat(flat[offset + ((spread * factor) >> U64(64 - TABLE_BITS))], starts)
         return out
 
 
+_SAMPLERS: dict[tuple[int, int], Sampler] = {}
+
+
+def sampler(samples: int, seed: int) -> Sampler:
+    """One for each worker."""
+    return _SAMPLERS.setdefault((samples, seed), Sampler(samples, seed))
+
+
 def shingles(texts_column, size: int, bits: int = BITS):
     """Distinct (document, key) ascending, and counts: doc, key, tf."""
     from flowlens.llm.words import grams, mix, split, texts
@@ -124,7 +142,7 @@ def _sketched(
     """SKETCH of each document; key, bands and payload only where a partner is possible."""
     cut = tally.bucket_bits(n_bytes // 6)
     log_n = float(np.log(max(n, 2)))
-    usual = 1.5 if n > 1 else 1.0
+    rare = 1.5 if n > 1 else 1.0
 
     def sketch(chunk: int, blob: bytes, df: np.ndarray) -> Iterator[pa.RecordBatch]:
         from flowlens.llm.words import mix
@@ -134,7 +152,7 @@ def _sketched(
         doc, keys, tf = shingles(table.column("__text"), size)
         distinct, which = np.unique(keys, return_inverse=True)
         df = df.astype(np.float64)[which]
-        idf = np.where(df <= 1, usual, 1 + np.log(max(n, 2) / df) / (2 * log_n))
+        idf = np.where(df <= 1, rare, 1 + np.log(max(n, 2) / df) / (2 * log_n))
         weights = tf * idf
         out_key, out_bands, out_payload = ([None] * len(names) for _ in range(3))
         starts = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -147,11 +165,12 @@ def _sketched(
                 pick = np.repeat(may, np.diff(np.append(starts, len(doc))))
                 d, k, w, t = doc[pick], keys[pick], weights[pick], tf[pick]
                 begin = np.flatnonzero(np.diff(d, prepend=-1))
-                signature = Sampler(bands * rows).samples(k, w, begin, usual).view(U64).reshape(bands, rows, -1)
+                signature = sampler(bands * rows, 21).samples(k, w, begin).view(np.uint32).astype(U64)
+                signature = signature.reshape(bands, rows, -1)
                 band = np.full((bands, len(begin)), U64(bands))
                 for j in range(rows):
                     band = mix((band ^ signature[:, j]) * U64(0x9E3779B97F4A7C15))
-                ends = np.append(begin[1:], len(d))
+                ends = np.append(begin, len(d))[1:]
                 for i, (a, b) in enumerate(zip(begin.tolist(), ends.tolist(), strict=True)):
                     place = int(d[a])
                     packed_keys, counts = tally.squeeze_sorted(k[a:b]), t[a:b].astype("<u4").tobytes()
@@ -213,6 +232,74 @@ def _compared(pairs: DataFrame, sketches: DataFrame, carry: tuple[str, ...] = ()
     return rows.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long, similarity double")
 
 
+def _marked(sketches: DataFrame) -> DataFrame:
+    """row, bands and one bit of each of SAMPLES further samples."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from flowlens.llm.words import mix
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                sets = [_weights(p) for p in part.column(2).to_pylist()]
+                starts = np.cumsum([0, *(len(k) for k, _ in sets)])[:-1]
+                found = sampler(SAMPLES, 22).samples(*(np.concatenate(x) for x in zip(*sets, strict=True)), starts)
+                ones = (mix(found.view(np.uint32).astype(U64)) >> U64(63)).astype(np.uint8)
+                bits = np.ascontiguousarray(np.packbits(ones, axis=0).T).view("<i8")
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), pa.array(bits.tolist(), pa.list_(pa.int64()))], ["row", "bands", "bits"]
+                )
+
+    return sketches.select("row", "bands", "payload").mapInArrow(mark, "row long, bands array<long>, bits array<long>")
+
+
+def _may_link(a: str, b: str, threshold: float) -> Column:
+    """Samples of a pair agree with the chance of its similarity, else their bits do by half."""
+    chance = (1 - threshold) / 2
+    most = SAMPLES * chance + 3.5 * (SAMPLES * chance * (1 - chance)) ** 0.5
+    words = range(SAMPLES // 64)
+    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words), F.lit(0))
+    return apart <= F.lit(int(most))
+
+
+def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int) -> DataFrame:
+    """Candidates x < y of which one is its bucket's pivot: first the least row, later a row by hash among
+    those that are not of the least row's class."""
+    if step == 0:
+        pivots = met.groupBy("band", "hash").agg(F.min("row").alias("pivot"))
+        named = pivots.withColumn("pivot_root", F.col("pivot"))
+    else:
+        least = met.groupBy("band", "hash").agg(F.min(F.struct("row", "root")).alias("m"))
+        outside = met.join(least, ["band", "hash"]).where(F.col("root") != F.col("m.root"))
+        drawn = F.min(F.struct(F.xxhash64("row", F.lit(step)), "row", "root"))
+        named = outside.groupBy("band", "hash").agg(drawn.alias("p")).select(
+            "band", "hash", F.col("p.row").alias("pivot"), F.col("p.root").alias("pivot_root")
+        )
+    pairs = met.join(named, ["band", "hash"]).where(F.col("root") != F.col("pivot_root"))
+    pairs = pairs.select(F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
+    bits = marks.select("row", "bits")
+    marked = pairs.join(bits.select(F.col("row").alias("x"), F.col("bits").alias("a")), "x").join(
+        bits.select(F.col("row").alias("y"), F.col("bits").alias("b")), "y"
+    )
+    return marked.where(_may_link("a", "b", threshold)).select("x", "y")
+
+
+def _open_pairs(met: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Candidates x < y of different classes, each from the first band whose bucket they share."""
+    rows = met.join(marks, "row")
+    a, b = rows.alias("a"), rows.alias("b")
+    agree = F.array(*[F.col("a.bands")[k] == F.col("b.bands")[k] for k in range(BANDS)])
+    return a.join(
+        b,
+        (F.col("a.band") == F.col("b.band"))
+        & (F.col("a.hash") == F.col("b.hash"))
+        & (F.col("a.row") < F.col("b.row"))
+        & (F.col("a.root") != F.col("b.root"))
+        & _may_link("a.bits", "b.bits", threshold)
+        & (F.array_position(agree, True) == F.col("a.band") + 1),
+    ).select(F.col("a.row").alias("x"), F.col("b.row").alias("y"))
+
+
 def linked(
     packed: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -222,39 +309,29 @@ def linked(
     keyed = sketches.where(F.col("key").isNotNull())
     same = land(keyed.groupBy("key").agg(F.min("row").alias("rep")), "copies")
     reps = keyed.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
-    # Only documents that meet another one in a bucket are compared.
     held = reps.select("row", F.posexplode("bands").alias("band", "hash"))
-    pivots = held.groupBy("band", "hash").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = land(held.join(pivots.drop("n"), ["band", "hash"]), "buckets")
-    near = met.where("row != pivot").select(F.col("pivot").alias("x"), F.col("row").alias("y")).distinct()
-    compared = land(_compared(near, sketches), "compared")
-    links = compared.where(F.col("similarity") >= threshold).select("x", "y")
-    roots = land(components(links, "x", "y"), "roots")
-
-    # What a pivot left open: pairs of different classes in one bucket.
-    known = compared.select(F.col("x").alias("pivot"), F.col("y").alias("row"), (1 - F.col("similarity")).alias("d"))
-    members = met.where("row != pivot").join(known, ["pivot", "row"])
-    members = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn(
-        "root", F.coalesce("root", F.col("row"))
-    )
-    members = members.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-    members = members.withColumn("outside", F.col("root") != F.coalesce("pivot_root", F.col("pivot")))
-    members = land(members.select("band", "hash", "row", "root", "d", "outside"), "members")
-    a, b = members.where("outside").alias("a"), members.alias("b")
-    reach = 1 - threshold + 1e-9
-    # Each unordered pair once: the other one is inside, or of a higher row.
-    rest = a.join(
-        b,
-        (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.hash") == F.col("b.hash"))
-        & (F.col("a.root") != F.col("b.root"))
-        & (~F.col("b.outside") | (F.col("a.row") < F.col("b.row")))
-        & (F.abs(F.col("a.d") - F.col("b.d")) <= reach),
-    ).select(F.least("a.row", "b.row").alias("x"), F.greatest("a.row", "b.row").alias("y")).distinct()
-    done = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = _compared(rest.join(done, ["x", "y"], "left_anti"), sketches)
-    more = land(more, "compared").where(F.col("similarity") >= threshold).select("x", "y")
-    roots = components(links.unionByName(more), "x", "y") if not more.isEmpty() else roots
+    shared = held.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Buckets with members of several classes; at first each document is a class.
+    met = land(held.join(shared, ["band", "hash"]).withColumn("root", F.col("row")), "buckets")
+    marks = land(_marked(reps.join(met.select("row").distinct(), "row", "left_semi")), "marks")
+    done = marks.sparkSession.createDataFrame([], "x long, y long, similarity double")
+    roots = done.select(F.col("x").alias("node"), F.col("y").alias("root"))
+    step = 0
+    while step <= PIVOTS and not met.isEmpty():
+        pairs = _pivot_pairs(met, marks, threshold, step) if step < PIVOTS else _open_pairs(met, marks, threshold)
+        pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
+        compared = land(_compared(pairs, sketches), "compared")
+        done = done.unionByName(compared)
+        link = F.col("similarity") >= threshold
+        if compared.where(link).isEmpty():
+            step = PIVOTS if step < PIVOTS else PIVOTS + 1
+            continue
+        roots = land(components(done.where(link), "x", "y"), "roots")
+        met = met.drop("root").join(roots.withColumnRenamed("node", "row"), "row", "left")
+        met = met.withColumn("root", F.coalesce("root", "row"))
+        mixed = met.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        met = land(met.join(mixed.where("low != high").select("band", "hash"), ["band", "hash"]), "buckets")
+        step += 1
 
     plain = sketches.select("row", "doc_id", "key").join(same, "key", "left")
     plain = plain.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
