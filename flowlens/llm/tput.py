@@ -3,14 +3,15 @@
 Vectors become integers, floor(scale * x). The score of a row is the sum over `slices` of its dimensions, and each slice
 is a node with a score list of its own, held in blocks of rows.
 
-1. Each node gathers its k best partial scores, and its least one. Rows seen get a lower bound: what is known of
-   them plus the least of the nodes that did not send them. The k-th best bound is the first cutoff.
+1. Each node gathers its best partial scores, DEPTH * k of them, and its least one. The rows seen are few and are scored
+   in full; the k-th best score is the first cutoff. It is safe, as k rows reach it.
 2. The cutoff, less the sum of the least scores, is shared out evenly, so each node gets its least score plus an even share.
-   It sends all entries that reach this. A row that reaches the cutoff in sum reaches its share in some node, so
-   no answer is missed. With the new entries the bounds rise, and rows whose upper bound stays below drop out.
-3. What remains is scored in full, from the vectors.
+   It marks all entries that reach this. A row that reaches the cutoff in sum reaches its share in some node, so
+   no answer is missed.
+3. Marked rows are scored in full where they lie, as a block holds all slices of its rows; those that reach the cutoff
+   are sent, and the best k of them are the answer.
 
-Entries travel as one row for each (query, row, node); per query, the phases are joins on the query id.
+The cutoffs of a query block go to all blocks with the block itself.
 
 Of equal integer vectors only the k + 1 least ids are held, as no answer has room for more; this is exact.
 
@@ -33,6 +34,8 @@ from flowlens.llm import vectors
 from flowlens.llm.common import land
 
 SLICES = 2
+# Phase 1 takes so many times k entries from each node: the more, the nearer its cutoff is to the k-th score.
+DEPTH = 8
 
 
 def exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,7 +102,7 @@ def top_k(
             low = scores.min(axis=1)
             own = qid[:, None] == vid[None, :]
             masked = np.where(own, np.iinfo(np.int64).min, scores)
-            take = min(k, len(vid))
+            take = min(DEPTH * k, len(vid))
             at = np.argpartition(-masked.astype(np.float64), take - 1, axis=1)[:, :take]
             value = np.take_along_axis(masked, at, 1)
             real = ~np.take_along_axis(own, at, 1)
@@ -115,65 +118,40 @@ def top_k(
     first = land(_work(pairs, width, ENTRY + ", floor boolean", best), "phase1")
     floors = first.where("floor").groupBy("query_id", "slice").agg(F.min("part").alias("low"))
     seen = vectors.least(
-        first.where("NOT floor").withColumn("list", F.struct("query_id", "slice")), k, -F.col("part"), by="list"
-    ).select("query_id", "vec_id", "slice", "part")
+        first.where("NOT floor").withColumn("list", F.struct("query_id", "slice")), DEPTH * k, -F.col("part"), by="list"
+    ).select("query_id", "vec_id").distinct()
     lows = floors.groupBy("query_id").agg(F.sum("low").alias("low_sum"))
-    cut = _cutoff(seen, floors, lows, k)
+    query_rows = rows.where(is_query(F.col("vec_id"))).dropDuplicates()
+    cut = _cutoff(_scored(seen, rows, query_rows), lows, k)
     # Even shares, rounded down: they sum to the cutoff at most.
     share = F.floor((F.col("cutoff") - F.col("low_sum")) / F.lit(slices)).cast("long")
     limits = floors.join(lows.join(cut, "query_id"), "query_id").select(
         "query_id", "slice", (F.col("low") + F.greatest(share, F.lit(0))).alias("limit")
     )
-    by_query = limits.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("slice", "limit"))).alias("m"))
-    told = _told(asked, by_query, slices)
+    whole_cut = cut.select("query_id", F.lit(slices).alias("slice"), F.col("cutoff").alias("limit"))
+    by_query = limits.unionByName(whole_cut).groupBy("query_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("slice", "limit"))).alias("m")
+    )
+    told = _told(asked, by_query, slices + 1)
 
     def reach(row, qid, q, vid, v):
-        """Phase 2: entries that reach the node's limit."""
-        limit = np.frombuffer(row["q_limits"], "<i8").reshape(len(qid), slices)
-        for s, part in enumerate(_parts(q.shape[1], slices)):
-            scores = exact_dot(q[:, part], v[:, part])
-            i, j = np.nonzero((scores >= limit[:, s, None]) & (qid[:, None] != vid[None, :]))
-            yield _entries(qid[i], vid[j], s, scores[i, j], None)
-
-    sent = land(_work(vectors.meeting(told, held), width, ENTRY, reach), "phase2")
-    # Equal ids may differ in their vectors: bounds take the best of each node.
-    entry = sent.groupBy("query_id", "vec_id", "slice").agg(F.max("part").alias("part"), F.min("part").alias("worst"))
-    bounds = (
-        entry.join(limits, ["query_id", "slice"])
-        .join(floors, ["query_id", "slice"])
-        .groupBy("query_id", "vec_id")
-        .agg(
-            F.sum(F.col("worst") - F.col("low")).alias("above"),
-            F.sum(F.col("part") - F.col("limit")).alias("over"),
+        """Phase 2: entries that reach the limit of a node. Phase 3: their scores in full, if they reach the cutoff."""
+        limit = np.frombuffer(row["q_limits"], "<i8").reshape(len(qid), slices + 1)
+        parts = [exact_dot(q[:, part], v[:, part]) for part in _parts(q.shape[1], slices)]
+        marked = qid[:, None] != vid[None, :]
+        marked &= np.logical_or.reduce([p >= limit[:, s, None] for s, p in enumerate(parts)])
+        i, j = np.nonzero(marked)
+        score = sum(p[i, j] for p in parts)
+        good = score >= limit[i, slices]
+        yield pa.record_batch(
+            {
+                "query_id": pa.array(qid[i[good]], pa.int64()),
+                "vec_id": pa.array(vid[j[good]], pa.int64()),
+                "score": pa.array(score[good], pa.int64()),
+            }
         )
-    )
-    totals = limits.groupBy("query_id").agg(F.sum("limit").alias("limit_sum")).join(lows, "query_id")
-    # A row lacks at most what a node would have sent: upper bound = its parts, and limits for the rest.
-    bounds = bounds.join(totals, "query_id").select(
-        "query_id", "vec_id", (F.col("above") + F.col("low_sum")).alias("lower"), (F.col("over") + F.col("limit_sum")).alias("upper")
-    )
-    bounds = land(bounds, "bounds")
-    second = vectors.least(bounds, k, -F.col("lower")).groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("lower")).alias("cutoff")
-    )
-    left = bounds.join(second, "query_id").where("cutoff IS NULL OR upper >= cutoff").select("query_id", "vec_id")
-    # Phase 3: full scores of what is left.
-    query_rows = rows.where(is_query(F.col("vec_id"))).dropDuplicates()
-    full = left.join(rows.select("vec_id", F.col("embedding").alias("v")), "vec_id").join(
-        query_rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"
-    )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q, v = vectors.widened(vectors.matrix(batch.column(2)), vectors.matrix(batch.column(3)))
-                exact = (np.abs(q).max(initial=0)) * (np.abs(v).max(initial=0)) * max(1, q.shape[1]) < 2**53
-                total = (q * v).sum(1).astype(np.int64) if exact else np.array(
-                    [exact_dot(q[i : i + 1], v[i : i + 1])[0, 0] for i in range(len(q))], np.int64
-                )
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], ["query_id", "vec_id", "score"])
 
-    scored = full.select("query_id", "vec_id", "q", "v").mapInArrow(score, "query_id long, vec_id long, score long")
+    scored = _work(vectors.meeting(told, held), width, "query_id long, vec_id long, score long", reach)
     # Queries with fewer candidates than k have limits at their least scores, so they get them all.
     return vectors.least(scored.distinct(), k, -F.col("score")).select("query_id", "rank", "vec_id", "score")
 
@@ -188,18 +166,29 @@ def _entries(query, vec, s, part, floor) -> pa.RecordBatch:
     return pa.record_batch(columns | ({"floor": pa.array(floor)} if floor is not None else {}))
 
 
-def _cutoff(seen: DataFrame, floors: DataFrame, lows: DataFrame, k: int) -> DataFrame:
-    """query_id, cutoff: the k-th best lower bound of the rows seen, or the least sum if there are fewer."""
-    known = seen.groupBy("query_id", "vec_id", "slice").agg(F.min("part").alias("part"))
-    lower = (
-        known.join(floors, ["query_id", "slice"])
-        .groupBy("query_id", "vec_id")
-        .agg(F.sum(F.col("part") - F.col("low")).alias("above"))
-        .join(lows, "query_id")
-        .select("query_id", "vec_id", (F.col("above") + F.col("low_sum")).alias("lower"))
+def _scored(pairs: DataFrame, rows: DataFrame, query_rows: DataFrame) -> DataFrame:
+    """query_id, vec_id, score of pairs, in full; equal ids with other vectors give a row each."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, v = vectors.widened(vectors.matrix(batch.column(2)), vectors.matrix(batch.column(3)))
+                exact = (np.abs(q).max(initial=0)) * (np.abs(v).max(initial=0)) * max(1, q.shape[1]) < 2**53
+                total = (q * v).sum(1).astype(np.int64) if exact else np.array(
+                    [exact_dot(q[i : i + 1], v[i : i + 1])[0, 0] for i in range(len(q))], np.int64
+                )
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(total)], ["query_id", "vec_id", "score"])
+
+    full = pairs.join(rows.select("vec_id", F.col("embedding").alias("v")), "vec_id").join(
+        query_rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id"
     )
-    kept = vectors.least(lower, k, -F.col("lower")).groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("lower")).alias("cutoff")
+    return full.select("query_id", "vec_id", "q", "v").mapInArrow(score, "query_id long, vec_id long, score long")
+
+
+def _cutoff(scored: DataFrame, lows: DataFrame, k: int) -> DataFrame:
+    """query_id, cutoff: the k-th best score of the rows seen, or the least sum if there are fewer."""
+    kept = vectors.least(scored.distinct(), k, -F.col("score")).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("cutoff")
     )
     return lows.join(kept, "query_id", "left").select("query_id", F.coalesce("cutoff", "low_sum").alias("cutoff"))
 
