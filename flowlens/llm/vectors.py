@@ -83,14 +83,16 @@ def blocks(vectors: DataFrame, rows_per_block: int, name: str) -> DataFrame:
 
 
 def few_of_each(rows: DataFrame, k: int) -> DataFrame:
-    """Of rows with equal vectors, the k + 1 with the least ids: no top k has room for more of them.
+    """Of rows with equal vectors, those with the k + 1 least ids: no top k has room for more of them.
 
-    Each task cuts its own rows down before they are dealt out by vector.
+    A row that is repeated takes one place and is held once. Each task cuts its own rows down before they are dealt out by
+    vector.
     """
     from pyspark.sql import Window
 
     order = Window.partitionBy("embedding").orderBy("vec_id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
+    few = rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1).drop("place")
+    return few.dropDuplicates(["vec_id", "embedding"])
 
 
 def opened(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:

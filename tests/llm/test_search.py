@@ -41,6 +41,17 @@ def test_top_k_is_exact(spark, odd, slices):
         assert sorted(map(tuple, found)) == top(rows, step, 5, 256)
 
 
+@pytest.mark.parametrize("times", [2, 9])
+def test_repeated_rows_take_no_place_of_other_ids(spark, times):
+    same, worse = [1.0, 2.0, 3.0], [0.5, 1.0, 1.5]
+    rows = [(1, same)] * times + [(i, same) for i in range(2, 9)] + [(i, worse) for i in range(9, 15)]
+    table = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], SCHEMA)
+    found = tput.top_k(table, lambda v: v % 2 == 0, k=5).collect()
+    assert sorted(map(tuple, found)) == top(usable(rows), 2, 5, 256)
+    found = sorted(map(tuple, mih.search(table, lambda v: v % 2 == 0, k=5).collect()))
+    assert [r[:3] for r in found] == [r[:3] for r in nearest(usable(rows), 2, 5)]
+
+
 def test_top_k_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tput.top_k(empty, lambda v: v % 50 == 0).count() == 0
