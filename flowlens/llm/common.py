@@ -93,10 +93,10 @@ def thawed(blob: bytes) -> pa.Table:
 ROW_BITS = 21
 
 
-def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_columns: bool = False) -> DataFrame:
+def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_columns: bool = False, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Documents as a landed table of chunks: chunk long, n_docs long, n_bytes long, blob binary; by chunk.
 
-    A blob holds neighbouring rows of one input partition, about PIECE_BYTES of text, so no key decides
+    A blob holds neighbouring rows of one input partition, about `piece_bytes` of text, so no key decides
     its size: __id, __text and, if kept, all columns of `docs`. A row is named by chunk << ROW_BITS | place.
     """
     from pyspark.sql import functions as F
@@ -109,7 +109,7 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_co
         number = partition_id() << 20
         for batch in batches:
             _, offsets = texts(batch.column(1))
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, piece_bytes):
                 yield pa.record_batch(
                     {
                         "chunk": pa.array([number], pa.int64()),

@@ -77,6 +77,60 @@ def test_scores_learn(spark):
     assert sum(-r[6] * math.log2(10) for r in held) / sum(r[7] for r in held) < 2.3
 
 
+def test_scores_know_the_words_before(spark):
+    """Held-out texts of known words score better in the order that was learned than shuffled."""
+    names = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ado", "elu", "ira")]
+    after = {w: names[(7 * i + 3) % len(names)] for i, w in enumerate(names)}
+
+    def running(i):
+        out = [names[i % len(names)]]
+        while len(out) < 25:
+            out.append(after[out[-1]])
+        return out
+
+    texts = [running(i) for i in range(300)]
+    train = [(i, " ".join(t)) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [*train, (held[0], " ".join(texts[0])), (held[1], " ".join(sorted(texts[0])))]
+    found = {r["doc_id"]: r for r in context_mixing.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = found[held[0]], found[held[1]]
+    assert math.isclose(a["base_score"], b["base_score"]) and a["n_known"] == b["n_known"] == a["n_tokens"]
+    assert a["score"] > 0.7 * b["score"]
+
+
+def test_contexts_keep_their_own_counts(spark):
+    """Every context's counts are those of a plain count, also where there are more contexts than a fixed table has room for."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from flowlens.llm import tally
+    from flowlens.llm.common import packed_texts
+
+    docs = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(0, 2500), i -> sha2(concat(id, '-', i), 256)))").alias("text")
+    )
+    chunks = {r["chunk"]: context_mixing.Chunk(r["blob"]) for r in packed_texts(docs, "doc_id", "text", "t").collect()}
+    keys = {n: [k for k in c.keys()] for n, c in chunks.items()}
+    k = 4
+    every = np.concatenate([keys[n][k][c.trains[c.doc]] for n, c in chunks.items()])
+    assert len(np.unique(every >> np.uint64(8))) > 1 << 22
+    have, times = np.unique(every, return_counts=True)
+    lead, first = np.unique(have >> np.uint64(8), return_index=True)
+    whole = np.add.reduceat(times, first)
+    batches = [b for n, c in chunks.items() for b in c.requests(n, 0)]
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(batches)
+    asked = spark.createDataFrame(table.filter(pa.compute.equal(table.column("bucket"), k << 32)))
+    for r in context_mixing._paths(asked).collect():
+        want = np.unique(keys[r["chunk"]][k])
+        path = tally.unsqueeze(r["totals"]).reshape(9, -1).cumsum(axis=0)
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        assert (path[0] == np.where(have[at] == want, times[at], 0)).all()
+        at = np.minimum(np.searchsorted(lead, want >> np.uint64(8)), len(lead) - 1)
+        assert (path[8] == np.where(lead[at] == want >> np.uint64(8), whole[at], 0)).all()
+
+
 def by_hand(url, rules, default="allow"):
     rest = url.split("://", 1)[1] if url and "://" in url else None
     host = re.split(r"[/?#]", rest, maxsplit=1)[0] if rest is not None else ""
