@@ -162,16 +162,22 @@ def repeated(
 ) -> DataFrame:
     """The documents with all their columns, each as often as the mix takes it.
 
-    Of equal rows one is repeated for all.
+    Rows of one item may differ in other columns: the item's copies are dealt out over its rows as `mix` does, in the order
+    of a hash of all columns.
     """
     keys = _keys(id_col, text_col, source_col)
-    items = _decided(docs, keys, weights, cap, seed, group).where("all_copies > 0").select(*_KEY, "all_copies")
+    items = _decided(docs, keys, weights, cap, seed, group).where("all_copies > 0").select(*_KEY, "rows", "all_copies")
     columns = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *keys)
-    once = whole.groupBy(*_KEY).agg(F.first("doc").alias("doc"))
+    whole = whole.withColumn("variant", F.sha2(F.to_json("doc", {"ignoreNullFields": "false"}), 256))
+    once = whole.groupBy(*_KEY, "variant").agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("same"))
+    earlier = Window.partitionBy(*_KEY).orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)
+    once = once.withColumn("before", F.coalesce(F.sum("same").over(earlier), F.lit(0)))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"i.{c}")) for c in _KEY]
-    taken = once.alias("d").join(items.alias("i"), same)
-    return taken.select("d.doc", F.explode(F.sequence(F.lit(1).cast("long"), "i.all_copies"))).select("doc.*")
+    rest = F.pmod("all_copies", "rows") - F.col("before")
+    copies = F.floor(F.col("all_copies") / F.col("rows")) * F.col("same") + F.greatest(F.lit(0), F.least("same", rest))
+    taken = once.alias("d").join(items.alias("i"), same).withColumn("copies", copies.cast("long")).where("copies > 0")
+    return taken.select("d.doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
 def _with_targets(items: DataFrame, goal: DataFrame) -> DataFrame:

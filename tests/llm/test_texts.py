@@ -220,3 +220,18 @@ def test_mix_is_native(spark):
 def test_each_operator_has_a_query():
     names = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
     assert sorted(names) == list(range(1, 11))
+
+
+def test_copies_are_dealt_out_over_rows_with_other_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c", "en", "x", 5), (1, "a b c", "de", "x", 5), (1, "a b c", None, "x", 5), (1, "a b c", None, "x", 5)]
+    rows += [(2, "d e f g", "en", "x", 7), (None, None, "fr", None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    # One source, taken once on average: every row stays as it is.
+    assert Counter(map(tuple, pivotal.repeated(docs, weights=(1.0,)).where("source = 'x'").collect())) == Counter(rows[:5])
+    two = spark.createDataFrame([*rows[:5], (3, "h " * 60, "en", "y", 120)], schema)
+    taken = Counter(r["doc_id"] for r in pivotal.repeated(two).collect())
+    mixed = Counter()
+    for r in pivotal.mix(two).collect():
+        mixed[r["doc_id"]] += r["copies"]
+    assert taken == +mixed
