@@ -51,12 +51,14 @@ def test_language(stages):
         zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=1), write_content_size=False)
         for _, raw in zstd_langid.learn(stages[0])
     ]
+    bare = zstandard.ZstdCompressor(level=6, write_content_size=False)
 
     def stays(text):
         data = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode()
         parts = [data[i : i + 2048] for i in range(0, len(data), 2048)]
         best, after = sorted(sum(len(c.compress(p)) for p in parts) for c in coders)[:2]
-        return bool(data) and (after - best) / after >= 0.002
+        alone = sum(len(bare.compress(p)) for p in parts)
+        return bool(data) and (after - best) / after >= 0.04 and (alone - best) / alone >= 0.04
 
     rows = stages[0].collect()
     assert Counter(stages[1].collect()) == Counter(r for r in rows if stays(r["text"]))

@@ -21,6 +21,20 @@ def test_language_of_held_out_documents(spark):
     assert sum(r["rejected"] for r in found) / len(found) < 0.02
 
 
+def test_noise_is_rejected(spark):
+    import random
+
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(20, 400))) for _ in range(100)]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = [4 * 10**6 + i for i in range(2000) if zlib.crc32(str(4 * 10**6 + i).encode()) % 4 == 2][:100]
+    added = spark.createDataFrame([(i, t, "en") for i, t in zip(held, noise, strict=True)], "doc_id long, text string, lang string")
+    found = zstd_langid.identify(real.unionByName(added)).collect()
+    assert all(r["rejected"] for r in found if r["doc_id"] in held)
+    kept = [r for r in found if r["held_out"] and r["doc_id"] not in held]
+    assert sum(r["rejected"] for r in kept) / len(kept) < 0.02
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     found = zstd_langid.identify(odd_docs).collect()
     assert len(found) == odd_docs.count()
