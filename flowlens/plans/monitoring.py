@@ -167,10 +167,15 @@ def scan_urls(spark, sf_dir):
     return _scanned(spark, fx.urls(spark, sf_dir), "scan-urls")
 
 
-def land_lines(spark, lines: DataFrame, name: str, **options: str) -> str:
-    """Write lines as text files of a landing folder."""
+# Files that lines land in, so that a stream over them takes several batches.
+LANDING_FILES = 8
+
+
+def land_lines(spark, lines: DataFrame, name: str, files: int = LANDING_FILES, **options: str) -> str:
+    """Write lines as text files of a landing folder, dealt by a hash of the line."""
     path = f"{scratch_dir(spark, name)}/lines"
-    lines.select(F.col("line").alias("value")).write.options(**options).text(path)
+    dealt = lines.repartition(files, F.xxhash64("line"))
+    dealt.select(F.col("line").alias("value")).write.options(**options).text(path)
     return path
 
 

@@ -35,7 +35,8 @@ def by_month(df: DataFrame) -> DataFrame:
     """Rows shuffled by `ym`, so that a month is written as few files of a good size.
 
     Adaptive execution sizes the tasks: small months share one, and a month that holds most of the
-    rows is split over many.
+    rows is split over many. It splits by the tasks that wrote the rows, so a month that one task
+    has written stays one file.
     """
     return df.hint("rebalance", F.col("ym"))
 

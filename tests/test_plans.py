@@ -131,7 +131,7 @@ def test_clustered_files_hold_narrow_ranges(spark, sf_dir):
 
 def test_hot_month_is_written_by_many_tasks(spark, sf_dir):
     """With small task sizes, the month that holds a third of the rows spreads; none is lost."""
-    rows = fx.flows(spark, sf_dir).withColumn(
+    rows = fx.flows(spark, sf_dir).repartition(8, "src_port", "ts").withColumn(
         "ts", F.when(F.col("action") == "deny", F.lit("1999-01-01").cast("timestamp_ntz")).otherwise(F.col("ts")))
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     spark.conf.set(key, "16k")

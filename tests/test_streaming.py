@@ -17,6 +17,15 @@ def rows(df):
     return sorted(map(repr, df.collect()))
 
 
+def test_landed_lines_make_several_batches(spark, sf_dir):
+    """What the stream queries land is more than they take in a batch, and each batch has a folder."""
+    root, lines = scratch_dir(spark, "test-batches"), fx.kv_lines(spark, sf_dir)
+    stream = syslog.stream_syslog(spark, land_lines(spark, lines, "test-spread"), max_files=3).select("line")
+    ingest.ingest_kv(stream, root, f"{root}/checkpoint", fx.AS_OF, ONCE).awaitTermination()
+    found = ingest.stored(spark, root, "accepted", ingest.kv_schema(spark, "accepted", fx.AS_OF))
+    assert found.select("batch_id").distinct().count() == 3
+
+
 def test_quarantine_holds_the_rest(spark, sf_dir):
     root = scratch_dir(spark, "test-ingest")
     lines = fx.kv_lines(spark, sf_dir)
