@@ -89,11 +89,12 @@ class Words:
         return [raw[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """Longest runs of bytes that are not `between` (a flag for each byte)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, none, len(offsets) - 1)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(inside)
