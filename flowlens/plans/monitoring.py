@@ -327,6 +327,10 @@ def layout_bloom(spark, sf_dir):
 _RETAIN = f"WHERE ts >= {AS_OF} - INTERVAL {tables.RETENTION_DAYS} DAY"
 
 
+_EDGE = fx.AS_OF - timedelta(days=tables.RETENTION_DAYS)
+_EDGE_YM = _EDGE.year * 100 + _EDGE.month
+
+
 @query("retention_90d", on_flows(_month_sql(_RETAIN)))
 def retention_90d(spark, sf_dir):
     """The table after the old rows are gone; whole old months are never read."""
@@ -336,8 +340,26 @@ def retention_90d(spark, sf_dir):
     return _by_month(spark.read.parquet(f"{root}/kept"))
 
 
-_EDGE = fx.AS_OF - timedelta(days=tables.RETENTION_DAYS)
-_EDGE_YM = _EDGE.year * 100 + _EDGE.month
+@query("retention_in_place", on_flows(f"""
+SELECT ym, count(*) AS events, CAST(sum(bytes_sent) AS BIGINT) AS total_sent, min(ts) AS first_ts, max(ts) AS last_ts,
+  ym <> {_EDGE_YM} AS files_untouched, true AS nothing_left_to_do
+FROM (SELECT *, CAST(strftime(ts, '%Y%m') AS INTEGER) AS ym FROM flows {_RETAIN}) GROUP BY ym"""))
+def retention_in_place(spark, sf_dir):
+    """Old rows go where they lie: later months keep their files, only the month of the limit has new ones. A second run
+    finds nothing to do."""
+    name = tables.scratch_table(spark, "flows")
+    tables.create_table(fx.flows(spark, sf_dir), name, "ts")
+
+    def files() -> DataFrame:
+        return spark.table(name).select("ym", F.col("_metadata.file_path").alias("file")).distinct()
+
+    before = spark.createDataFrame([tuple(row) for row in files().collect()], "ym int, file string")
+    tables.expire(spark, name, fx.AS_OF, "ts")
+    again = tables.expire(spark, name, fx.AS_OF, "ts")
+    kept = files().join(before.withColumn("old", F.lit(True)), ["ym", "file"], "left")
+    untouched = kept.groupBy("ym").agg(F.coalesce(F.every("old"), F.lit(False)).alias("files_untouched"))
+    rows = _by_month(spark.table(name)).join(untouched, "ym")
+    return rows.withColumn("nothing_left_to_do", F.lit(again == {}))
 
 
 @query("retention_plan", on_flows(f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -79,6 +80,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[dict[str, int]]:
+    """The numbers in `name=number` parts of all paths of that pattern."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    paths = [status.getPath().toString() for status in found or ()]
+    return [{k: int(v) for k, v in re.findall(r"/(\w+)=(\d+)(?=/|$)", path)} for path in paths]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table and all below it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """DataFrame.checkpoint() needs the folder set on the context, too."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.times import moment, month
+from flowlens.session import scratch_dir
 
 RETENTION_DAYS = 90
 
@@ -100,6 +101,62 @@ def apply_retention(
     _partitioned(by_month(retained(table, as_of, ts, days)), target, "overwrite")
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new table name in a database of its own below the shared folder."""
+    path = scratch_dir(spark, f"{name}-db")
+    database = "scratch_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    return f"{database}.{name}"
+
+
+def create_table(df: DataFrame, name: str, ts: str = "timestamp") -> None:
+    """A catalogue table by month."""
+    by_month(df.withColumn("ym", month(F.col(ts)))).write.partitionBy("ym").saveAsTable(name)
+
+
+def table_months(spark: SparkSession, name: str) -> list[int]:
+    """The months of a catalogue table, from the catalogue alone."""
+    return sorted(int(row["partition"].split("=")[1]) for row in spark.sql(f"SHOW PARTITIONS {name}").collect())
+
+
+def expire(
+    spark: SparkSession, name: str, as_of: datetime, ts: str = "timestamp", days: int = RETENTION_DAYS
+) -> dict[int, str]:
+    """Remove old rows of a catalogue table by month where they lie; returns what was done to which month.
+
+    Months before the limit are dropped as partitions, without being read. The month that the limit falls in is
+    rewritten by an overwrite of that partition alone, if it has old rows; it is dropped if it has no others. Other
+    months are not touched. The work may be repeated: after a failure the next run does what is left.
+    """
+    limit = as_of - timedelta(days=days)
+    edge = limit.year * 100 + limit.month
+    months = table_months(spark, name)
+    done = {ym: "dropped" for ym in months if ym < edge}
+    if edge in months:
+        rows = spark.table(name).where(F.col("ym") == edge)
+        new = F.col(ts) >= moment(limit)
+        if rows.where(new).isEmpty():
+            done[edge] = "dropped"
+        elif not rows.where(~new | F.col(ts).isNull()).isEmpty():
+            done[edge] = "rewritten"
+            _overwrite_months(spark, rows.where(new), name)
+    gone = ", ".join(f"PARTITION (ym = {ym})" for ym, step in done.items() if step == "dropped")
+    if gone:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {gone}")
+    return done
+
+
+def _overwrite_months(spark: SparkSession, rows: DataFrame, name: str) -> None:
+    """Replace the months that rows have, by their own rows too, and no other month."""
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        by_month(rows).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(key, before)
+
+
 def _as_text(df: DataFrame) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
 

@@ -143,3 +143,24 @@ def test_hot_month_is_written_by_many_tasks(spark, sf_dir):
     files = spark.read.parquet(path).groupBy("ym", F.input_file_name().alias("f")).count().collect()
     assert len([f for f in files if f["ym"] == 199901]) > 1
     assert sum(f["count"] for f in files) == rows.count()
+
+
+def test_expire_drops_rewrites_and_keeps_months(spark):
+    """Old months go, the month of the limit loses its old rows, others keep their files; repeats change nothing."""
+    days = [datetime(2024, m, d) for m in (1, 2, 3, 4, 5) for d in (2, 20)]
+    rows = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "ts timestamp, n int")
+    name = tables.scratch_table(spark, "kept")
+    tables.create_table(rows, name, "ts")
+
+    def files():
+        return {(r["ym"], r["f"]) for r in spark.table(name).select("ym", F.col("_metadata.file_path").alias("f")).collect()}
+
+    before = files()
+    assert tables.expire(spark, name, datetime(2024, 3, 10), "ts", 0) == {202401: "dropped", 202402: "dropped", 202403: "rewritten"}
+    assert sorted(r["n"] for r in spark.table(name).collect()) == [5, 6, 7, 8, 9]
+    assert {f for f in files() if f[0] > 202403} == {f for f in before if f[0] > 202403}
+    assert tables.table_months(spark, name) == [202403, 202404, 202405]
+    assert tables.expire(spark, name, datetime(2024, 3, 10), "ts", 0) == {}
+    assert tables.expire(spark, name, datetime(2024, 4, 1), "ts", 0) == {202403: "dropped"}
+    assert tables.expire(spark, name, datetime(2024, 4, 25), "ts", 0) == {202404: "dropped"}
+    assert sorted(r["n"] for r in spark.table(name).collect()) == [8, 9]

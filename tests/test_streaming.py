@@ -1,8 +1,11 @@
 """Streams end as the batch job would; a batch that runs again changes nothing."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from flowlens.operators import parse_kv, rollups, validate
+from flowlens.operators.filters import TimeWindow
 from flowlens.plans import fixtures as fx
 from flowlens.plans.monitoring import land_lines
 from flowlens.session import scratch_dir
@@ -77,31 +80,77 @@ def test_metrics_of_more_than_a_hundred_batches(spark, sf_dir):
     assert found.count() == 105 and found.agg(F.sum("total_lines")).first()[0] == 105
 
 
+def _landed_urls(spark, rows, root):
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).repartition(3, "session_id").write.mode("append").parquet(f"{root}/in")
+    return spark.read.parquet(f"{root}/in").schema
+
+
+def _run(spark, store, root, checkpoint):
+    stream = spark.readStream.schema(store.rows).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream_rollups.store_partials(stream, store, f"{root}/{checkpoint}", ONCE).awaitTermination()
+
+
 def test_repeated_batch_is_stored_once(spark, sf_dir):
-    """Without its checkpoint a run writes the same batch number again, as after a failure."""
-    root, rollup = scratch_dir(spark, "test-again"), rollups.url_hourly("ts")
-    fx.urls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{root}/in")
-    schema = spark.read.parquet(f"{root}/in").schema
+    """Without its checkpoint a run writes the same batch numbers again, as after a failure."""
+    root = scratch_dir(spark, "test-again")
+    store = stream_rollups.Store(f"{root}/r", rollups.url_hourly("ts"), "hour", _landed_urls(spark, fx.urls(spark, sf_dir), root))
     for run in ("first", "second"):
-        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
-        stream_rollups.store_partials(
-            stream, rollup, f"{root}/states", f"{root}/{run}", ONCE
-        ).awaitTermination()
-    total = stream_rollups.read_rollup(spark, f"{root}/states", rollup).agg(F.sum("requests")).first()[0]
+        _run(spark, store, root, run)
+    total = stream_rollups.read_rollup(spark, store).agg(F.sum("requests")).first()[0]
     assert total == fx.urls(spark, sf_dir).count()
 
 
 def test_rollup_from_stream_has_sketched_counts(spark, sf_dir):
-    root, rollup = scratch_dir(spark, "test-sketch"), rollups.user_daily("ts")
-    fx.urls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).repartition(3, "session_id").write.parquet(f"{root}/in")
-    schema = spark.read.parquet(f"{root}/in").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    stream_rollups.store_partials(stream, rollup, f"{root}/states", f"{root}/c", ONCE).awaitTermination()
-    found = stream_rollups.read_rollup(spark, f"{root}/states", rollup)
-    exact = rollup.exact(fx.urls(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    root, urls = scratch_dir(spark, "test-sketch"), fx.urls(spark, sf_dir)
+    store = stream_rollups.Store(f"{root}/r", rollups.user_daily("ts"), "date", _landed_urls(spark, urls, root))
+    _run(spark, store, root, "c")
+    found = stream_rollups.read_rollup(spark, store)
+    exact = store.rollup.exact(urls.withColumn("ts", F.col("ts").cast("timestamp")))
     assert rows(found) == rows(exact.select(*found.columns))
 
 
+def test_rollup_by_month(spark, sf_dir):
+    """Only touched months are rewritten, an interrupted compaction and a repeated batch change nothing, a window
+    lists its months, and expired months go."""
+    root = scratch_dir(spark, "test-months")
+    urls = fx.urls(spark, sf_dir).withColumn("ts", F.col("ts") + F.make_ym_interval(months=(F.col("session_id") % 4).cast("int")))
+    late = urls.where("session_id % 4 = 1 AND http_method = 'POST'")
+    store = stream_rollups.Store(f"{root}/r", rollups.url_hourly("ts"), "hour", _landed_urls(spark, urls.exceptAll(late), root))
+    assert stream_rollups.read_rollup(spark, store).count() == 0 and stream_rollups.compact(spark, store) == []
+    _run(spark, store, root, "c")
+    assert stream_rollups.compact(spark, store) == [202401, 202402, 202403, 202404]
+    first = stream_rollups.listing(spark, store.path)
+    assert first.pending == first.replaced == []
+
+    _landed_urls(spark, late, root)
+    _run(spark, store, root, "c")
+    pending = {m for _, m in stream_rollups.listing(spark, store.path).pending}
+    assert pending == {202402}
+    whole = rows(stream_rollups.read_rollup(spark, store))
+    # A compaction that wrote its month but did not remove what it replaces.
+    removed, stream_rollups.remove = stream_rollups.remove, lambda *_: None
+    try:
+        assert stream_rollups.compact(spark, store) == [202402]
+    finally:
+        stream_rollups.remove = removed
+    left = stream_rollups.listing(spark, store.path)
+    assert left.replaced and left.pending == []
+    assert rows(stream_rollups.read_rollup(spark, store)) == whole
+    assert stream_rollups.compact(spark, store) == []
+    after = stream_rollups.listing(spark, store.path)
+    assert after.replaced == [] and {m for m in after.merged if after.merged[m] != first.merged[m]} == {202402}
+    assert rows(stream_rollups.read_rollup(spark, store)) == whole
+    exact = store.rollup.exact(urls.withColumn("ts", F.col("ts").cast("timestamp")))
+    assert rows(stream_rollups.read_rollup(spark, store).drop("unique_users", "unique_domains", "avg_response_time")) == rows(
+        exact.drop("unique_users", "unique_domains", "avg_response_time"))
+
+    window = TimeWindow(datetime(2024, 2, 3), datetime(2024, 2, 20))
+    files = stream_rollups.states(spark, store, window).inputFiles()
+    assert files and all("ym=202402" in f for f in files)
+    assert stream_rollups.expire(spark, store, datetime(2024, 6, 15)) == [202401, 202402]
+    assert sorted(stream_rollups.listing(spark, store.path).merged) == [202403, 202404]
+
+
 def test_batch_observation(spark, sf_dir):
     from flowlens.operators import parse_positional as positional
 
