@@ -26,35 +26,52 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = PAGE_SIZE)
     return _Ranked(df, order).rows((max(number, 1) - 1) * size, size)
 
 
+# Rows that one task may sort for a page; a deeper place within a second is found by ranges.
+SORTED = 10_000
+
+
 def newest_page(df: DataFrame, number: int, size: int = PAGE_SIZE, ts: str = "timestamp") -> DataFrame:
     """Page `number` of the rows, newest first and rows without a time last, at any depth.
 
     Counts per hour and then per second (small, and aggregated on the executors) tell which time
-    the page lies in, and only that time is sorted.
+    the page lies in, and only that time is sorted. A stored table has these counts in its page directory.
     """
     order, skip = newest_first(df, ts), (max(number, 1) - 1) * size
     for unit in ("HOUR", "SECOND"):
         df, skip = _narrow(df, F.date_trunc(unit, F.col(ts)), skip, size)
+    return sorted_rows(df, order, skip, size)
+
+
+def sorted_rows(df: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
+    """Rows skip+1..skip+size in that order."""
+    if skip + size <= SORTED:
+        return df.orderBy(*order).offset(skip).limit(size)
     return _Ranked(df, order).rows(skip, size)
 
 
-def _narrow(df: DataFrame, bucket: Column, skip: int, size: int) -> tuple[DataFrame, int]:
-    """The buckets that hold rows skip+1..skip+size, and how many rows to skip within them."""
-    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before, inner_skip = 0, 0
-    held: list = []  # the first and the last bucket of the page
-    # one row per hour (or per second of the hours left), newest first, read only as far as needed
-    for row in counts.orderBy(F.desc_nulls_last("bucket")).toLocalIterator():
-        if before + row["n"] > skip:
-            if not held:
+def held(counts: list, skip: int, size: int) -> tuple | None:
+    """The newest and the oldest bucket of (bucket, rows) that hold rows skip+1..skip+size, None as the oldest of all,
+    and the rows to skip in them; None if there are none."""
+    before, found, inner_skip = 0, [], 0
+    known = sorted((c for c in counts if c[0] is not None), key=lambda c: c[0], reverse=True)
+    for bucket, n in [*known, *(c for c in counts if c[0] is None)]:
+        if before + n > skip:
+            if not found:
                 inner_skip = skip - before
-            held = [held[0] if held else row["bucket"], row["bucket"]]
-        before += row["n"]
+            found = [found[0] if found else bucket, bucket]
+        before += n
         if before >= skip + size:
             break
-    if not held:
+    return (*found, inner_skip) if found else None
+
+
+def _narrow(df: DataFrame, bucket: Column, skip: int, size: int) -> tuple[DataFrame, int]:
+    """The buckets that hold rows skip+1..skip+size, and how many rows to skip within them."""
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = held(counts.collect(), skip, size)  # one row per hour, or per second of the hours left
+    if found is None:
         return df.where(F.lit(False)), 0
-    newest, oldest = held
+    newest, oldest, inner_skip = found
     if newest is None:
         return df.where(bucket.isNull()), inner_skip
     if oldest is None:

@@ -285,17 +285,6 @@ def latest_rows(spark, sf_dir):
     return paging.latest_rows(fx.flows(spark, sf_dir), 5, "ts")
 
 
-@query("logs_page", on_flows(f"SELECT * FROM flows ORDER BY {FLOW_ORDER_SQL} LIMIT 50 OFFSET 100"))
-def logs_page(spark, sf_dir):
-    return paging.newest_page(fx.flows(spark, sf_dir), 3, ts="ts")
-
-
-@query("logs_page_deep", on_flows(f"SELECT * FROM flows ORDER BY {FLOW_ORDER_SQL} LIMIT 50 OFFSET 4950"))
-def logs_page_deep(spark, sf_dir):
-    """Page 100, found by counts per hour and second rather than by keeping 5 000 rows per task."""
-    return paging.newest_page(fx.flows(spark, sf_dir), 100, ts="ts")
-
-
 _TIMELESS = "CASE WHEN action = 'deny' THEN NULL ELSE ts END"
 
 
