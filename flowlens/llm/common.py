@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +98,7 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_co
     """Documents as a landed table of chunks: chunk long, n_docs long, n_bytes long, blob binary; by chunk.
 
     A blob holds neighbouring rows of one input partition, about `piece_bytes` of text, so no key decides
-    its size: __id, __text and, if kept, all columns of `docs`. A row is named by chunk << ROW_BITS | place.
+    its size: __id, __text and, if kept, __row with the other columns of `docs`. A row is named by chunk << ROW_BITS | place.
     """
     from pyspark.sql import functions as F
 
@@ -120,14 +121,23 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_co
                 )
                 number += 1
 
+    # In a struct, names of columns do not meet those used here.
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__row")
     rows = docs.select(
         F.col(id_col).cast("long").alias("__id"),
         F.col(text_col).cast("string").alias("__text"),
-        *([F.col(f"`{c}`") for c in docs.columns if c != text_col] if keep_columns else []),
+        *([others] if keep_columns else []),
     )
     return land_by(rows.mapInArrow(chunks, "chunk long, n_docs long, n_bytes long, blob binary"), name, "chunk")
 
 
+def whole_rows(table: pa.Table, columns: list[str], text_col: str, text: pa.Array, stay: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk that stay, with all columns of the documents and the given text."""
+    others = iter(table.column("__row").combine_chunks().flatten()[1:])
+    named = [text if c == text_col else next(others) for c in columns]
+    yield pa.RecordBatch.from_arrays(named, columns).filter(pa.array(stay))
+
+
 def packed_size(packed: DataFrame) -> tuple[int, int]:
     """Documents and bytes of text."""
     from pyspark.sql import functions as F

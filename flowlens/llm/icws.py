@@ -15,10 +15,10 @@ threshold plus 3.5 standard deviations, which misses another 0.02 %.
 - Documents whose shingles that occur elsewhere weigh less than the threshold of their whole weight cannot
   have a partner and skip the buckets; this is exact, as common shingles hold that share of both documents.
 - Documents with the same shingles and counts are collapsed by a 128-bit key before they meet buckets.
-- In a bucket all candidates are compared with its least row, its pivot. Members linked to it are one class. A bucket with
-  members of other classes gets another pivot among these, PIVOTS times in all, while classes merge across buckets. Then
-  all candidate pairs of different classes that still share a bucket are compared, each in the first band they share, so
-  that none is left out; pairs of one class need no more links. No bucket is gathered.
+- In a bucket all candidates are compared with its least row, its pivot. Members linked to it are one group. A bucket with
+  members of other groups gets another pivot among these, PIVOTS times in all, while groups merge across buckets. Then
+  all candidate pairs of different groups that still share a bucket are compared, each in the first band they share, so
+  that none is left out; members of one group are connected and need no more links. No bucket is gathered.
 
 Each row gives one row; repeated rows are copies of each other. Null and empty texts, and texts of white space, are
 classes of their own. class_id is the least doc_id of a class; null ids count only if there is no other. An empty
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tally
-from flowlens.llm.common import ROW_BITS, land, packed_size, packed_texts, thawed
+from flowlens.llm.common import ROW_BITS, land, packed_size, packed_texts, thawed, whole_rows
 from flowlens.llm.components import components
 
 U64 = np.uint64
@@ -51,35 +51,49 @@ TABLE_BITS = 18
 SKETCH = "row long, doc_id long, key binary, bands array<long>, payload binary"
 
 
-class Sampler:
-    """Consistent weighted samples. Weights enter in steps of 5 %, beyond e of 20 %, so that ln a of all
-    table entries is held for each step; the check of links uses the weights as they are."""
+class Tables:
+    """Random (r, beta, ln c) and, for each step of weights met so far, ln a of all of them: one for each worker."""
 
-    def __init__(self, samples: int, seed: int):
+    def __init__(self):
         rng = np.random.Generator(np.random.PCG64(20))
         n = 1 << TABLE_BITS
         self.r = -np.log(rng.random(n) * rng.random(n))
         self.log_c = np.log(-np.log(rng.random(n) * rng.random(n)))
         self.beta = rng.random(n)
+        self.flat = np.zeros(0, np.float32)
+        self.place: dict[int, int] = {}
+
+    def places(self, steps: np.ndarray) -> np.ndarray:
+        """Where the values of each step begin in `flat`."""
+        new = [s for s in steps.tolist() if s not in self.place]
+        for s in new:
+            self.place[s] = len(self.place) << TABLE_BITS
+        if new:
+            self.flat = np.concatenate([self.flat, *(self._values(s) for s in new)])
+        return np.array([self.place[s] for s in steps.tolist()], U64)
+
+    def _values(self, step: int) -> np.ndarray:
+        log_w = step / 20 if step < 20 else 1 + (step - 20) / 5
+        t = np.floor(log_w / self.r + self.beta)
+        return (self.log_c - self.r * (t - self.beta) - self.r).astype(np.float32)
+
+
+class Sampler:
+    """Consistent weighted samples. Weights enter in steps of 5 %, beyond e of 20 %, so that ln a of all
+    table entries is held for each step; the check of links uses the weights as they are."""
+
+    def __init__(self, tables: Tables, samples: int, seed: int):
+        self.tables = tables
         drawn = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, samples, dtype=np.uint64)
         self.factors = drawn * U64(2) + U64(1)
-        self.tables: dict[int, np.ndarray] = {}
-
-    def table(self, step: int) -> np.ndarray:
-        """ln a of all entries for one step of weights."""
-        if step not in self.tables:
-            log_w = step / 20 if step < 20 else 1 + (step - 20) / 5
-            t = np.floor(log_w / self.r + self.beta)
-            self.tables[step] = (self.log_c - self.r * (t - self.beta) - self.r).astype(np.float32)
-        return self.tables[step]
 
     def samples(self, keys: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(samples, documents): the least ln a of each document's shingles."""
         log_w = np.log(weights)
         steps = np.where(log_w < 1, np.round(log_w * 20), 20 + np.round((log_w - 1) * 5)).astype(np.int64)
         names, which = np.unique(steps, return_inverse=True)
-        flat = np.concatenate([self.table(s) for s in names.tolist()])
-        offset = which.astype(U64) << U64(TABLE_BITS)
+        offset = self.tables.places(names)[which]
+        flat = self.tables.flat
         spread = keys * U64(0x9E3779B97F4A7C15)
         spread ^= spread >> U64(29)
         out = np.empty((len(self.factors), len(starts)), np.float32)
@@ -88,12 +102,16 @@ class Sampler:
         return out
 
 
-_SAMPLERS: dict[tuple[int, int], Sampler] = {}
+_HELD: dict = {}
 
 
 def sampler(samples: int, seed: int) -> Sampler:
-    """One for each worker."""
-    return _SAMPLERS.setdefault((samples, seed), Sampler(samples, seed))
+    """One for each worker and set of samples; all share their tables."""
+    if (samples, seed) not in _HELD:
+        if "tables" not in _HELD:
+            _HELD["tables"] = Tables()
+        _HELD[samples, seed] = Sampler(_HELD["tables"], samples, seed)
+    return _HELD[samples, seed]
 
 
 def shingles(texts_column, size: int, bits: int = BITS):
@@ -253,8 +271,10 @@ def _marked(sketches: DataFrame) -> DataFrame:
     return sketches.select("row", "bands", "payload").mapInArrow(mark, "row long, bands array<long>, bits array<long>")
 
 
-def _may_link(a: str, b: str, threshold: float) -> Column:
+def _may_link(a: str, b: str, threshold: float, exact: bool) -> Column:
     """Samples of a pair agree with the chance of its similarity, else their bits do by half."""
+    if exact:
+        return F.lit(True)
     chance = (1 - threshold) / 2
     most = SAMPLES * chance + 3.5 * (SAMPLES * chance * (1 - chance)) ** 0.5
     words = range(SAMPLES // 64)
@@ -262,9 +282,9 @@ def _may_link(a: str, b: str, threshold: float) -> Column:
     return apart <= F.lit(int(most))
 
 
-def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int) -> DataFrame:
+def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int, exact: bool) -> DataFrame:
     """Candidates x < y of which one is its bucket's pivot: first the least row, later a row by hash among
-    those that are not of the least row's class."""
+    those that are not of the least row's group."""
     if step == 0:
         pivots = met.groupBy("band", "hash").agg(F.min("row").alias("pivot"))
         named = pivots.withColumn("pivot_root", F.col("pivot"))
@@ -281,29 +301,48 @@ def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int)
     marked = pairs.join(bits.select(F.col("row").alias("x"), F.col("bits").alias("a")), "x").join(
         bits.select(F.col("row").alias("y"), F.col("bits").alias("b")), "y"
     )
-    return marked.where(_may_link("a", "b", threshold)).select("x", "y")
+    return marked.where(_may_link("a", "b", threshold, exact)).select("x", "y")
 
 
-def _open_pairs(met: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """Candidates x < y of different classes, each from the first band whose bucket they share."""
+def _open_pairs(met: DataFrame, marks: DataFrame, threshold: float, bands: int, exact: bool) -> DataFrame:
+    """Candidates x < y of different groups, each from the first band whose bucket they share."""
     rows = met.join(marks, "row")
     a, b = rows.alias("a"), rows.alias("b")
-    agree = F.array(*[F.col("a.bands")[k] == F.col("b.bands")[k] for k in range(BANDS)])
+    agree = F.array(*[F.col("a.bands")[k] == F.col("b.bands")[k] for k in range(bands)])
     return a.join(
         b,
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.hash") == F.col("b.hash"))
         & (F.col("a.row") < F.col("b.row"))
         & (F.col("a.root") != F.col("b.root"))
-        & _may_link("a.bits", "b.bits", threshold)
+        & _may_link("a.bits", "b.bits", threshold, exact)
         & (F.array_position(agree, True) == F.col("a.band") + 1),
     ).select(F.col("a.row").alias("x"), F.col("b.row").alias("y"))
 
 
+def _merged(met: DataFrame, links: DataFrame) -> DataFrame:
+    """Buckets that still have members of several groups, once each group has joined the least one it is linked with.
+
+    That group may have joined another itself, which is followed once. So members of a group are connected, though
+    connected rows may be of different groups.
+    """
+    known = met.select("row", "root").distinct()
+    edges = links.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y").where("a != b")
+    least = land(edges.groupBy(F.greatest("a", "b").alias("root")).agg(F.min(F.least("a", "b")).alias("next")), "joined")
+    after = least.toDF("next", "after")
+    moved = least.join(after, "next", "left").select("root", F.coalesce("after", "next").alias("into"))
+    met = met.join(moved, "root", "left").withColumn("root", F.coalesce("into", "root")).drop("into")
+    mixed = met.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return met.join(mixed.where("low != high").select("band", "hash"), ["band", "hash"])
+
+
 def linked(
-    packed: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
+    packed: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, exact: bool = False
 ) -> DataFrame:
-    """row, doc_id, class_row, class_id, class_size of packed texts; class_row is the row that stays."""
+    """row, doc_id, class_row, class_id, class_size of packed texts; class_row is the row that stays.
+
+    exact: compare all pairs that share a bucket, whatever their sample bits.
+    """
     n, n_bytes = packed_size(packed)
     sketches = _sketched(packed, n, n_bytes, size, threshold, bands, rows)
     keyed = sketches.where(F.col("key").isNotNull())
@@ -311,27 +350,25 @@ def linked(
     reps = keyed.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
     held = reps.select("row", F.posexplode("bands").alias("band", "hash"))
     shared = held.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # Buckets with members of several classes; at first each document is a class.
+    # Buckets with members of several groups; at first each document is a group.
     met = land(held.join(shared, ["band", "hash"]).withColumn("root", F.col("row")), "buckets")
     marks = land(_marked(reps.join(met.select("row").distinct(), "row", "left_semi")), "marks")
-    done = marks.sparkSession.createDataFrame([], "x long, y long, similarity double")
-    roots = done.select(F.col("x").alias("node"), F.col("y").alias("root"))
-    step = 0
+    step, links = 0, None
     while step <= PIVOTS and not met.isEmpty():
-        pairs = _pivot_pairs(met, marks, threshold, step) if step < PIVOTS else _open_pairs(met, marks, threshold)
-        pairs = pairs.join(done.select("x", "y"), ["x", "y"], "left_anti")
-        compared = land(_compared(pairs, sketches), "compared")
-        done = done.unionByName(compared)
-        link = F.col("similarity") >= threshold
-        if compared.where(link).isEmpty():
-            step = PIVOTS if step < PIVOTS else PIVOTS + 1
-            continue
-        roots = land(components(done.where(link), "x", "y"), "roots")
-        met = met.drop("root").join(roots.withColumnRenamed("node", "row"), "row", "left")
-        met = met.withColumn("root", F.coalesce("root", "row"))
-        mixed = met.groupBy("band", "hash").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        met = land(met.join(mixed.where("low != high").select("band", "hash"), ["band", "hash"]), "buckets")
+        last = step == PIVOTS
+        pairs = _open_pairs(met, marks, threshold, bands, exact) if last else _pivot_pairs(met, marks, threshold, step, exact)
+        if links is not None:
+            pairs = pairs.join(links.select("x", "y"), ["x", "y"], "left_anti")
+        compared = land(_compared(pairs, sketches).where(F.col("similarity") >= threshold).select("x", "y"), "links")
         step += 1
+        if compared.isEmpty():
+            step = max(step, PIVOTS)
+            continue
+        links = compared if links is None else links.unionByName(compared)
+        if not last:
+            met = land(_merged(met, compared), "buckets")
+    roots = components(links, "x", "y") if links is not None else reps.select("row", F.col("row").alias("root")).limit(0)
+    roots = land(roots.toDF("node", "root"), "roots")
 
     plain = sketches.select("row", "doc_id", "key").join(same, "key", "left")
     plain = plain.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -365,8 +402,6 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) ->
                 table = thawed(blob)
                 stay = np.ones(table.num_rows, bool)
                 stay[places or []] = False
-                table = table.filter(pa.array(stay))
-                named = [table.column("__text" if c == text_col else c) for c in columns]
-                yield from pa.table(named, columns).combine_chunks().to_batches()
+                yield from whole_rows(table, columns, text_col, table.column("__text").combine_chunks(), stay)
 
     return packed.join(by_chunk, "chunk", "left").select("blob", "gone").mapInArrow(keep, docs.schema)

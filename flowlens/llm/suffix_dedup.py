@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tally
-from flowlens.llm.common import land, packed_size, packed_texts, thawed
+from flowlens.llm.common import land, packed_size, packed_texts, thawed, whole_rows
 
 U64 = np.uint64
 SIZE = 13
@@ -266,8 +266,7 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = S
         left = [t.decode("utf-8", "replace") for t in _texts(c, keep)]
         old = c.table.column("__text").to_pylist()
         new = [n if g else o for n, o, g in zip(left, old, gone.tolist(), strict=True)]
-        named = [pa.chunked_array([pa.array(new, pa.string())]) if n == text_col else c.table.column(n) for n in columns]
-        stay = pa.array((gone < c.per_doc) | (c.per_doc == 0))
-        yield from pa.table(named, columns).filter(stay).combine_chunks().to_batches()
+        stay = (gone < c.per_doc) | (c.per_doc == 0)
+        yield from whole_rows(c.table, columns, text_col, pa.array(new, pa.string()), stay)
 
     return _kept(packed, size, emit, docs.schema)

@@ -76,6 +76,29 @@ def test_a_group_of_near_copies(spark):
     assert [r["class_id"] for r in found] == classes(texts)
 
 
+def test_any_number_of_bands(spark, monkeypatch):
+    """Pairs that share no early band, and open pairs without any pivot, are found with every number of bands."""
+    texts = []
+    for i in range(40):
+        words = [f"v{i // 8}_{j}" for j in range(120)]
+        words[(i * 37) % 120] = f"y{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes(texts)
+    for bands, pivots, exact in ((8, 0, False), (20, 0, True), (20, 4, False)):
+        monkeypatch.setattr(icws, "PIVOTS", pivots)
+        found = sorted(icws.near_duplicates(docs, bands=bands, exact=exact).collect(), key=lambda r: r["doc_id"])
+        assert [r["class_id"] for r in found] == want
+
+
+def test_columns_named_as_within(spark):
+    rows = [(1, "a b c d e f", 7, "x", "s"), (2, "a b c d e f", 8, "y", "t"), (3, None, 9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, __text string, __row string")
+    for stage in (icws.one_of_each, suffix_dedup.deduplicate):
+        left = sorted(tuple(r) for r in stage(docs).collect())
+        assert left[0] == rows[0] and left[-1] == rows[2]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     found = icws.near_duplicates(odd_docs).collect()
     rows = [r["class_id"] for r in found if r["doc_id"] in (1, 2)]
