@@ -65,6 +65,33 @@ def summary_panels(df: DataFrame, panels: dict[str, str] = PANELS, limit: int =
     )
 
 
+# Values that a sketch of frequent ones tracks.
+TRACKED = 10_000
+
+
+def top_sketches(df: DataFrame, by: list[Column], panels: dict[str, str] = PANELS, tracked: int = TRACKED) -> DataFrame:
+    """Sketches of the frequent values of each panel, by hour or the like: rows to store and to combine later.
+
+    A sketch is exact for up to about three quarters of `tracked` distinct values, and of bounded size beyond.
+    """
+    states = [
+        F.call_function("approx_top_k_accumulate", F.when(not_blank(column), F.col(column)), F.lit(tracked)).alias(panel)
+        for panel, column in panels.items()
+    ]
+    return df.groupBy(*by).agg(*states)
+
+
+def top_from_sketches(states: DataFrame, panels: list[str] | None = None, limit: int = TOP, tracked: int = TRACKED) -> DataFrame:
+    """panel, value, events of the most frequent values over all given sketches, without the rows behind them."""
+    names = panels or list(PANELS)
+    combined = states.agg(*[F.call_function("approx_top_k_combine", F.col(p), F.lit(tracked)).alias(p) for p in names])
+    tops = F.array(*[
+        F.struct(F.lit(p).alias("panel"), F.call_function("approx_top_k_estimate", F.col(p), F.lit(limit)).alias("top")) for p in names
+    ])
+    each = combined.select(F.inline(tops)).select("panel", F.explode("top").alias("x"))
+    return each.select("panel", F.col("x.item").alias("value"), F.col("x.count").alias("events"))
+
+
 def summary_totals(df: DataFrame) -> DataFrame:
     """Events, bytes and distinct sources of the window; 0 where there are none."""
     return df.agg(

@@ -20,6 +20,7 @@ from flowlens.operators.filters import (
 )
 from flowlens.plans import fixtures as fx
 from flowlens.plans.registry import on_flows, on_unified, on_urls, query
+from flowlens.session import scratch_dir
 
 # The whole span of the derived flows.
 ALL_TIME = TimeWindow(datetime(1995, 1, 1), datetime(2002, 1, 1))
@@ -82,6 +83,23 @@ def summary_totals(spark, sf_dir):
     return summary.summary_totals(_windowed(spark, sf_dir))
 
 
+@query("top_from_sketches", on_flows(f"""
+SELECT panel, CAST(rank AS INTEGER) AS rank, value, events, true AS close FROM (
+  SELECT panel, value, count(*) AS events, row_number() OVER (PARTITION BY panel ORDER BY count(*) DESC, value) AS rank
+  FROM ({_PANEL_SQL}) WHERE coalesce(value, '') <> '' GROUP BY panel, value) WHERE rank <= 10"""))
+def top_from_sketches(spark, sf_dir):
+    """Top lists from hourly sketches that are stored and combined. Exact counts, each beside a flag that the sketches
+    name the value with a count within 5 %."""
+    rows, path = _windowed(spark, sf_dir), f"{scratch_dir(spark, 'sketches')}/hours"
+    summary.top_sketches(rows, [F.date_trunc("HOUR", "ts").alias("hour")]).write.parquet(path)
+    estimated = summary.top_from_sketches(spark.read.parquet(path), limit=100).withColumnRenamed("events", "estimate")
+    exact = summary.summary_panels(rows).drop("total_bytes")
+    close = F.abs(F.col("estimate") - F.col("events")) <= F.greatest(F.lit(1), F.col("events") * 0.05)
+    return exact.join(estimated, ["panel", "value"], "left").select(
+        "panel", "rank", "value", "events", F.coalesce(close, F.lit(False)).alias("close")
+    )
+
+
 # --- filters ----------------------------------------------------------------------------------
 
 _HOURS = {name: int(span.total_seconds() // 3600) for name, span in PRESETS.items()}

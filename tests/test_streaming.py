@@ -1,6 +1,6 @@
 """Streams end as the batch job would; a batch that runs again changes nothing."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -158,3 +158,44 @@ def test_batch_observation(spark, sf_dir):
     counted, observation = ingest.observe_batch(lines, "load")
     counted.write.format("noop").mode("overwrite").save()
     assert observation.get["total_lines"] == lines.count()
+
+
+def test_replays_add_no_row(spark):
+    """A file that is sent again, at once or after the delay; a line of another time with the same text is another line."""
+    root = scratch_dir(spark, "test-replay")
+    at = datetime(2024, 3, 1)
+    parts = [[(at + timedelta(minutes=i), f"line {i % 5}") for i in range(n, n + 50)] for n in (0, 50, 100, 400)]
+    parts += [parts[3], parts[0], [(None, "no time"), parts[3][0], (at + timedelta(minutes=460), "line 0")]]
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, "ts timestamp, line string").write.parquet(f"{root}/in/{n}")
+        stream = spark.readStream.schema("ts timestamp, line string").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        once = ingest.without_replays(stream, "ts", "line", "60 minutes")
+        out = once.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c")
+        run = out.trigger(**ONCE).start()
+        run.awaitTermination()
+    want = {row for part in parts[:4] for row in part} | {parts[6][2]}
+    found = [(r["ts"], r["line"]) for r in spark.read.parquet(f"{root}/out").collect()]
+    assert sorted(found) == sorted(want)
+    assert run.lastProgress.stateOperators[0].numRowsTotal <= 51
+
+
+def test_sessions(spark):
+    from flowlens.streaming import activity
+
+    root, at = scratch_dir(spark, "test-sessions"), datetime(2024, 3, 1)
+    times = {"a": [0, 299, 600, 898, 2000], "b": [10], "c": [90_000]}
+    data = [(d, at + timedelta(seconds=s)) for d, all_ in times.items() for s in all_]
+    spark.createDataFrame(data, "device string, ts timestamp").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("device string, ts timestamp").parquet(f"{root}/in")
+    out = activity.sessions(stream, "ts", "device").writeStream.format("parquet").option("path", f"{root}/out")
+    out.option("checkpointLocation", f"{root}/c").trigger(**ONCE).start().awaitTermination()
+    found = {(r["device"], (r["first_seen"] - at).seconds, (r["last_seen"] - at).seconds, r["events"]) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert found == {("a", 0, 299, 2), ("a", 600, 898, 2), ("a", 2000, 2000, 1), ("b", 10, 10, 1)}
+
+
+def test_traffic_lines_are_parsed_once(spark):
+    """Both traffic branches read the typed rows that the batch holds."""
+    lines = ingest.with_traffic(ingest.routed(spark.createDataFrame([], "line string")), fx.AS_OF)
+    for branch in ("traffic", "traffic_quarantine"):
+        plan = ingest.positional_branches(fx.AS_OF)[branch](lines.persist())._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.split("InMemoryRelation")[0].count("regexp") == plan.split("InMemoryRelation")[0].count("split(") == 0
