@@ -39,13 +39,17 @@ def path_of(url: Column) -> Column:
 
 class Trie:
     """Nodes are dicts: whole labels or segments to nodes. A node's rules hang at TAIL, by the start
-    that the next, unfinished segment must have."""
+    that the next, unfinished segment must have: first by its length, the longest first. A look-up so takes
+    as many steps as rules have labels, segments and lengths, however long the URL is."""
 
     PATH, TAIL = 0, 1
 
     def __init__(self, rules: list[Rule]):
         self.root: dict = {}
-        for verdict, host, path in rules:
+        self.depth = max((path.count("/") for _, _, path in rules), default=0) + 1
+        self.labels = max((host.count(".") for _, host, _ in rules), default=0) + 1
+        # Longer starts first, so that each node's lengths descend.
+        for verdict, host, path in sorted(rules, key=lambda r: -len(r[2].rsplit("/", 1)[-1])):
             node = self.root
             for label in reversed(host.split(".")) if host else ():
                 node = node.setdefault(label, {})
@@ -53,13 +57,13 @@ class Trie:
             *whole, tail = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            tails = node.setdefault(self.TAIL, {})
+            tails = node.setdefault(self.TAIL, {}).setdefault(len(tail), {})
             if tails.get(tail, ("", ""))[0] != "block":
                 tails[tail] = (verdict, host + path)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         found, node = None, self.root
-        for label in [None, *reversed(host.split("."))]:
+        for label in [None, *reversed(host.rsplit(".", self.labels))]:
             if label is not None:
                 node = node.get(label)
                 if node is None:
@@ -69,12 +73,12 @@ class Trie:
         return found
 
     def _longest(self, node: dict, path: str) -> tuple[str, str] | None:
-        found, segments = None, path.split("/")
+        found, segments = None, path.split("/", self.depth)
         for i, segment in enumerate(segments):
-            tails = node.get(self.TAIL)
-            if tails:
-                fits = [t for t in (segment[:n] for n in range(len(segment), -1, -1)) if t in tails]
-                found = tails[fits[0]] if fits else found
+            for n, tails in node.get(self.TAIL, {}).items():
+                if segment[:n] in tails:
+                    found = tails[segment[:n]]
+                    break
             node = node.get(segment) if i + 1 < len(segments) else None
             if node is None:
                 break
@@ -128,14 +132,19 @@ def _by_trie(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """Each distinct host and path once; its host suffixes and path starts, up to each slash, meet the rules."""
     urls = land(urls, "urls")
-    labels = F.split("host", r"\.", -1)
+    # No more labels and segments than rules have.
+    most = rules.agg(
+        F.max(F.size(F.split("host", r"\.", -1))).alias("labels"), F.max(F.size(F.split("path", "/", -1))).alias("depth")
+    ).first()
+    labels = F.split(F.substring_index("host", ".", -(most["labels"] or 1)), r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(0), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels) - i), "."),
     )
-    segments = F.split("path", "/", -1)
+    segments = F.split("path", "/", (most["depth"] or 1) + 1)
     starts = F.transform(
-        F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/")
+        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(most["depth"] or 1)) - 1),
+        lambda i: F.array_join(F.slice(segments, F.lit(1), i), "/"),
     )
     # Rules by host and the whole segments of their path; only the unfinished segment is compared by start.
     cut = F.regexp_extract("rule_path", r"(?s)^(.*/)?([^/]*)$", 1)

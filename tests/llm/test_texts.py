@@ -249,3 +249,22 @@ def test_copies_are_dealt_out_over_rows_with_other_columns(spark):
     for r in pivotal.mix(two).collect():
         mixed[r["doc_id"]] += r["copies"]
     assert taken == +mixed
+
+
+def test_very_long_urls_take_no_longer(spark):
+    """One segment, many segments and many labels of megabytes, by trie and by join."""
+    import time
+
+    trie = url_trie.Trie([("block", "example.com", "/" + "a" * 40), ("allow", "example.com", "/a"), ("block", "com", "/b/c/")])
+    hosts = ["example.com", "x." * 200_000 + "example.com"]
+    paths = ["/" + "a" * 1_000_000, "/b/c/" + "d/" * 400_000, "/b" * 400_000, "/a/" + "z" * 1_000_000]
+    start = time.time()
+    found = [trie.find(h, p) for h in hosts for p in paths]
+    assert time.time() - start < 1
+    want = [("block", "example.com/" + "a" * 40), ("block", "com/b/c/"), None, ("allow", "example.com/a")]
+    assert found == want * 2
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "example.com", "/" + "a" * 40), ("allow", "example.com", "/a"), ("block", "com", "/b/c/")], "verdict string, host string, path string")
+    for limit in (url_trie.MAX_BROADCAST, 0):
+        rows = url_trie.judge(pages, rules, max_broadcast=limit, default="none").orderBy("page_id").collect()
+        assert [r["verdict"] for r in rows] == [w[0] if w else "none" for w in want] * 2
