@@ -10,9 +10,13 @@ An id pair's count is the number of links that hold it, over all documents. A li
 a larger count with its B id.
 
 A text is null, empty, or has tokens of one side that do not spell space + text: then it has no tokens, its numbers are 0
-and its groups the empty text. Each row gives one row, null ids and repeated rows too; every row counts. A long text is
-tokenized in parts, cut before a space between a visible character and an ASCII letter, where no token of either side can
-cross; `Pair` checks that of its vocabularies. An empty table gives no rows. Other columns are not looked at.
+and its groups the empty text. Each row gives one row, null ids and repeated rows too; every row counts. An empty table gives
+no rows. Other columns are not looked at.
+
+Texts are encoded in units, cut at single spaces between visible characters of up to two bytes. No token of either side can
+hold both such a character and a space after it (`Pair` looks through the vocabularies, and else does not cut), so the ids
+are those of the whole text, and a worker needs to encode each unit once in a while. A long text has many units; one
+without cuts is encoded whole.
 
 Chunks of neighbouring rows are tokenized once and landed, with their distinct id pairs. Counts are summed by pair, with
 partial sums before the shuffle, and go back to the chunks by join.
@@ -24,6 +28,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,19 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import tally
 from flowlens.llm.common import frozen, land, land_by, partition_id, pieces, ship, thawed
+from flowlens.llm.memo import Encoded, Memo
+from flowlens.llm.words import Words
 
 CHUNK_BYTES = 4 << 20
-# Characters of a part of a text, and of what one call encodes.
-PART, CALL = 1 << 16, 1 << 20
-_CUT = re.compile(r"(?<=[^\s\u2581]) (?=[A-Za-z])")
+# Bytes of text whose tokens are aligned at once; a longer text is a step of its own.
+STEP_BYTES = 1 << 20
+# Units that a worker remembers, about 200 bytes each, twice.
+CAPACITY = 1 << 18
 CHUNK = "chunk long, blob binary, which binary, pair array<long>, links array<long>"
+# A space is a cut between characters of one or two bytes that are no white space.
+_VISIBLE, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_LEAD[0xC3:0xE0] = True
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 
@@ -64,51 +76,62 @@ class Pair:
         for token, i in self.a.get_vocab().items():
             bytes_a[i] = bytes(known[c] for c in token) if all(c in known for c in token) else token.encode()
         bytes_b = [_piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        # A part may start at a space behind a visible character if no token holds such two.
+        # A unit may start at a space behind a visible character if no token holds such two.
         self.cuts = not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in (*bytes_a, *bytes_b))
         self.bytes = bytes_a, bytes_b
         self.lengths = [np.array([len(t) for t in side], np.int64) for side in self.bytes]
-
-    def _parts(self, text: str) -> list[str]:
-        """Parts that, joined by single spaces, are the text."""
-        parts, at = [], 0
-        while self.cuts and len(text) - at > PART:
-            found = _CUT.search(text, at + PART)
-            if not found:
-                break
-            parts.append(text[at : found.start()])
-            at = found.end()
-        return [*parts, text[at:]]
-
-    def _encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(parts, num_threads=1)
-
-    def encode(self, values: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides for each text, none where a side does not spell the text."""
-        out: list[tuple[list[int], list[int]]] = [([], []) for _ in values]
-        held: list[tuple[int, str]] = []
-        size = 0
-        for i, text in enumerate(values):
-            for part in self._parts(text) if text else ():
-                held.append((i, part))
-                size += len(part)
-                if size >= CALL:
-                    self._add(out, held)
-                    held, size = [], 0
-        self._add(out, held)
-        for i, text in enumerate(values):
-            if text:
-                whole = b" " + text.encode()
-                if any(b"".join(map(known.__getitem__, ids)) != whole for known, ids in zip(self.bytes, out[i], strict=True)):
-                    out[i] = [], []
-        return out
-
-    def _add(self, out: list, held: list[tuple[int, str]]) -> None:
-        if held:
-            for (i, _), a, b in zip(held, *self._encode([p for _, p in held]), strict=True):
-                out[i][0].extend(a)
-                out[i][1].extend(b)
+        # Each id as decimal digits, filled up with zero bytes.
+        numbers = np.char.encode(np.arange(max(map(len, self.bytes))).astype(str))
+        self.digits = numbers.view(np.uint8).reshape(len(numbers), -1)
+        self.memo = Memo(self._encode, 2, CAPACITY)
+
+    def _encode(self, units: list[bytes]) -> Encoded:
+        texts = [u.decode() for u in units]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        sides, spelled = [], np.ones(len(units), bool)
+        wanted = np.array([len(u) + 1 for u in units])
+        whole = b" " + b" ".join(units)
+        for ids, known, lengths in zip((a, self.b.encode(texts, num_threads=1)), self.bytes, self.lengths, strict=True):
+            flat, counts = list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids))
+            stop = np.concatenate([[0], np.cumsum(lengths[np.array(flat, np.int64)])])[np.cumsum(counts)]
+            if not ((np.diff(stop, prepend=0) == wanted).all() and b"".join(map(known.__getitem__, flat)) == whole):
+                spelled &= [b"".join(map(known.__getitem__, i)) == b" " + u for i, u in zip(ids, units, strict=True)]
+            sides.append((flat, counts))
+        return sides, spelled
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """What lies between the cuts of each text."""
+        cut = np.zeros(len(data), bool)
+        if self.cuts and len(data) > 2:
+            cut[1:-1] = (data[1:-1] == 0x20) & (_VISIBLE[data[2:]] | _LEAD[data[2:]])
+            at = np.flatnonzero(cut)
+            before = data[at - 1]
+            two = (before >= 0x80) & (at >= 2) & _LEAD[data[at - 2]]
+            cut[at[~(_VISIBLE[before] | two)]] = False
+            # Neighbours within the text.
+            cut[np.minimum(offsets[:-1], len(data) - 1)] = False
+            cut[np.maximum(offsets[1:] - 1, 0)] = False
+        at, full = np.flatnonzero(cut), np.flatnonzero(np.diff(offsets))
+        start = np.sort(np.concatenate([offsets[full], at + 1]))
+        end = np.sort(np.concatenate([offsets[full + 1], at]))
+        return Words(data, start, end, np.searchsorted(offsets, start, "right") - 1, len(offsets) - 1)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides, text after text, and how many each text has; none where a side does not spell the text."""
+        units = self.units(data, offsets)
+        _, first, which = np.unique(units.hashes(), return_index=True, return_inverse=True)
+        place = self.memo.places(units.values(first))[which]
+        wrong = self.memo.flags(place) == 0
+        bad = np.zeros(units.n_docs, bool)
+        bad[units.doc[wrong]] = True
+        kept = ~bad[units.doc]
+        place, doc = place[kept], units.doc[kept]
+        ids, counts = [], []
+        for side in (0, 1):
+            flat, count = self.memo.gather(place, side)
+            ids.append(flat.astype(np.int64))
+            counts.append(np.bincount(doc, weights=count, minlength=units.n_docs).astype(np.int64))
+        return ids, counts
 
 
 def _byte_of() -> dict[str, int]:
@@ -144,32 +167,41 @@ def overlaps(start_a, end_a, start_b, end_b) -> tuple[np.ndarray, np.ndarray]:
 class Aligned:
     """Tokens of some texts, one after another on one line of bytes."""
 
-    def __init__(self, pair: Pair, values: list[str | None]):
-        found = pair.encode(values)
-        self.n = np.array([[len(a), len(b)] for a, b in found], np.int64).reshape(-1, 2)
-        self.ids = [np.fromiter((i for f in found for i in f[k]), np.int64, int(self.n[:, k].sum())) for k in (0, 1)]
+    def __init__(self, pair: Pair, data: np.ndarray, offsets: np.ndarray):
+        self.ids, self.n = pair.encode(data, offsets)
+        self.digits = pair.digits
+        docs, n_a = len(offsets) - 1, len(self.ids[0])
         length = [pair.lengths[k][self.ids[k]] for k in (0, 1)]
         end = [np.cumsum(x) for x in length]
         start = [e - x for e, x in zip(end, length, strict=True)]
-        doc = np.concatenate([np.repeat(np.arange(len(found)), self.n[:, k]) for k in (0, 1)])
-        side = np.repeat([0, 1], [len(x) for x in self.ids])
+        side = np.repeat(np.array([0, 1], np.int8), [len(x) for x in self.ids])
         order, group = coalesced(np.concatenate(start), np.concatenate(end), side)
         i, j = overlaps(start[0], end[0], start[1], end[1])
         linked = end[0][i] == end[1][j]
         i, j = i[linked], j[linked]
         self.pairs = self.ids[1][j] << 32 | self.ids[0][i]
-        self.links = np.bincount(doc[: len(self.ids[0])][i], minlength=len(found))
-        # Within a group, A's tokens come before B's.
-        order = order[np.lexsort((side[order], group))]
-        self.side, self.doc, self.id = side[order], doc[order], np.concatenate(self.ids)[order]
-        self.group = group
-        self.groups = np.bincount(self.doc[np.flatnonzero(np.diff(group, prepend=-1))], minlength=len(found))
+        doc_a = np.repeat(np.arange(docs), self.n[0])
+        self.links = np.bincount(doc_a[i], minlength=docs)
+        # Within a group, A's tokens come before B's: a token's place counts the other side's tokens of groups before.
+        of = np.empty(len(order), np.int64)
+        of[order] = group
+        n_groups = int(group[-1]) + 1 if len(group) else 0
+        before = [np.cumsum(np.bincount(g, minlength=n_groups)) for g in (of[:n_a], of[n_a:])]
+        size_b = np.diff(before[1], prepend=0)
+        place_a = np.arange(n_a) + (before[1] - size_b)[of[:n_a]]
+        place_b = np.arange(len(of) - n_a) + before[0][of[n_a:]]
+        self.id, self.mark = np.empty(len(of), np.int64), np.full(len(of), ord(","), np.uint8)
+        self.id[place_a], self.id[place_b] = self.ids[0], self.ids[1]
+        if n_groups:
+            last_a, last_b = before[0] - 1, before[1] - 1
+            self.mark[place_a[last_a]] = ord("|")
+            self.mark[place_b[last_b]] = ord(";")
+        first_a = np.flatnonzero(np.diff(of[:n_a], prepend=-1))
+        self.groups = np.bincount(doc_a[first_a], minlength=docs)
 
     def texts(self) -> list[bytes]:
         """The groups of each text, as `a1,a2|b1;a3|b2,b3`."""
-        digits = np.char.encode(np.arange(int(self.id.max(initial=0)) + 1).astype(str))
-        width = digits.dtype.itemsize
-        table = digits.view(np.uint8).reshape(-1, width)
+        table, width = self.digits, self.digits.shape[1]
         length = np.count_nonzero(table, axis=1)[self.id]
         stop = np.cumsum(length + 1)
         out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
@@ -177,12 +209,8 @@ class Aligned:
         for d in range(width):
             has = length > d
             out[first[has] + d] = table[self.id[has], d]
-        mark = np.full(len(self.id), ord(","), np.uint8)
-        if len(mark):
-            mark[:-1][self.side[1:] > self.side[:-1]] = ord("|")
-            mark[:-1][self.group[1:] != self.group[:-1]] = ord(";")
-            out[stop - 1] = mark
-        ends = np.concatenate([[0], np.cumsum(np.bincount(self.doc, weights=length + 1, minlength=len(self.n)))]).astype(np.int64)
+        out[stop - 1] = self.mark
+        ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(self.n[0] + self.n[1])])]
         raw = out.tobytes()
         return [raw[a : max(a, b - 1)] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
@@ -195,36 +223,44 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool) -> Dat
 
         pair, number = pair_of(path_a, path_b), partition_id() << 20
         for batch in batches:
-            _, offsets = texts(batch.column(1))
+            data, offsets = texts(batch.column(1))
             for lo, hi in pieces(offsets, CHUNK_BYTES):
-                found = Aligned(pair, batch.column(1).slice(lo, hi - lo).to_pylist())
-                groups = found.texts()
-                known, which, links = np.unique(found.pairs, return_inverse=True, return_counts=True)
-                rows = pa.record_batch(
-                    {
-                        "doc_id": batch.column(0).slice(lo, hi - lo),
-                        "n_a": pa.array(found.n[:, 0]),
-                        "n_b": pa.array(found.n[:, 1]),
-                        "n_groups": pa.array(found.groups),
-                        "n_links": pa.array(found.links),
-                        "groups_sha256": pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups]),
-                        "groups": pa.array([g.decode() if keep_groups else None for g in groups], pa.string()),
-                    }
-                )
-                yield pa.record_batch(
-                    {
-                        "chunk": pa.array([number], pa.int64()),
-                        "blob": pa.array([frozen(rows)], pa.binary()),
-                        "which": pa.array([tally.squeeze(which)], pa.binary()),
-                        "pair": pa.array([known], pa.list_(pa.int64())),
-                        "links": pa.array([links], pa.list_(pa.int64())),
-                    }
-                )
+                yield _chunk(pair, number, batch.column(0).slice(lo, hi - lo), data, offsets[lo : hi + 1], keep_groups)
                 number += 1
 
     return docs.mapInArrow(run, CHUNK)
 
 
+def _chunk(pair: Pair, number: int, names: pa.Array, data: np.ndarray, offsets: np.ndarray, keep_groups: bool) -> pa.RecordBatch:
+    """A row of CHUNK, aligned in steps."""
+    none = np.zeros(0, np.int64)
+    columns: dict[str, list[np.ndarray]] = {c: [none] for c in ("n_a", "n_b", "n_groups", "n_links")}
+    pairs, hashes, groups = [none], [], []
+    for lo, hi in pieces(offsets, STEP_BYTES):
+        found = Aligned(pair, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        for c, x in zip(columns.values(), (*found.n, found.groups, found.links), strict=True):
+            c.append(x)
+        pairs.append(found.pairs)
+        for g in found.texts():
+            hashes.append(hashlib.sha256(g).hexdigest() if g else "")
+            groups.append(g.decode() if keep_groups else None)
+    known, which, links = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+    rows = pa.record_batch(
+        {"doc_id": names}
+        | {c: pa.array(np.concatenate(x), pa.int64()) for c, x in columns.items()}
+        | {"groups_sha256": pa.array(hashes, pa.string()), "groups": pa.array(groups, pa.string())}
+    )
+    return pa.record_batch(
+        {
+            "chunk": pa.array([number], pa.int64()),
+            "blob": pa.array([frozen(rows)], pa.binary()),
+            "which": pa.array([tally.squeeze(which)], pa.binary()),
+            "pair": pa.array([known], pa.list_(pa.int64())),
+            "links": pa.array([links], pa.list_(pa.int64())),
+        }
+    )
+
+
 def _counted(chunks: DataFrame) -> DataFrame:
     """pair, count, best of all chunks."""
     each = chunks.select(F.explode(F.arrays_zip("pair", "links")).alias("x"))

@@ -4,10 +4,12 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from flowlens.llm import alignment
+from flowlens.llm.words import texts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -90,17 +92,20 @@ def test_signs(spark):
     assert [r for r in found if r[0] == 1] == [(1, 0, 0, 0, 0, 0, 0, "", "")]
 
 
-def test_long_texts_are_tokenized_in_parts(spark):
-    """Texts of many parts give the ids of whole texts, whatever stands around the cuts."""
+def ids_of(pair, values):
+    ids, counts = pair.encode(*texts(pa.array(values, pa.string())))
+    return [[x.tolist() for x in np.split(i, np.cumsum(c)[:-1])] for i, c in zip(ids, counts)]
+
+
+def test_units_give_the_ids_of_whole_texts():
+    """Texts of many units, whatever stands around the cuts."""
     rng = np.random.default_rng(3)
-    signs = ["word", "Ünï", " ", "  ", "\n", " x", "don't ", "12 ", "... ", "漢 ", "  b", "a ", "'s "]
-    text = "".join(rng.choice(signs, 120_000))
+    signs = ["word", "Ünï", " ", "  ", "\n", " x", "don't ", "12 ", "... ", "漢 ", "  b", "a ", "'s ", "\u00a0 ", "\u2003 é", "\x1c ", "² ", "\x7f z", "̈ "]
+    values = ["".join(rng.choice(signs, 300)) for _ in range(300)] + ["".join(rng.choice(signs, 100_000)), "z" * 20_000, None, "", " ", "  "]
     pair = alignment.pair_of(A, B)
-    assert pair.cuts and len(pair._parts(text)) > 3 and " ".join(pair._parts(text)) == text
-    whole = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
-    assert pair.encode([None, text, "x"])[1] == whole
-    unbroken = "z" * 200_000
-    assert pair._parts(unbroken) == [unbroken]
+    assert pair.cuts
+    want = [pair.a.encode_batch([" " + (v or "") if v else "" for v in values], add_special_tokens=False), pair.b.encode([v or "" for v in values])]
+    assert ids_of(pair, values) == [[e.ids for e in want[0]], want[1]]
 
 
 def test_id_pairs_and_empty_table(spark, no_docs):
