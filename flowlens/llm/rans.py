@@ -118,59 +118,65 @@ class Coder:
 # --- tokens, landed once ---
 
 
-def _squeeze(ids: np.ndarray) -> bytes:
-    """Ids by byte planes, for intermediate tables."""
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _squeeze(numbers: np.ndarray, coder: zstandard.ZstdCompressor) -> bytes:
+    """Unsigned numbers by byte planes, two where that is enough, for intermediate tables."""
+    kind = "<u2" if not len(numbers) or int(numbers.max()) < 1 << 16 else "<u4"
+    planes = numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T
+    return kind[2:].encode() + coder.compress(planes.tobytes())
 
 
-def _unsqueeze(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+def _unsqueeze(blob: bytes, coder: zstandard.ZstdDecompressor) -> np.ndarray:
+    width = blob[0] - 48
+    raw = np.frombuffer(coder.decompress(memoryview(blob)[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1)
 
 
 def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
+    """doc_id, row, n_tokens, ids of each document, and in the first row of a piece the counts of its ids."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from flowlens.llm.tokens import encoder
         from flowlens.llm.words import split, texts
 
-        encode, row = encoder(vocabulary), partition_id() << 40
+        encode, row, coder = encoder(vocabulary), partition_id() << 40, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data, offsets = texts(batch.column(1))
             for lo, hi in pieces(offsets):
                 words = split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ids, counts = encode.encode(words, end_id)
                 ends = np.cumsum(counts).tolist()
+                seen = [_squeeze(np.bincount(ids), coder)] + [None] * (hi - lo - 1)
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column(0).slice(lo, hi - lo),
                         "row": pa.array(np.arange(row, row + hi - lo), pa.int64()),
                         "n_tokens": pa.array(counts, pa.int64()),
-                        "ids": pa.array([_squeeze(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary()),
+                        "ids": pa.array([_squeeze(ids[a:b], coder) for a, b in zip([0, *ends], ends, strict=False)], pa.binary()),
+                        "counts": pa.array(seen, pa.binary()),
                     }
                 )
                 row += hi - lo
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return land(rows.mapInArrow(run, "doc_id long, row long, n_tokens long, ids binary"), "tokens", "uncompressed")
+    return land(rows.mapInArrow(run, "doc_id long, row long, n_tokens long, ids binary, counts binary"), "tokens", "uncompressed")
 
 
 def _frequencies(tokens: DataFrame) -> dict[int, int]:
     """Counts of ids over all documents; as many rows as the vocabulary has ids, at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, coder = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                part = np.bincount(_unsqueeze(blob))
+                part = _unsqueeze(blob, coder)
                 if len(part) > len(total):
                     total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
                 total[: len(part)] += part
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("counts").where(F.col("counts").isNotNull()).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counts.collect()}
 
 
@@ -215,14 +221,14 @@ def write(
         )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*shared.value)
+        coder, unpack = Coder(*shared.value), zstandard.ZstdDecompressor()
         part, number, start, held = partition_id(), 0, 0, 0
         names, counts, ids = [], [], []
         for batch in batches:
             for name, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names.append(name)
                 counts.append(n)
-                ids.append(_unsqueeze(blob))
+                ids.append(_unsqueeze(blob, unpack).astype(np.uint32))
                 held += n
                 if held >= BLOCK_IDS:
                     yield block(part, number, start, names, counts, ids, coder)

@@ -6,20 +6,27 @@ Holds for vocabularies that drop white space, ignore case and cut letters from m
   vocabulary's rules cut or join lies within a word and is left to the library.
 - A-Z in lower case gives the same ids, unless a word could hold a special token, which starts with `<`.
 - Marks (.,;:!?) that follow an ASCII letter and end a word are a piece of their own.
+- A word of letters alone is one piece, whose last token, and no other, has the end-of-word mark. So many such words
+  are encoded as one text, which takes half the time, and told apart by that mark.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 
+from flowlens.llm.memo import Encoded, Memo
 from flowlens.llm.words import Words, lowered
 
-# Words a worker remembers, about 200 bytes each.
-CAPACITY = 1 << 20
+# Words a worker remembers, about 200 bytes each, twice.
+CAPACITY = 1 << 19
+# Words of letters that are encoded as one text.
+JOINED = 64
+# Letters up to here are written as one character that stays one in lower case and in normal form, but for one.
+LAST_LETTER, DOTTED_I = "\u024f", "\u0130"
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
@@ -39,29 +46,31 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.capacity = capacity
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = array("I")
-        self.ends = array("q", [0])
-
-    def _places(self, values: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.capacity:
-            self._clear()
-        new = [v for v in values if v not in self.known]
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            found = self.tokenizer.encode_batch_fast(
-                [v.decode("utf-8", "replace") for v in part], add_special_tokens=False
-            )
-            for value, got in zip(part, found, strict=True):
-                self.known[value] = len(self.ends) - 1
-                self.ids.extend(got.ids)
-                self.ends.append(len(self.ids))
-        known = self.known
-        return np.fromiter((known[v] for v in values), np.int64, len(values))
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.memo = Memo(self._ids, 1, capacity)
+
+    def _ids(self, values: list[bytes]) -> Encoded:
+        texts = [v.decode("utf-8", "replace") for v in values]
+        plain = np.array([t.isascii() and t.isalpha() or t.isalpha() and max(t) <= LAST_LETTER and DOTTED_I not in t for t in texts], bool)
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        joined = [" ".join([texts[i] for i in at[lo : lo + JOINED].tolist()]) for lo in range(0, len(at), JOINED)]
+        flat = np.array(list(chain.from_iterable(self._encoded(joined))), np.int64)
+        last = np.flatnonzero(self.ends_word[flat])
+        if len(last) != len(at):
+            raise ValueError("this vocabulary does not mark the end of each word")
+        others = self._encoded([texts[i] for i in rest.tolist()])
+        counts = np.concatenate([np.diff(last, prepend=-1), np.fromiter(map(len, others), np.int64, len(others))])
+        flat = np.concatenate([flat, np.array(list(chain.from_iterable(others)), np.int64)])
+        # Back in the order of the values.
+        order = np.argsort(np.concatenate([at, rest]), kind="stable")
+        begin, count = (np.cumsum(counts) - counts)[order], counts[order]
+        stop = np.cumsum(count)
+        return [(flat[np.arange(len(flat)) + np.repeat(begin - (stop - count), count)], count)], np.zeros(len(values), np.uint8)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with end_id after each text, and the number of ids of each text."""
@@ -69,14 +78,7 @@ class WordEncoder:
         which, distinct = pd.factorize(words.hashes())
         first = np.empty(len(distinct), np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
-        place = self._places(words.values(first))
-        ends = np.array(self.ends, dtype=np.int64)
-        begin, count = ends[place], ends[place + 1] - ends[place]
-        begin, count = begin[which], count[which]
-        stops = np.cumsum(count)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = np.array(self.ids, dtype=np.uint32)
-        flat = ids[np.arange(total) + np.repeat(begin - (stops - count), count)]
+        flat, count = self.memo.gather(self.memo.places(words.values(first))[which])
         per_doc = np.bincount(words.doc, weights=count, minlength=words.n_docs).astype(np.int64)
         return np.insert(flat, np.cumsum(per_doc), np.uint32(end_id)), per_doc + 1
 
