@@ -95,11 +95,8 @@ def _keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
     ]
 
 
-def _decided(
-    docs: DataFrame, keys: list[Column], weights: tuple[float, ...], cap: float, seed: int, group: int
-) -> DataFrame:
+def _decided(sized: DataFrame, weights: tuple[float, ...], cap: float, seed: int, group: int) -> DataFrame:
     """Items, each with its equal rows and all copies that these are taken together."""
-    sized = land(docs.select(*keys), "sizes")
     goal = targets(sized, weights, cap)
     items = _with_targets(sized.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows")), goal)
     share = F.col("rows") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -140,8 +137,8 @@ def mix(
     group: int = GROUP,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row for each document."""
-    items = _decided(docs, _keys(id_col, text_col, source_col), weights, cap, seed, group)
-    each = items.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    sized = land(docs.select(*_keys(id_col, text_col, source_col)), "sizes")
+    each = _times(_decided(sized, weights, cap, seed, group), "rows", "n")
     copies = F.floor(F.col("all_copies") / F.col("rows")) + F.when(
         F.col("n") <= F.pmod("all_copies", "rows"), 1
     ).otherwise(0)
@@ -163,21 +160,47 @@ def repeated(
     """The documents with all their columns, each as often as the mix takes it.
 
     Rows of one item may differ in other columns: the item's copies are dealt out over its rows as `mix` does, in the order
-    of a hash of all columns.
+    of a hash of all columns. All is decided on sizes and hashes; the texts move once, to meet their number of copies.
     """
-    keys = _keys(id_col, text_col, source_col)
-    items = _decided(docs, keys, weights, cap, seed, group).where("all_copies > 0").select(*_KEY, "rows", "all_copies")
-    columns = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), *keys)
-    whole = whole.withColumn("variant", F.sha2(F.to_json("doc", {"ignoreNullFields": "false"}), 256))
-    once = whole.groupBy(*_KEY, "variant").agg(F.first("doc").alias("doc"), F.count(F.lit(1)).alias("same"))
+    variant = _variant(docs)
+    sized = land(docs.select(*_keys(id_col, text_col, source_col), variant), "sizes")
+    items = _decided(sized, weights, cap, seed, group).where("all_copies > 0").select(*_KEY, "rows", "all_copies")
+    once = sized.groupBy(*_KEY, "variant").agg(F.count(F.lit(1)).alias("same"))
     earlier = Window.partitionBy(*_KEY).orderBy("variant").rowsBetween(Window.unboundedPreceding, -1)
     once = once.withColumn("before", F.coalesce(F.sum("same").over(earlier), F.lit(0)))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"i.{c}")) for c in _KEY]
     rest = F.pmod("all_copies", "rows") - F.col("before")
     copies = F.floor(F.col("all_copies") / F.col("rows")) * F.col("same") + F.greatest(F.lit(0), F.least("same", rest))
     taken = once.alias("d").join(items.alias("i"), same).withColumn("copies", copies.cast("long")).where("copies > 0")
-    return taken.select("d.doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
+    taken = land(taken.select("variant", "same", "copies"), "copies")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), variant).join(taken, "variant")
+    # Rows that are equal in all columns share their copies evenly; what is left over goes to one of them.
+    uneven = F.pmod("copies", "same") > 0
+    each = _times(whole.where(~uneven).withColumn("copies", F.expr("copies div same")), "copies", "n").select("doc.*")
+    if taken.where(uneven).isEmpty():
+        return each
+    one = whole.where(uneven).groupBy("variant").agg(F.first("doc").alias("doc"), F.first("copies").alias("copies"))
+    return each.unionByName(_times(one, "copies", "n").select("doc.*"))
+
+
+def _variant(docs: DataFrame) -> Column:
+    """128 bits of hash of all columns and of which are null."""
+    values = []
+    for field in docs.schema:
+        column = F.col(f"`{field.name}`")
+        values += [column.isNull(), F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column]
+    return F.struct(*[F.xxhash64(F.lit(half), *values).alias(f"h{half}") for half in (1, 2)]).alias("variant")
+
+
+_BLOCK = 1 << 16
+
+
+def _times(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as it says, numbered from 1, in blocks, so that no array is as long as a large count."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {_BLOCK}"))
+    each = rows.withColumn("_block", F.explode(blocks))
+    numbers = F.sequence(F.col("_block") * _BLOCK + 1, F.least(F.col(count), (F.col("_block") + 1) * _BLOCK))
+    return each.withColumn(name, F.explode(numbers)).drop("_block")
 
 
 def _with_targets(items: DataFrame, goal: DataFrame) -> DataFrame:
