@@ -112,37 +112,137 @@ def test_scores_know_the_words_before(spark):
     assert a["score"] > 0.7 * b["score"]
 
 
-def test_contexts_keep_their_own_counts(spark):
-    """Every context's counts are those of a plain count, also where there are more contexts than a fixed table has room for."""
+def plain_bits(rows):
+    """log2 of the chance of each text by the unlearned model: plain counts of tuples, one choice after another."""
+    texts = [(i, [*(w.encode() for w in WORD.findall(lower(t))), b"\n"], lower(t).encode()) for i, t in rows]
+    trains = [i is not None and zlib.crc32(str(i).encode()) % 10 > 0 for i, *_ in texts]
+
+    def gates(raw):
+        sign, out, at = 0, [], 0
+        for w in WORD.findall(raw.decode()):
+            start = raw.index(w.encode(), at)
+            for j in range(at, start):
+                sign = 1 + (raw[j] * 31 + raw[j + 1]) % 31 if raw[j] >= 0xC0 else sign
+            out.append(sign)
+            at = start
+            for j in range(start, start + len(w.encode())):
+                sign = 1 + (raw[j] * 31 + (raw[j + 1] if j + 1 < len(raw) else 0)) % 31 if raw[j] >= 0xC0 else sign
+            at = start + len(w.encode())
+        return [*out, sign]
+
+    def firsts(units, raw):
+        for k, (u, g) in enumerate(zip(units, gates(raw), strict=True)):
+            tail = units[k - 1][-2:] if k else "start"
+            yield u[0], [("t", tail, g), ("g", g), ("n",)]
+
+    def others(u):
+        full = u if u == b"\n" else u + b" "
+        for j in range(1, len(full)):
+            yield full[j], [("w", n, full[max(0, j - n) : j]) for n in (1, 2, 3, 99)]
+
+    def pairs(units):
+        for k, u in enumerate(units):
+            yield (units[k - 2] if k > 1 else None, units[k - 1] if k else None), u
+
+    counts, after = Counter(), {}
+    for (_, units, raw), train in zip(texts, trains, strict=True):
+        if train:
+            for byte, contexts in [*firsts(units, raw), *(x for u in units for x in others(u))]:
+                counts.update((c, byte) for c in contexts)
+            for pair, u in pairs(units):
+                after.setdefault(pair, Counter())[u] += 1
+
+    def spelled(byte, contexts):
+        total = 0.0
+        for d in range(8):
+            odds = 0.0
+            for c in contexts:
+                whole = sum(counts[c, x] for x in range(256) if x >> (8 - d) == byte >> (8 - d))
+                same = sum(counts[c, x] for x in range(256) if x >> (7 - d) == byte >> (7 - d))
+                odds += 0.3 * math.log((same + 0.4) / (whole - same + 0.4))
+            total += chance(odds)
+        return total
+
+    def chance(odds):
+        odds = max(-12, min(12, odds))
+        at = min(max((odds / 8 + 1) / 2 * 24, 0), 24 - 1e-6)
+        low = [1 / (1 + math.exp(-((int(at) + j) / 24 * 2 - 1) * 8)) for j in (0, 1)]
+        return math.log2(0.5 / (1 + math.exp(-odds)) + 0.5 * (low[0] * (1 - at % 1) + low[1] * (at % 1)))
+
+    out = []
+    for (_, units, raw), train in zip(texts, trains, strict=True):
+        bits = 0.0
+        for (pair, u), (byte, contexts) in zip(pairs(units), firsts(units, raw), strict=True):
+            seen = after.get(pair, Counter())
+            total, most = sum(seen.values()), max(seen.values(), default=0)
+            guess = min((context_mixing_next(w), w) for w in seen if seen[w] == most)[1] if seen else None
+            right = guess == u
+            most, total = most - (train and right), total - (train and total > 0)
+            right = right and most > 0
+            if total > 0:
+                odds = 0.3 * math.log((most + 0.4) / (total - most + 0.4))
+                bits += chance(odds if right else -odds)
+            if not (total > 0 and right):
+                bits += spelled(byte, contexts) + sum(spelled(b, c) for b, c in others(u))
+        out.append(bits)
+    return out
+
+
+def context_mixing_next(word):
+    """The hash by which equal counts are told apart, as the operator has it."""
     import numpy as np
-    from pyspark.sql import functions as F
-
-    from flowlens.llm import tally
-    from flowlens.llm.common import packed_texts
-
-    docs = spark.range(40).select(
-        F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(0, 2500), i -> sha2(concat(id, '-', i), 256)))").alias("text")
-    )
-    chunks = {r["chunk"]: context_mixing.Chunk(r["blob"]) for r in packed_texts(docs, "doc_id", "text", "t").collect()}
-    keys = {n: [k for k in c.keys()] for n, c in chunks.items()}
-    k = 4
-    every = np.concatenate([keys[n][k][c.trains[c.doc]] for n, c in chunks.items()])
-    assert len(np.unique(every >> np.uint64(8))) > 1 << 22
-    have, times = np.unique(every, return_counts=True)
-    lead, first = np.unique(have >> np.uint64(8), return_index=True)
-    whole = np.add.reduceat(times, first)
-    batches = [b for n, c in chunks.items() for b in c.requests(n, 0)]
     import pyarrow as pa
 
-    table = pa.Table.from_batches(batches)
-    asked = spark.createDataFrame(table.filter(pa.compute.equal(table.column("bucket"), k << 32)))
-    for r in context_mixing._paths(asked).collect():
-        want = np.unique(keys[r["chunk"]][k])
-        path = tally.unsqueeze(r["totals"]).reshape(9, -1).cumsum(axis=0)
-        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-        assert (path[0] == np.where(have[at] == want, times[at], 0)).all()
-        at = np.minimum(np.searchsorted(lead, want >> np.uint64(8)), len(lead) - 1)
-        assert (path[8] == np.where(lead[at] == want >> np.uint64(8), whole[at], 0)).all()
+    from flowlens.llm.common import frozen
+
+    blob = frozen(context_mixing._rows([1], pa.array(["" if word == b"\n" else word.decode()]), [True], [0]))
+    return int(np.asarray(context_mixing.Chunk(blob).next)[0])
+
+
+def test_scores_equal_plain_counts(spark, monkeypatch):
+    """With weights as they start, each text's score is that of a plain walk over its choices."""
+    monkeypatch.setattr(context_mixing, "_sampled", lambda docs: None)
+    texts = [
+        "the cat sat on the mat", "the cat sat on the hat", "The cat, the été cat\tsat on", "", None, "a b a b a b a c", "x", "über été ça va été",
+        "the cat sat on the mat", "mat hat cat the cat sat x",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts, 1)] + [(None, "the cat sat"), (17, "the cat sat on a mat"), (43, "été ça va")]
+    assert any(zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows if i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r["doc_id"], round(r["score"] * math.log2(10), 3)) for r in context_mixing.scores(docs).collect())
+    want = Counter((i, round(b, 3)) for (i, _), b in zip(rows, plain_bits(rows), strict=True))
+    assert {k[0] for k in found} == {k[0] for k in want}
+    got, want = ({k[0]: k[1] for k in c} for c in (found, want))
+    assert all(abs(got[i] - want[i]) < 0.01 for i in want)
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    one = {r["doc_id"]: r["score"] for r in context_mixing.scores(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = {r["doc_id"]: r["score"] for r in context_mixing.scores(docs.repartition(13, "n_chars")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert one == other
+
+
+def test_scores_of_very_long_texts(spark):
+    """A text of many pieces, and one of a single word: tokens, bytes and base scores are those of the whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{x}" for x in rng.zipf(1.3, 5_500_000) % 50_000)
+    assert len(text) > 20_000_000
+    rows = [(1, text), (2, "y" * 300_000), (3, "w1 w2 " + "y" * 300_000 + " w3"), (4, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in context_mixing.scores(docs).collect()}
+    want = base_scores(rows)
+    got = Counter((i, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for i, r in found.items())
+    assert {k[:5] for k in got} == {k[:5] for k in want}
+    assert all(math.isclose(a[5], b[5], rel_tol=1e-9) for a, b in zip(sorted(got), sorted(want)))
+    assert found[1]["n_bytes"] == len(text) + 2 and found[2]["n_bytes"] == 300_002
+    assert found[1]["bits_per_byte"] < 8
 
 
 def by_hand(url, rules, default="allow"):
@@ -233,7 +333,7 @@ def test_mix_is_native(spark):
 
 def test_each_operator_has_a_query():
     names = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
-    assert sorted(names) == list(range(1, 11))
+    assert sorted(names) == list(range(1, 14))
 
 
 def test_copies_are_dealt_out_over_rows_with_other_columns(spark):
