@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import fmt
-from flowlens.operators import display, grouping, paging, rollups, summary, unify
+from flowlens.operators import display, distinct, grouping, paging, rollups, summary, unify
 from flowlens.operators.filters import (
     EXTERNAL_ONLY,
     PRESETS,
@@ -603,3 +603,30 @@ def rollup_replacing(spark, sf_dir):
     """The newest row per user and device, as a replacing table keeps it."""
     rows = fx.urls(spark, sf_dir).select("source_user", "device_name", "ts", "action", "session_id")
     return rollups.replace_latest(rows, ["source_user", "device_name"], "session_id")
+
+
+# --- exact distinct counts that merge ---------------------------------------------------------
+
+_DAYS = {
+    "first days": TimeWindow(datetime(2024, 1, 1), datetime(2024, 1, 4, 23, 0)),
+    "one day": TimeWindow(datetime(2024, 1, 17), datetime(2024, 1, 17, 23, 0)),
+    "month": TimeWindow(datetime(2024, 1, 1), datetime(2024, 1, 31, 23, 0)),
+}
+
+
+@query("distinct_from_bitmaps", on_urls(" UNION ALL ".join(
+    f"SELECT '{name}' AS days, device_name, count(DISTINCT url) AS distinct_urls FROM urls "
+    f"WHERE date_trunc('hour', ts) BETWEEN TIMESTAMP '{w.since}' AND TIMESTAMP '{w.until}' GROUP BY device_name"
+    for name, w in _DAYS.items())))
+def distinct_from_bitmaps(spark, sf_dir):
+    """Distinct URLs by device over several stretches of time, from hourly bitmaps that two loads have stored."""
+    path, rows = f"{scratch_dir(spark, 'bitmaps')}/urls", fx.urls(spark, sf_dir)
+    keys = {"hour": F.date_trunc("HOUR", "ts").cast("timestamp_ntz"), "device_name": F.col("device_name")}
+    for batch, when in enumerate((F.col("http_method") == "GET", F.col("http_method") != "GET")):
+        distinct.add(rows.where(when), path, keys, "hour", "url", batch)
+    found = None
+    for name, window in _DAYS.items():
+        sets = distinct.stored(spark, path, "hour timestamp_ntz, device_name string", "hour", window)
+        one = distinct.count(sets, ["device_name"], "distinct_urls").select(F.lit(name).alias("days"), "device_name", "distinct_urls")
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -118,3 +118,31 @@ def test_differences_are_named(spark):
     files = {r["file"] for r in verify.unequal(a, b, ["file"], ["n", "t"]).collect()}
     assert files == {"a", "b", "c", None}
     assert verify.differences(a, a, "file", ["n", "t"]).count() == 0
+
+
+def test_distinct_counts_merge(spark):
+    """Any window and grouping of several batches, one of which ran twice, with many values, nulls and a hot value."""
+    from flowlens.operators import distinct
+    from flowlens.operators.filters import TimeWindow
+
+    path, at = f"{scratch_dir(spark, 'test-distinct')}/d", datetime(2024, 1, 30)
+    data = [(at + timedelta(hours=i % 60), f"k{i % 3}", None if i % 50 == 0 else "hot" if i % 3 == 0 else f"v{(i * 7919) % 70_000}") for i in range(120_000)]
+    rows = spark.createDataFrame(data, "ts timestamp_ntz, k string, v string").repartition(6)
+    keys = {"hour": F.date_trunc("HOUR", "ts").cast("timestamp_ntz"), "k": F.col("k")}
+    for batch, when in ((0, "hour(ts) < 5"), (1, "hour(ts) BETWEEN 5 AND 14"), (1, "hour(ts) BETWEEN 5 AND 14"), (2, "hour(ts) > 14")):
+        distinct.add(rows.where(when), path, keys, "hour", "v", batch)
+    schema = "hour timestamp_ntz, k string"
+    every = distinct.stored(spark, path, schema, "hour")
+    assert distinct.count(every).first()[0] == len({v for *_, v in data if v is not None})
+    window = TimeWindow(datetime(2024, 1, 31, 3), datetime(2024, 2, 1, 2))
+    inside = distinct.stored(spark, path, schema, "hour", window)
+    assert "PartitionFilters: [isnotnull(ym" in inside._jdf.queryExecution().toString()
+    found = {r["k"]: r["distinct_values"] for r in distinct.count(inside, ["k"]).collect()}
+    want = {}
+    for ts, k, v in data:
+        if window.since <= ts.replace(minute=0) <= window.until and v is not None:
+            want.setdefault(k, set()).add(v)
+    assert found == {k: len(v) for k, v in want.items()}
+    known = distinct._known(spark, path)
+    assert known.count() == known.select("value").distinct().count() == known.select("bucket", "n").distinct().count()
+    assert distinct.count(distinct.stored(spark, f"{path}-none", schema, "hour")).first()[0] == 0
