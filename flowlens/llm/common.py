@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.session import scratch_dir
+from flowlens.session import remove, scratch_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 # Bytes of text that one numpy step looks at; a single longer text is a step of its own.
@@ -39,6 +40,32 @@ def ship(spark: SparkSession) -> None:
     context._flowlens = True
 
 
+# Intermediate tables in the order they were made: (path, name in the catalogue or None).
+_MADE: list[tuple[str, str | None]] = []
+
+
+def made() -> int:
+    """How many intermediate tables there have been; those from here on can be released."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, first: int, end: int | None = None) -> None:
+    """Delete the intermediate tables made from `first` to `end`: for when the result that came from them is written."""
+    for place, (path, table) in list(enumerate(_MADE))[first:end]:
+        if path:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(spark, path)
+            _MADE[place] = ("", None)
+    forget(spark)
+
+
+def reads(df: DataFrame, first: int, end: int) -> bool:
+    """Whether a frame reads one of these intermediate tables."""
+    paths = [path for path, _ in _MADE[first:end] if path]
+    return any(path.split(":", 1)[-1].lstrip("/") in file for path in paths for file in df.inputFiles())
+
+
 def land_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write an intermediate table bucketed by `key`: joins on it move the other side only.
 
@@ -46,8 +73,9 @@ def land_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark, name)}/rows")
+    table, path = f"{name}_{uuid.uuid4().hex}", scratch_dir(spark, name)
+    _MADE.append((path, table))
+    writer = df.write.bucketBy(buckets, key).option("path", f"{path}/rows")
     writer.option("compression", "uncompressed").saveAsTable(table)
     return spark.table(table)
 
@@ -58,9 +86,16 @@ def land(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     Later jobs start from the files, so an executor that is lost costs its running tasks only.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark, name)}/rows"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_dir(spark, name)
+    _MADE.append((path, None))
+    df.write.option("compression", compression).parquet(f"{path}/rows")
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of jobs that nothing refers to any more; else it waits for the driver's memory to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partition_id() -> int:

@@ -101,3 +101,39 @@ def test_mixture(stages):
 
 def test_packing(stages):
     check_pieces(stages[4], stages[5])
+
+
+def test_empty_table_and_other_columns(spark, no_docs, sf_dir):
+    """Every stage takes a table without rows, and columns named as those used within."""
+    odd = no_docs.selectExpr("*", "1 AS __id", "'x' AS __text", "2 AS __lang", "3 AS variant", "4 AS copies")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf_dir)
+        assert out.count() == 0
+        if name != "packing":
+            assert out.columns == odd.columns
+
+
+def test_columns_of_any_name_are_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    odd = docs.selectExpr("*", "doc_id + 1 AS __id", "'x' AS __text", "2 AS __lang", "doc_id AS variant", "map('a', doc_id) AS copies")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, odd, sf_dir).collect()
+        assert rows and all(r["__id"] == r["doc_id"] + 1 and r["variant"] == r["copies"]["a"] == r["doc_id"] for r in rows), name
+
+
+def test_intermediate_tables_go_when_the_next_stage_begins(spark, sf_dir, tmp_path):
+    import os
+
+    from flowlens.llm import common
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = common.made()
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    mine = [path.split(":")[-1] for path, _ in common._MADE[start:] if path]
+    out.write.parquet(f"{tmp_path}/kept")
+    # A frame that still reads them keeps them.
+    corpus_pipeline.language(spark, out, sf_dir)
+    assert mine and all(os.path.exists(path) for path in mine)
+    common.release(spark, start)
+    assert not any(os.path.exists(path) for path in mine)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_") and not t.isTemporary and t.name in str(mine)]
