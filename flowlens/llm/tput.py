@@ -17,8 +17,8 @@ Of equal integer vectors only the k + 1 least ids are held, as no answer has roo
 
 Vectors null, or with null or non-finite components, take no part; nor do those with a null id. Equal ids: each row is a
 candidate, of which a query's own id is none, and equal (query, id, score) count once. Shorter vectors are filled with zeros.
-Ties go to the smaller id. An empty table, or one without queries, gives no rows. Scores beyond 63 bits fail. Other columns
-are not looked at.
+Ties go to the smaller id. An empty table, or one without queries, gives no rows. A vector whose integers have a sum of squares of
+2**62 or more takes no part, so that every score fits into 64 bits. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,10 +45,9 @@ def exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a @ b.T).astype(np.int64)
     if bound < 2**63:
         return a.astype(np.int64) @ b.astype(np.int64).T
-    exact = np.array(a, object) @ np.array(b, object).T
-    if any(abs(int(x)) >= 2**63 for x in exact.reshape(-1)):
-        raise OverflowError("a score does not fit into 64 bits")
-    return exact.astype(np.int64)
+    # Sums on the way may be larger than the product is.
+    whole = [np.array([[int(x) for x in row] for row in m.tolist()], object).reshape(m.shape) for m in (a, b)]
+    return (whole[0] @ whole[1].T).astype(np.int64)
 
 
 def _parts(width: int, slices: int) -> list[slice]:
@@ -90,6 +89,7 @@ def top_k(
     rows = rows.where(F.col("vec_id").isNotNull() & vectors.usable(F.col("embedding")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = rows.select("vec_id", whole.alias("embedding"))
+    rows = rows.where(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x) < 2.0**62)
     held = vectors.blocks(vectors.few_of_each(rows, k), vectors.BLOCK_ROWS, "vectors")
     width = held.agg(F.max("width").alias("w")).first()["w"] or 0
     asked = vectors.blocks(rows.where(is_query(F.col("vec_id"))).dropDuplicates(), vectors.QUERY_ROWS, "queries")

@@ -52,6 +52,15 @@ def test_repeated_rows_take_no_place_of_other_ids(spark, times):
     assert [r[:3] for r in found] == [r[:3] for r in nearest(usable(rows), 2, 5)]
 
 
+def test_scores_that_do_not_fit(spark):
+    """Vectors beyond 64 bits take no part; those just below it are scored exactly."""
+    big, huge = 2.0**22 / 2, 1e300
+    rows = [(0, [big, -big]), (50, [1e6, 3.0]), (1, [big, big]), (2, [huge, 1.0]), (100, [huge, -huge]), (3, [big, 0.25])]
+    table = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], SCHEMA)
+    found = tput.top_k(table, lambda v: v % 50 == 0, k=5).collect()
+    assert sorted(map(tuple, found)) == top(usable([r for r in rows if abs(r[1][0]) < huge]), 50, 5, 256)
+
+
 def test_top_k_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tput.top_k(empty, lambda v: v % 50 == 0).count() == 0
