@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -93,9 +94,14 @@ def land(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of jobs that nothing refers to any more; else it waits for the driver's memory to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of jobs that nothing refers to any more; else it waits for the driver's memory to fill.
+
+    Frames let go here are let go in the JVM a moment later, and what they held is found unused after that.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partition_id() -> int:

@@ -101,11 +101,15 @@ def opened(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
 
 
 def meeting(queries: DataFrame, held: DataFrame) -> DataFrame:
-    """Each query block (columns q_...) beside each block of `held`."""
+    """Each query block (columns q_...) beside each block of `held`.
+
+    A pair is few bytes and much work, so the tasks are of a fixed number, which adaptive execution does not join by size.
+    """
     salts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    copied = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return held.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(copied, "salt").drop("salt")
+    copied = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(salts, "salt")
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).repartition(salts, "salt")
+    return dealt.join(copied, "salt").drop("salt")
 
 
 def least(rows: DataFrame, k: int, score: Column, by: str = "query_id", tie: str = "vec_id") -> DataFrame:
