@@ -43,8 +43,8 @@ from flowlens.llm.words import Words
 CHUNK_BYTES = 4 << 20
 # Bytes of text whose tokens are aligned at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
-# Units that a worker remembers, about 200 bytes each, twice.
-CAPACITY = 1 << 18
+# Units that a worker remembers, about 40 bytes each, twice.
+CAPACITY = 1 << 19
 CHUNK = "chunk long, blob binary, which binary, pair array<long>, links array<long>"
 # A space is a cut between characters of one or two bytes that are no white space.
 _VISIBLE, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
@@ -93,10 +93,11 @@ class Pair:
         whole = b" " + b" ".join(units)
         for ids, known, lengths in zip((a, self.b.encode(texts, num_threads=1)), self.bytes, self.lengths, strict=True):
             flat, counts = list(chain.from_iterable(ids)), np.fromiter(map(len, ids), np.int64, len(ids))
-            stop = np.concatenate([[0], np.cumsum(lengths[np.array(flat, np.int64)])])[np.cumsum(counts)]
+            numbers = np.array(flat, np.int64)
+            stop = np.concatenate([[0], np.cumsum(lengths[numbers])])[np.cumsum(counts)]
             if not ((np.diff(stop, prepend=0) == wanted).all() and b"".join(map(known.__getitem__, flat)) == whole):
                 spelled &= [b"".join(map(known.__getitem__, i)) == b" " + u for i, u in zip(ids, units, strict=True)]
-            sides.append((flat, counts))
+            sides.append((numbers, counts))
         return sides, spelled
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -119,8 +120,8 @@ class Pair:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides, text after text, and how many each text has; none where a side does not spell the text."""
         units = self.units(data, offsets)
-        _, first, which = np.unique(units.hashes(), return_index=True, return_inverse=True)
-        place = self.memo.places(units.values(first))[which]
+        distinct, first, which = np.unique(units.hashes(), return_index=True, return_inverse=True)
+        place = self.memo.places(distinct, lambda some: units.values(first[some]))[which]
         wrong = self.memo.flags(place) == 0
         bad = np.zeros(units.n_docs, bool)
         bad[units.doc[wrong]] = True

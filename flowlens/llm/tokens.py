@@ -21,7 +21,7 @@ import pandas as pd
 from flowlens.llm.memo import Encoded, Memo
 from flowlens.llm.words import Words, lowered
 
-# Words a worker remembers, about 200 bytes each, twice.
+# Words a worker remembers, about 30 bytes each, twice.
 CAPACITY = 1 << 19
 # Words of letters that are encoded as one text.
 JOINED = 64
@@ -78,9 +78,10 @@ class WordEncoder:
         which, distinct = pd.factorize(words.hashes())
         first = np.empty(len(distinct), np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
-        flat, count = self.memo.gather(self.memo.places(words.values(first))[which])
+        place = self.memo.places(distinct, lambda some: words.values(first[some]))
+        flat, count = self.memo.gather(place[which])
         per_doc = np.bincount(words.doc, weights=count, minlength=words.n_docs).astype(np.int64)
-        return np.insert(flat, np.cumsum(per_doc), np.uint32(end_id)), per_doc + 1
+        return np.insert(flat.astype(np.uint32), np.cumsum(per_doc), np.uint32(end_id)), per_doc + 1
 
 
 def _units(words: Words) -> Words:

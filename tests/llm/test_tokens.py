@@ -30,3 +30,17 @@ def test_plain_texts():
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" .,!'aAbsStT<|>\ń ")), max_size=40), min_size=1, max_size=5))
 def test_any_texts(values):
     check(values)
+
+
+def test_small_memory_gives_the_same_ids():
+    """With room for a few words, which are forgotten and encoded again."""
+    from flowlens.llm.tokens import WordEncoder
+
+    small, large = WordEncoder(PATH, 20), encoder(PATH)
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("été", "x'", "Word", "日", "a.b") for b in range(30)]
+    for _ in range(30):
+        parts = split(*texts(pa.array([" ".join(rng.choice(words, 25)), None, "word1 word1"], pa.string())))
+        for a, b in zip(small.encode(parts, 2), large.encode(parts, 2)):
+            assert a.tolist() == b.tolist()
+    assert len(small.memo.now.hash) < 120
