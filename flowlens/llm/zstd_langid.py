@@ -54,14 +54,16 @@ def dictionaries(labelled: DataFrame, max_langs: int = MAX_LANGS, dict_bytes: in
     counts = labelled.where(F.col("lang").isNotNull()).groupBy("lang").count()
     langs = [tuple(r) for r in counts.orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
     size = F.octet_length("text")
-    known = labelled.where(
-        F.col("lang").isin([name for name, _ in langs]) & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (size <= dict_bytes)
-    ).select("lang", "doc_id", (size > SHORT).alias("long"), F.xxhash64("doc_id").alias("draw"), size.alias("size"), "text")
-    order = ["long", "draw", "doc_id", "text"]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    drawn = known.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    usable = F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (size <= dict_bytes)
+    known = labelled.where(F.col("lang").isin([name for name, _ in langs]) & usable).withColumn("mark", F.xxhash64("text"))
+    # Ranked by what is small; the texts of those chosen are looked up.
+    drawn = known.select("lang", "doc_id", "mark", (size > SHORT).alias("long"), F.xxhash64("doc_id").alias("draw"), size.alias("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "draw", "doc_id", "mark"))
+    drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     filled = F.sum("size").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    rows = drawn.withColumn("filled", filled).where(F.col("filled") <= dict_bytes).select("lang", "rank", "text").collect()
+    chosen = drawn.withColumn("filled", filled).where(F.col("filled") <= dict_bytes).select("lang", "doc_id", "mark", "rank")
+    keys = ["lang", "doc_id", "mark"]
+    rows = known.select(*keys, "text").join(F.broadcast(chosen), keys).dropDuplicates(["lang", "rank"]).select("lang", "rank", "text").collect()
     rows.sort(key=lambda r: -r["rank"])
     content: dict[str, list[bytes]] = {}
     for r in rows:
