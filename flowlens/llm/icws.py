@@ -22,7 +22,8 @@ threshold plus 3.5 standard deviations, which misses another 0.02 %.
 
 Each row gives one row; repeated rows are copies of each other. Null and empty texts, and texts of white space, are
 classes of their own. class_id is the least doc_id of a class; null ids count only if there is no other. An empty
-table gives no rows. Other columns are not looked at.
+table gives no rows. A very long text is a chunk by itself and is treated whole, by one task at a time. Other columns are not
+looked at, and stay as they are in `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations

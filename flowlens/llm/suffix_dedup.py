@@ -15,8 +15,9 @@ document would meet all of them. So, first, only text that can match is routed:
 Automata together grow with the data, so they travel by a join on the shard instead of a broadcast to all.
 
 Nulls: a null text has no words. A document with a null id is never a reference, and keeps its words. Equal ids: no
-document is smaller than another with its id. Each row gives one row. An empty table gives no rows. Other columns are
-not looked at, and stay as they are in `deduplicate`.
+document is smaller than another with its id. Each row gives one row. An empty table gives no rows. A very long text is a
+chunk by itself and is treated whole; the passages that one document lends to others make one automaton. Other columns are
+not looked at, and stay as they are in `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from flowlens.llm.common import land, packed_size, packed_texts, thawed, whole_r
 
 U64 = np.uint64
 SIZE = 13
+# Tasks that automata are built in, at most.
+MAX_TASKS = 4096
 ANCHOR = 6
 ANCHOR_BITS = 48
 SHARD_WORDS, STREAM_WORDS = 100_000, 400_000
@@ -168,7 +171,9 @@ def _removed(runs: DataFrame, size: int) -> DataFrame:
         made = Automaton.build(found)
         return pa.table({"shard": rows.column("shard")[:1], "automaton": pa.array([made.dump()], pa.binary())})
 
-    automata = passages.select(shard.alias("shard"), "owner", "text").groupBy("shard").applyInArrow(
+    # A shard is few bytes and much work, so the tasks are of a fixed number, which adaptive execution does not join by size.
+    tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, MAX_TASKS))
+    automata = passages.select(shard.alias("shard"), "owner", "text").repartition(tasks, "shard").groupBy("shard").applyInArrow(
         build, "shard int, automaton binary"
     )
     automata = land(automata, "automata", "uncompressed")
