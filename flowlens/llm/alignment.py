@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tally
-from flowlens.llm.common import frozen, land, land_by, partition_id, pieces, ship, thawed
+from flowlens.llm.common import frozen, land, land_by, lean, partition_id, pieces, ship, thawed
 from flowlens.llm.memo import Encoded, Memo
 from flowlens.llm.words import Words
 
@@ -229,7 +229,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool) -> Dat
                 yield _chunk(pair, number, batch.column(0).slice(lo, hi - lo), data, offsets[lo : hi + 1], keep_groups)
                 number += 1
 
-    return docs.mapInArrow(run, CHUNK)
+    return docs.mapInArrow(lean(run), CHUNK)
 
 
 def _chunk(pair: Pair, number: int, names: pa.Array, data: np.ndarray, offsets: np.ndarray, keep_groups: bool) -> pa.RecordBatch:
@@ -311,4 +311,4 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col="doc_id", text_col="
                 columns |= {c: pa.array(x.astype(np.int64)) for c, x in zip(names, sums, strict=True)}
                 yield pa.record_batch([columns[c.split()[0]] for c in OUT.split(", ")], [c.split()[0] for c in OUT.split(", ")])
 
-    return chunks.join(replies, "chunk", "left").select("blob", "which", "reply").mapInArrow(finish, OUT)
+    return chunks.join(replies, "chunk", "left").select("blob", "which", "reply").mapInArrow(lean(finish), OUT)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import land, partition_id, pieces, ship
+from flowlens.llm.common import land, lean, partition_id, pieces, ship
 
 PIECE_SCHEMA = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, rank_in_part long"
@@ -73,7 +73,7 @@ def pieces_of(
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, PIECE_SCHEMA)
+    return rows.mapInArrow(lean(cut), PIECE_SCHEMA)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,44 @@ def forget(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+# Seconds between two times that a worker hands memory back while it goes through groups.
+TRIM_SECONDS = 2.0
+_TRIMMED = [0.0]
+
+
+def trim(every: float = 0.0) -> None:
+    """Hand freed memory back to the system. Workers live on after a task, and several share an executor's memory."""
+    now = time.monotonic()
+    if now - _TRIMMED[0] >= every:
+        _TRIMMED[0] = now
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library has no such function
+            pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that hands memory back when its partition ends."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return lean_run
+
+
+def lean_group(work: Callable) -> Callable:
+    """A function for applyInArrow that hands memory back from time to time."""
+
+    def lean_work(rows: pa.Table) -> pa.Table:
+        out = work(rows)
+        trim(TRIM_SECONDS)
+        return out
+
+    return lean_work
+
+
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -169,7 +208,7 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str, name: str, keep_co
         F.col(text_col).cast("string").alias("__text"),
         *([others] if keep_columns else []),
     )
-    return land_by(rows.mapInArrow(chunks, "chunk long, n_docs long, n_bytes long, blob binary"), name, "chunk")
+    return land_by(rows.mapInArrow(lean(chunks), "chunk long, n_docs long, n_bytes long, blob binary"), name, "chunk")
 
 
 def whole_rows(table: pa.Table, columns: list[str], text_col: str, text: pa.Array, stay: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tally
-from flowlens.llm.common import ROW_BITS, land, packed_size, packed_texts, thawed, whole_rows
+from flowlens.llm.common import ROW_BITS, land, lean, packed_size, packed_texts, thawed, whole_rows
 from flowlens.llm.components import components
 
 U64 = np.uint64
@@ -152,7 +152,7 @@ def _asked(packed: DataFrame, size: int, cut: int) -> DataFrame:
                 keys, counts = np.unique(keys, return_counts=True)
                 yield from tally.requests(chunk, keys, counts, BITS, cut)
 
-    return packed.select("chunk", "blob").mapInArrow(ask, tally.REQUEST)
+    return packed.select("chunk", "blob").mapInArrow(lean(ask), tally.REQUEST)
 
 
 def _sketched(
@@ -248,7 +248,7 @@ def _compared(pairs: DataFrame, sketches: DataFrame, carry: tuple[str, ...] = ()
     rows = pairs.select("x", "y").join(side.select(F.col("row").alias("y"), F.col("payload").alias("b")), "y").join(
         side.select(F.col("row").alias("x"), F.col("payload").alias("a")), "x"
     )
-    return rows.select("x", "y", "a", "b").mapInArrow(compare, "x long, y long, similarity double")
+    return rows.select("x", "y", "a", "b").mapInArrow(lean(compare), "x long, y long, similarity double")
 
 
 def _marked(sketches: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _marked(sketches: DataFrame) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(bits.tolist(), pa.list_(pa.int64()))], ["row", "bands", "bits"]
                 )
 
-    return sketches.select("row", "bands", "payload").mapInArrow(mark, "row long, bands array<long>, bits array<long>")
+    return sketches.select("row", "bands", "payload").mapInArrow(lean(mark), "row long, bands array<long>, bits array<long>")
 
 
 def _may_link(a: str, b: str, threshold: float, exact: bool) -> Column:
@@ -405,4 +405,4 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) ->
                 stay[places or []] = False
                 yield from whole_rows(table, columns, text_col, table.column("__text").combine_chunks(), stay)
 
-    return packed.join(by_chunk, "chunk", "left").select("blob", "gone").mapInArrow(keep, docs.schema)
+    return packed.join(by_chunk, "chunk", "left").select("blob", "gone").mapInArrow(lean(keep), docs.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import frozen, land, pieces, ship, thawed
+from flowlens.llm.common import frozen, land, lean, pieces, ship, thawed
 
 BLOCK_BYTES = 2 << 20
 CHUNK_BYTES = 4 << 20
@@ -118,7 +118,7 @@ def _indexed(docs: DataFrame, items) -> DataFrame:
             for lo, hi in pieces(offsets, CHUNK_BYTES):
                 yield _chunk(batch.column(0).slice(lo, hi - lo), terms_of(batch.column(1).slice(lo, hi - lo)), items.value)
 
-    return docs.mapInArrow(run, INDEX)
+    return docs.mapInArrow(lean(run), INDEX)
 
 
 def _chunk(names: pa.Array, words, items: Items) -> pa.RecordBatch:
@@ -277,7 +277,7 @@ def _ranked(docs: DataFrame, items: Items, k: int) -> DataFrame:
                 ranking.take(blob)
         yield ranking.rows()
 
-    best = index.select("blob").mapInArrow(rank, "item int, doc_id long, score long")
+    best = index.select("blob").mapInArrow(lean(rank), "item int, doc_id long, score long")
     order: list[Column] = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)
     names = spark.createDataFrame(list(enumerate(items.ids)), "item int, item_id long")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import land, partition_id, pieces, ship
+from flowlens.llm.common import land, lean, partition_id, pieces, ship
 from flowlens.session import scratch_dir
 
 U64 = np.uint64
@@ -159,7 +159,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end_
                 row += hi - lo
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return land(rows.mapInArrow(run, "doc_id long, row long, n_tokens long, ids binary, counts binary"), "tokens", "uncompressed")
+    return land(rows.mapInArrow(lean(run), "doc_id long, row long, n_tokens long, ids binary, counts binary"), "tokens", "uncompressed")
 
 
 def _frequencies(tokens: DataFrame) -> dict[int, int]:
@@ -176,7 +176,7 @@ def _frequencies(tokens: DataFrame) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
-    counts = tokens.select("counts").where(F.col("counts").isNotNull()).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("counts").where(F.col("counts").isNotNull()).mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counts.collect()}
 
 
@@ -240,7 +240,7 @@ def write(
     total = sum(_frequencies_total(tokens))
     parts = max(1, -(-total // part_ids))
     ordered = tokens.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    blocks = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(encode, BLOCK_SCHEMA)
+    blocks = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(lean(encode), BLOCK_SCHEMA)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     sizes = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import pieces, ship
+from flowlens.llm.common import lean, pieces, ship
 from flowlens.llm.dfa import END, Automaton, Parser, backwards, compiled
 
 
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, rules: list[Rule], id_col="doc_id", text_col="text") -
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(rows, kind)], ["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return rows.mapInArrow(lean(run), f"doc_id long, spans {SPANS}")
 
 
 def _by_text(found: list[tuple[int, int, int]], edges: np.ndarray) -> Iterator[tuple[int, list]]:

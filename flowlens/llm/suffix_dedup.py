@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import tally
-from flowlens.llm.common import land, packed_size, packed_texts, thawed, whole_rows
+from flowlens.llm.common import land, lean, lean_group, packed_size, packed_texts, thawed, whole_rows
 
 U64 = np.uint64
 SIZE = 13
@@ -102,7 +102,7 @@ def _anchors(packed: DataFrame, size: int, cut: int) -> DataFrame:
                 keys, docs = np.unique(key[new], return_counts=True)
                 yield from tally.requests(chunk, keys, docs, ANCHOR_BITS, cut)
 
-    return packed.select("chunk", "blob").mapInArrow(ask, tally.REQUEST)
+    return packed.select("chunk", "blob").mapInArrow(lean(ask), tally.REQUEST)
 
 
 ROLE = "owner long, doc long, text binary, chunk long, place int, start int, n_words int"
@@ -174,7 +174,7 @@ def _removed(runs: DataFrame, size: int) -> DataFrame:
     # A shard is few bytes and much work, so the tasks are of a fixed number, which adaptive execution does not join by size.
     tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, MAX_TASKS))
     automata = passages.select(shard.alias("shard"), "owner", "text").repartition(tasks, "shard").groupBy("shard").applyInArrow(
-        build, "shard int, automaton binary"
+        lean_group(build), "shard int, automaton binary"
     )
     automata = land(automata, "automata", "uncompressed")
     parts = asked.groupBy(shard.alias("shard")).agg(
@@ -229,7 +229,7 @@ def _kept(packed: DataFrame, size: int, emit, schema: str) -> DataFrame:
                     keep = np.cumsum(edge)[: len(keep)] == 0
                 yield from emit(c, keep[: len(c.words)].astype(bool))
 
-    return packed.join(by_chunk, "chunk", "left").select("blob", "gone").mapInArrow(run, schema)
+    return packed.join(by_chunk, "chunk", "left").select("blob", "gone").mapInArrow(lean(run), schema)
 
 
 def _texts(c: _Chunk, keep: np.ndarray) -> list[bytes]:

@@ -15,6 +15,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from flowlens.llm.common import lean, lean_group
+
 REQUEST = "chunk long, bucket long, keys binary, adds binary, more binary"
 ANSWER = "chunk long, bucket long, totals binary, n_keys long, n_total long"
 # Keys a bucket should hold, about.
@@ -109,7 +111,7 @@ def answers(asked: DataFrame, least: bool = False) -> DataFrame:
             }
         )
 
-    return asked.groupBy("bucket").applyInArrow(add_up, ANSWER)
+    return asked.groupBy("bucket").applyInArrow(lean_group(add_up), ANSWER)
 
 
 def answered(packed: DataFrame, replies: list[DataFrame], work, schema: str) -> DataFrame:
@@ -137,4 +139,4 @@ def answered(packed: DataFrame, replies: list[DataFrame], work, schema: str) ->
                     totals.append(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
                 yield from work(row["chunk"], row["blob"], *totals)
 
-    return packed.select("chunk", "blob", *names).mapInArrow(run, schema)
+    return packed.select("chunk", "blob", *names).mapInArrow(lean(run), schema)

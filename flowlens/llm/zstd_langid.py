@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import ship
+from flowlens.llm.common import lean, ship
 
 MAX_LANGS, DICT_BYTES = 128, 256 << 10
 # Documents of a language that are looked at for its dictionary, and the bytes of a text that counts as short.
@@ -140,7 +140,7 @@ def identify(
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, margin double, rejected boolean").select(
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, margin double, rejected boolean").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "lang_pred",
@@ -162,4 +162,4 @@ def accepted(
         for batch in batches:
             yield batch.filter(pa.array(~judged(judge, batch.column(at))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
