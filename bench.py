@@ -18,7 +18,7 @@ from flowlens.session import local_session
 HEADLINE = [
     "top_flows", "top_categories", "top_users", "summary_panels", "summary_totals",
     "filter_time_preset", "filter_time_custom", "filter_external_only", "filter_ports", "search_cs",
-    "search_ci", "union_sources", "filter_log_source", "filter_unified", "count_by_source",
+    "search_ci", "search_indexed", "lookup_indexed", "union_sources", "filter_log_source", "filter_unified", "count_by_source",
     "facet_devices", "facets_url", "logs_page", "logs_page_deep", "log_display_rows",
     "url_display_rows", "flow_groups", "count_flow_groups", "subnet_rollup", "subnet_details",
     "subnet_page", "daily_category_actions", "rollup_url_hourly", "rollup_user_daily",
