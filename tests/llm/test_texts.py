@@ -201,7 +201,7 @@ def context_mixing_next(word):
 
 def test_scores_equal_plain_counts(spark, monkeypatch):
     """With weights as they start, each text's score is that of a plain walk over its choices."""
-    monkeypatch.setattr(context_mixing, "_sampled", lambda docs: None)
+    monkeypatch.setattr(context_mixing, "_sampled", lambda docs, n_docs: None)
     texts = [
         "the cat sat on the mat", "the cat sat on the hat", "The cat, the été cat\tsat on", "", None, "a b a b a b a c", "x", "über été ça va été",
         "the cat sat on the mat", "mat hat cat the cat sat x",
