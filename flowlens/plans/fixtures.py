@@ -248,8 +248,10 @@ def flows(
     return _run(spark, sf_dir, FLOWS, lineitem=spread(lineitem, "l_orderkey", "l_linenumber"))
 
 
-def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread(read(spark, sf_dir, "events"), "event_id")
+def urls(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """One row per event; dealt over a number of tasks if one is given."""
+    events = read(spark, sf_dir, "events")
+    events = spread(events, "event_id") if tasks is None else events.repartition(tasks, "event_id")
     pages = spread(read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
     return _run(spark, sf_dir, URLS, events=events, pages=pages)
 
@@ -262,8 +264,8 @@ def traffic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, TRAFFIC_LINES, flows=flows(spark, sf_dir))
 
 
-def url_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, URL_LINES, urls=urls(spark, sf_dir))
+def url_lines(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    return _run(spark, sf_dir, URL_LINES, urls=urls(spark, sf_dir, tasks))
 
 
 def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,10 +171,11 @@ def scan_urls(spark, sf_dir):
 LANDING_FILES = 8
 
 
-def land_lines(spark, lines: DataFrame, name: str, files: int = LANDING_FILES, **options: str) -> str:
-    """Write lines as text files of a landing folder, dealt by a hash of the line."""
+def land_lines(spark, lines: DataFrame, name: str, files: int | None = LANDING_FILES, **options: str) -> str:
+    """Write lines as text files of a landing folder, dealt by a hash of the line; without a number of files, each task
+    writes the lines that it has, and none is shuffled."""
     path = f"{scratch_dir(spark, name)}/lines"
-    dealt = lines.repartition(files, F.xxhash64("line"))
+    dealt = lines if files is None else lines.repartition(files, F.xxhash64("line"))
     dealt.select(F.col("line").alias("value")).write.options(**options).text(path)
     return path
 

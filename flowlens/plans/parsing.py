@@ -20,11 +20,16 @@ _LANDED: dict[tuple[str, str, str], str] = {}
 
 def landed(spark, sf_dir: str, kind: str) -> DataFrame:
     """Rendered lines as text files, written once for each session: parsers read files, and code is
-    generated for the parser without what renders its lines."""
+    generated for the parser without what renders its lines. Tasks write what they render, packed; so the files grow in
+    number with the input, and text is neither shuffled nor stored at full length. Events are dealt before they are
+    rendered: their table is small for the lines it makes."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _LANDED:
-        lines = {"kv": fx.kv_lines, "traffic": fx.traffic_lines, "url": fx.url_lines}[kind](spark, sf_dir)
-        _LANDED[key] = land_lines(spark, lines, f"{kind}-lines")
+        if kind == "url":
+            lines = fx.url_lines(spark, sf_dir, 4 * spark.sparkContext.defaultParallelism)
+        else:
+            lines = {"kv": fx.kv_lines, "traffic": fx.traffic_lines}[kind](spark, sf_dir)
+        _LANDED[key] = land_lines(spark, lines, f"{kind}-lines", files=None, compression="gzip")
     return syslog.read_syslog(spark, _LANDED[key]).select("line")
 
 

@@ -1,14 +1,16 @@
 """What the physical plans must and must not hold."""
 
+import os
 import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import grouping, paging, summary, unify
 from flowlens.operators.filters import FilterSpec, TimeWindow
-from flowlens.plans import catalogue
+from flowlens.plans import catalogue, parsing
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalogue import QUERIES
 from flowlens.session import scratch_dir
@@ -34,6 +36,19 @@ def test_no_cross_joins_no_python_no_single_task_windows(spark, sf_dir, name):
         assert re.search(r"HashAggregate|TakeOrdered|GlobalLimit", text)
 
 
+def test_rendered_lines_land_packed_by_the_tasks_that_render_them(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(parsing, "_LANDED", {})
+    shuffled = []
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *to: shuffled.append(df.columns) or df)
+    for kind, rendered in (("kv", fx.kv_lines), ("url", fx.url_lines)):
+        lines = parsing.landed(spark, sf_dir, kind)
+        files = [f.removeprefix("file://") for f in lines.inputFiles()]
+        text = lines.agg(F.sum(F.octet_length("line"))).first()[0]
+        assert sum(os.path.getsize(f) for f in files) < text / 3
+        assert sorted(lines.collect()) == sorted(rendered(spark, sf_dir).collect())
+    assert not any("line" in columns for columns in shuffled)
+
+
 def test_top_lists_take_ordered(spark, sf_dir):
     text = plan(summary.top_flows(fx.flows(spark, sf_dir)))
     assert "TakeOrderedAndProject" in text and text.count("partial_sum") > 0
