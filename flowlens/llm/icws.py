@@ -15,8 +15,10 @@ threshold plus 3.5 standard deviations, which misses another 0.02 %.
 - Documents whose shingles that occur elsewhere weigh less than the threshold of their whole weight cannot
   have a partner and skip the buckets; this is exact, as common shingles hold that share of both documents.
 - Documents with the same shingles and counts are collapsed by a 128-bit key before they meet buckets.
-- In a bucket all candidates are compared with its least row, its pivot. Members linked to it are one group. A bucket with
-  members of other groups gets another pivot among these, PIVOTS times in all, while groups merge across buckets. Then
+- Each candidate is compared with the least row of all its buckets, so a large group of near copies takes one pair a row, not one
+  for each bucket; linked rows are one group. Then those of other groups are compared with the least row of each bucket, its
+  pivot. A bucket with members of other groups gets another pivot among these, PIVOTS times in all, while groups merge across
+  buckets. Then
   all candidate pairs of different groups that still share a bucket are compared, each in the first band they share, so
   that none is left out; members of one group are connected and need no more links. No bucket is gathered.
 
@@ -44,7 +46,7 @@ U64 = np.uint64
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 4
 SAMPLES = 1024
 # Times that open buckets get another pivot before all open pairs are compared.
-PIVOTS = 4
+PIVOTS = 5
 # Bits of a shingle's key.
 BITS = 48
 # Random (r, beta, ln c) that keys are hashed to, shared by all samples.
@@ -284,11 +286,11 @@ def _may_link(a: str, b: str, threshold: float, exact: bool) -> Column:
 
 
 def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int, exact: bool) -> DataFrame:
-    """Candidates x < y of which one is its bucket's pivot: first the least row, later a row by hash among
-    those that are not of the least row's group."""
-    if step == 0:
-        pivots = met.groupBy("band", "hash").agg(F.min("row").alias("pivot"))
-        named = pivots.withColumn("pivot_root", F.col("pivot"))
+    """Candidates x < y of which one is its bucket's pivot: first the least row, of all buckets that a row is in; then the least
+    row of each bucket, and later a row by hash among those that are not of the least row's group."""
+    if step <= 1:
+        pivots = met.groupBy("band", "hash").agg(F.min(F.struct("row", "root")).alias("p"))
+        named = pivots.select("band", "hash", F.col("p.row").alias("pivot"), F.col("p.root").alias("pivot_root"))
     else:
         least = met.groupBy("band", "hash").agg(F.min(F.struct("row", "root")).alias("m"))
         outside = met.join(least, ["band", "hash"]).where(F.col("root") != F.col("m.root"))
@@ -297,6 +299,8 @@ def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int,
             "band", "hash", F.col("p.row").alias("pivot"), F.col("p.root").alias("pivot_root")
         )
     pairs = met.join(named, ["band", "hash"]).where(F.col("root") != F.col("pivot_root"))
+    if step == 0:
+        pairs = pairs.groupBy("row").agg(F.min("pivot").alias("pivot"))
     pairs = pairs.select(F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
     bits = marks.select("row", "bits")
     marked = pairs.join(bits.select(F.col("row").alias("x"), F.col("bits").alias("a")), "x").join(

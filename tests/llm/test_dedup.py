@@ -52,6 +52,17 @@ def partition(names, groups):
     return sorted(sorted(map(str, v)) for v in out.values())
 
 
+def test_a_large_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    """About a pair a row, though copies share many buckets, each with a pivot of its own; and one class."""
+    common = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*common[: i % 290], f"x{i}", *common[i % 290 :]])) for i in range(600)]
+    made, compared = [], icws._compared
+    monkeypatch.setattr(icws, "_compared", lambda pairs, *rest: made.append(pairs.count()) or compared(pairs, *rest))
+    found = icws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in found} == {0}
+    assert sum(made) < 1.5 * len(rows)
+
+
 def test_classes_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
