@@ -216,6 +216,17 @@ def test_scores_equal_plain_counts(spark, monkeypatch):
     assert all(abs(got[i] - want[i]) < 0.01 for i in want)
 
 
+def test_scores_learn_from_texts_of_any_length(spark, monkeypatch):
+    """Training texts that are all longer than 16 KiB teach the weights, too."""
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ado", "elu", "ira", "ost")]
+    rows = [(i, " ".join(words[(i * 7 + j * j * 3 + j // 9) % len(words)] for j in range(4500))) for i in range(1, 12)]
+    assert all(len(t) > 16 << 10 for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = sum(r["score"] for r in context_mixing.scores(docs).collect())
+    monkeypatch.setattr(context_mixing, "_sampled", lambda docs, n_docs: None)
+    assert learned > 0.99 * sum(r["score"] for r in context_mixing.scores(docs).collect())
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
     one = {r["doc_id"]: r["score"] for r in context_mixing.scores(docs).collect()}
