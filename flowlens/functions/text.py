@@ -51,6 +51,11 @@ def last_wins_map(keys: str, values: str) -> Column:
     ).otherwise(F.map_from_entries(last))
 
 
+def value_of(key: str, keys: str, values: str) -> Column:
+    """The value beside the first key of that name in two array columns; NULL without one."""
+    return F.get(values, (F.array_position(keys, F.lit(key)) - 1).cast("int"))
+
+
 def split_plain(payload: Column) -> Column:
     return F.split(payload, ",")
 

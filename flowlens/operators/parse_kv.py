@@ -49,14 +49,16 @@ def parse_kv_typed(df: DataFrame, as_of, line: str = "line") -> DataFrame:
     Adds `srcip_raw` and `dstip_raw` as they stood in the line: rows are judged by those, and an
     IPv6 address survives there.
     """
-    kv, keep = F.col("kv"), [c for c in df.columns if c != line]
+    keep = [c for c in df.columns if c != line]
     names = {n: n for n in KV_COLUMNS if n not in ("timestamp", "raw_message")} | KV_EXTRA
     keys = names | {"_date": "date", "_time": "time"}
-    # one look-up per key, in columns of their own; the typed columns use them several times
-    found = parse_kv(df, line).select(
+    # One look-up per key, in columns of their own; the typed columns use them several times. The keys are few, so
+    # they are looked up where they stand: a map of all pairs costs more than the rest of the parse.
+    pairs = kv_pairs(df, line).withColumns({"_keys": F.reverse("_keys"), "_values": F.reverse("_values")})
+    found = pairs.select(
         *keep,
         F.col(line).alias("raw_message"),
-        *[F.try_element_at(kv, F.lit(key)).alias(f"_f_{name}") for name, key in keys.items()],
+        *[text.value_of(key, "_keys", "_values").alias(f"_f_{name}") for name, key in keys.items()],
     )
 
     def column(name: str, kind: str) -> Column:

@@ -37,6 +37,14 @@ def test_kv_bad_values(spark):
     assert (int(row["eventtime"]), row["srcport"], row["dstport"], row["proto"]) == (2**64 - 1, 0, 0, 255)
 
 
+def test_kv_keys_are_looked_up_without_a_map(spark):
+    """The last of equal keys counts; a line without pairs or none at all gives defaults. No map of all pairs is built."""
+    typed = parse_kv.parse_kv_typed(lines(spark, "action=first srcip=1.2.3.4 action=\"last one\" user=a user=", "none", None), AS_OF)
+    assert [(r["action"], r["srcip"], r["username"], r["srcip_raw"]) for r in typed.collect()] == [
+        ("last one", "1.2.3.4", "a", "1.2.3.4"), ("", "0.0.0.0", "", None), ("", "0.0.0.0", "", None)]
+    assert "map_from" not in typed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_kv_window(spark):
     out = parse_kv.parse_kv_window(lines(
         spark, "x=1 date=2024-01-01 a=2 rcvdpkt=3 y=2", "a=1 b=2", "rcvdpkt=1 date=2 z=3")).collect()
