@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -35,9 +35,11 @@ def unequal(expected: DataFrame, stored: DataFrame, by: list[str], columns: list
     )
 
 
-def _within(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by])
-    return rows.alias("r").join(groups.select(*by).alias("g"), same, "left_semi").select("r.*")
+def _of_files(rows: DataFrame, files: DataFrame, file_column: str, within: Column | None = None) -> DataFrame:
+    """The rows of these files, of which there is one entry each; so the entries go to the rows, and no row is shuffled."""
+    same = F.col(f"r.{file_column}").eqNullSafe(F.col(f"g.{file_column}"))
+    same = same if within is None else same & within
+    return rows.alias("r").join(F.broadcast(files.alias("g")), same, "left_semi").select("r.*")
 
 
 def differences(expected: DataFrame, stored: DataFrame, file_column: str, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
@@ -48,9 +50,11 @@ def differences(expected: DataFrame, stored: DataFrame, file_column: str, column
     names = [file_column, *columns]
     sides = [df.select(*names, F.pmod(F.xxhash64(*columns), F.lit(buckets)).alias("bucket")) for df in (expected, stored)]
     files = unequal(*sides, [file_column], columns)
-    sides = [_within(df, files, [file_column]) for df in sides]
+    sides = [_of_files(df, files.select(file_column), file_column) for df in sides]
     groups = unequal(*sides, [file_column, "bucket"], columns)
-    parsed, kept = (_within(df, groups, [file_column, "bucket"]) for df in sides)
+    listed = groups.groupBy(file_column).agg(F.collect_list(F.col("bucket").cast("int")).alias("buckets"))
+    inside = F.array_contains(F.col("g.buckets"), F.col("r.bucket").cast("int"))
+    parsed, kept = (_of_files(df, listed, file_column, inside) for df in sides)
     each = parsed.withColumns({"p": F.lit(1), "s": F.lit(0)}).unionByName(kept.withColumns({"p": F.lit(0), "s": F.lit(1)}))
     counts = each.groupBy(*names).agg(F.sum("p").alias("parsed_copies"), F.sum("s").alias("stored_copies"))
     p, s = F.col("parsed_copies"), F.col("stored_copies")

@@ -116,7 +116,10 @@ FROM (SELECT *, 1 AS p, 0 AS s FROM parsed UNION ALL SELECT *, 0, 1 FROM stored)
 GROUP BY file, {', '.join(VERIFIED)} HAVING sum(p) <> sum(s)"""))
 def verify_content(spark, sf_dir):
     """Rows that a load lost, stored twice or changed, named by comparing checksums first."""
-    parsed = fx.flows(spark, sf_dir).select(F.concat("device_name", F.lit(".log")).alias("file"), *VERIFIED)
+    path = f"{scratch_dir(spark, 'verified')}/parsed"
+    # Written once: the comparison reads both sides several times, and each read would join the given tables again.
+    fx.flows(spark, sf_dir).select(F.concat("device_name", F.lit(".log")).alias("file"), *VERIFIED).write.parquet(path)
+    parsed = spark.read.parquet(path)
     changed = F.when(F.expr(_CHANGED), F.col("bytes_sent") + 1).otherwise(F.col("bytes_sent"))
     stored = parsed.where(f"NOT ({_LOST})").withColumn("bytes_sent", changed)
     stored = stored.unionByName(parsed.where(f"{_TWICE} AND NOT ({_LOST}) AND NOT ({_CHANGED})"))

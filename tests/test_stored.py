@@ -120,6 +120,17 @@ def test_differences_are_named(spark):
     assert verify.differences(a, a, "file", ["n", "t"]).count() == 0
 
 
+def test_files_that_differ_go_to_the_rows(spark, sf_dir):
+    """Rows are shuffled to be counted, not to be picked by file and bucket; the query joins the given tables once."""
+    from flowlens.plans.stored import verify_content
+
+    found = verify_content(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    picked = [line for line in plan if "Join LeftSemi" in line]
+    assert picked and all("strategy=broadcast" in line for line in picked)
+    assert found.inputFiles() and not any("lineitem" in path for path in found.inputFiles())
+
+
 def test_distinct_counts_merge(spark):
     """Any window and grouping of several batches, one of which ran twice, with many values, nulls and a hot value."""
     from flowlens.operators import distinct
