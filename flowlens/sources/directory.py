@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.times import month
 from flowlens.operators.paging import PAGE_SIZE, held, newest_first, sorted_rows
 from flowlens.session import path_exists
+from flowlens.sources.tables import by_month
 
 HOURS = "hour timestamp_ntz, n long"
 SECONDS = "second timestamp_ntz, n long, batch long, ym int"
@@ -27,11 +28,13 @@ def _unit(name: str, ts: str | Column) -> Column:
 
 
 def add(rows: DataFrame, path: str, ts: str = "timestamp", batch: int = 0) -> None:
-    """Add the counts of a load. The rows are read once; hours are summed up from the seconds written."""
+    """Add the counts of a load. The rows are read once; hours are summed up from the seconds written. The seconds of a month
+    are shuffled into few files, as else each task would write one for every month."""
     spark = rows.sparkSession
     seconds = rows.groupBy(_unit("SECOND", ts).alias("second")).agg(F.count(F.lit(1)).alias("n"))
     target = f"{path}/seconds/batch={batch}"
-    seconds.withColumn("ym", F.coalesce(month(F.col("second")), F.lit(0))).write.mode("overwrite").partitionBy("ym").parquet(target)
+    seconds = by_month(seconds.withColumn("ym", F.coalesce(month(F.col("second")), F.lit(0))))
+    seconds.write.mode("overwrite").partitionBy("ym").parquet(target)
     written = spark.read.schema("second timestamp_ntz, n long, ym int").parquet(target)
     hours = written.groupBy(_unit("HOUR", "second").alias("hour")).agg(F.sum("n").alias("n"))
     hours.write.mode("overwrite").parquet(f"{path}/hours/batch={batch}")

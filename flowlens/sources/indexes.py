@@ -28,6 +28,17 @@ def _file() -> Column:
     return F.col("_metadata.file_path")
 
 
+def _file_id() -> Column:
+    """Eight bytes for a path, which is longer than most values. Were two alike, both files' entries would cover both."""
+    return F.xxhash64(_file())
+
+
+def _named(index: DataFrame, table: DataFrame) -> DataFrame:
+    """Paths instead of ids."""
+    files = table.select(_file().alias("file")).distinct()
+    return index.join(files.withColumn("id", F.xxhash64("file")), "id").drop("id")
+
+
 def table_files(table: DataFrame) -> dict[str, int]:
     """Files of a table and their sizes, from the listing that a scan starts from."""
     spark = table.sparkSession
@@ -55,18 +66,19 @@ def _bit(value: Column) -> Column:
 def value_index(table: DataFrame, columns: list[str]) -> DataFrame:
     """VALUE_INDEX of the files of a table."""
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    rows = table.select(_file().alias("file"), F.inline(each)).where("value IS NOT NULL")
+    rows = table.select(_file_id().alias("id"), F.inline(each)).where("value IS NOT NULL")
     once = rows.distinct()  # values repeat much within a file, so few rows are left to shuffle
-    stats = once.groupBy("file", "column").agg(
+    stats = once.groupBy("id", "column").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.bitmap_construct_agg(_bit(F.col("value"))).alias("bits"),
     )
-    few = once.join(stats.where(F.col("n") <= VALUES).select("file", "column"), ["file", "column"], "left_semi")
-    listed = few.groupBy("file", "column").agg(F.sort_array(F.collect_set("value")).alias("listed"))
+    few = once.join(stats.where(F.col("n") <= VALUES).select("id", "column"), ["id", "column"], "left_semi")
+    listed = few.groupBy("id", "column").agg(F.sort_array(F.collect_set("value")).alias("listed"))
     bits = F.when(F.col("listed").isNull(), F.col("bits")).alias("bits")
-    return stats.join(listed, ["file", "column"], "left").select("file", "column", "n", "low", "high", bits, "listed")
+    found = stats.join(listed, ["id", "column"], "left").select("id", "column", "n", "low", "high", bits, "listed")
+    return _named(found, table).select("file", "column", "n", "low", "high", "bits", "listed")
 
 
 def _may_hold(value: Column) -> Column:
@@ -117,16 +129,17 @@ def _grams(value: Column) -> Column:
 def gram_index(table: DataFrame, columns: list[str], ts: str) -> DataFrame:
     """GRAM_INDEX of the files of a table, by gram, so that a look-up reads few row groups of it."""
     when = F.col(ts).cast("timestamp_ntz")
-    values = F.array(*[F.lower(F.col(c).cast("string")) for c in columns])
-    rows = table.select(_file().alias("file"), when.alias("ts"), F.explode(values).alias("value")).where("value IS NOT NULL")
+    values = F.array(*[F.col(c).cast("string") for c in columns])
+    rows = table.select(_file_id().alias("id"), when.alias("ts"), F.explode(values).alias("value")).where("value IS NOT NULL")
     first, last = F.min("since").alias("since"), F.max("until").alias("until")
-    once = rows.groupBy("file", "value").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count_if(F.col("ts").isNull()).alias("open"))
+    once = rows.groupBy("id", "value").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count_if(F.col("ts").isNull()).alias("open"))
     # Rows without a time may be anywhere.
-    once = once.select("file", "value", *[F.when(F.col("open") == 0, F.col(c)).alias(c) for c in ("since", "until")])
-    runs = once.select("file", F.explode(_grams(F.col("value"))).alias("gram"), "since", "until")
+    once = once.select("id", "value", *[F.when(F.col("open") == 0, F.col(c)).alias(c) for c in ("since", "until")])
+    runs = once.select("id", F.explode(_grams(F.lower("value"))).alias("gram"), "since", "until")
     some = F.count_if(F.col("since").isNull()).alias("open")
-    found = runs.groupBy("gram", "file").agg(first, last, some)
-    found = found.select("gram", "file", *[F.when(F.col("open") == 0, F.col(c)).alias(c) for c in ("since", "until")])
+    found = runs.groupBy("gram", "id").agg(first, last, some)
+    found = found.select("gram", "id", *[F.when(F.col("open") == 0, F.col(c)).alias(c) for c in ("since", "until")])
+    found = _named(found, table).select("gram", "file", "since", "until")
     return found.repartitionByRange("gram", "file").sortWithinPartitions("gram", "file")
 
 

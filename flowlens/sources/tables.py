@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.times import moment, month
-from flowlens.session import scratch_dir
+from flowlens.session import remove, scratch_dir
 
 RETENTION_DAYS = 90
+# Rows that one task sorts when a table is clustered.
+SORTED_ROWS = 500_000
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -63,9 +65,17 @@ def write_clustered(
 
     Range partitioning by month and order gives each task one stretch of time. A month or even a
     second with very many rows spreads over tasks by the later order columns and, for rows equal
-    in all of them, by a hash of the whole row.
+    in all of them, by a hash of the whole row. The rows are written once before, since finding the
+    ranges reads them, too, and their number gives that of the tasks: none sorts many more than
+    SORTED_ROWS, however large the table.
     """
-    rows = df.withColumn("ym", month(F.col(ts)))
+    spark = df.sparkSession
+    staged = scratch_dir(spark, "staged")
+    df.withColumn("ym", month(F.col(ts))).write.parquet(f"{staged}/rows")
+    rows = spark.read.parquet(f"{staged}/rows")
+    if partitions is None:
+        wanted = -(-rows.count() // SORTED_ROWS)
+        partitions = wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
     salted = rows.withColumn("_salt", F.xxhash64(*rows.columns))
     keys = ["ym", *order, "_salt"]
     ranged = (
@@ -75,6 +85,7 @@ def write_clustered(
     )
     options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
     _partitioned(ranged.sortWithinPartitions(*keys).drop("_salt"), path, "overwrite", **options)
+    remove(spark, staged)
 
 
 def retained(df: DataFrame, as_of: datetime, ts: str = "timestamp", days: int = RETENTION_DAYS) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import paging, verify
-from flowlens.session import scratch_dir
+from flowlens.session import scratch_dir, tasks_for
 from flowlens.sources import directory, indexes, tables
 
 START = datetime(2024, 1, 31, 22, 59, 58)
@@ -157,3 +157,35 @@ def test_distinct_counts_merge(spark):
     known = distinct._known(spark, path)
     assert known.count() == known.select("value").distinct().count() == known.select("bucket", "n").distinct().count()
     assert distinct.count(distinct.stored(spark, f"{path}-none", schema, "hour")).first()[0] == 0
+
+
+def test_a_month_of_the_directory_is_few_files(spark):
+    """Not one file for each task and month."""
+    at = datetime(2024, 1, 1)
+    data = [(at + timedelta(days=31 * (i % 6), seconds=i),) for i in range(6000)]
+    root = scratch_dir(spark, "test-directory")
+    directory.add(spark.createDataFrame(data, "ts timestamp_ntz").repartition(8), f"{root}/d", "ts")
+    counts = spark.read.parquet(f"{root}/d/seconds/batch=0")
+    months = counts.select("ym").distinct().count()
+    assert len(counts.inputFiles()) <= 2 * months and counts.agg(F.sum("n")).first()[0] == 6000
+
+
+def test_tasks_of_a_clustered_table_grow_with_its_rows(spark, monkeypatch):
+    """However many rows, a task sorts no more than about so many; all rows are there."""
+    monkeypatch.setattr(tables, "SORTED_ROWS", 20)
+    df = spark.range(4000).select((F.lit(START) + F.make_interval(secs="id")).cast("timestamp_ntz").alias("ts"), F.col("id").alias("n"))
+    path = f"{scratch_dir(spark, 'test-tasks')}/t"
+    tables.write_clustered(df, path, ["ts"], "ts")
+    stored = spark.read.parquet(path)
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 200 and rows(stored.drop("ym")) == rows(df)
+
+
+def test_shuffles_have_tasks_for_their_rows(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with tasks_for(spark, 10_000, each=10):
+        assert spark.conf.get(key) == "1000"
+    with tasks_for(spark, 0):
+        assert spark.conf.get(key) == before
+    assert spark.conf.get(key) == before
