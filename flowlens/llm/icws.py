@@ -9,16 +9,16 @@
 Candidates: each document gives bands * rows consistent weighted samples. A sample keeps the least ln a of the
 shingles, a value that the shingle and its quantized weight t determine, and hence stands for both. Documents
 that agree on all samples of a band meet in a bucket: at similarity 0.8, 14 bands of 4 miss 0.06 % of pairs. Documents
-that meet others give SAMPLES more, one bit of each; pairs are candidates if their bits differ in no more places than at the
-threshold plus 3.5 standard deviations, which misses another 0.02 %.
+that meet others give SAMPLES more, PLANES bits of each; pairs are candidates if no more samples differ in their bits than at
+the threshold plus 3.5 standard deviations, which misses another 0.02 %.
 
 - Documents whose shingles that occur elsewhere weigh less than the threshold of their whole weight cannot
   have a partner and skip the buckets; this is exact, as common shingles hold that share of both documents.
 - Documents with the same shingles and counts are collapsed by a 128-bit key before they meet buckets.
 - Each candidate is compared with the least row of all its buckets, so a large group of near copies takes one pair a row, not one
   for each bucket; linked rows are one group. Then those of other groups are compared with the least row of each bucket, its
-  pivot. A bucket with members of other groups gets another pivot among these, PIVOTS times in all, while groups merge across
-  buckets. Then
+  pivot. A bucket with members of other groups gets other pivots, one among these and DRAWS among all its rows, so that rows
+  meet ever new members of a large group; PIVOTS times in all, while groups merge across buckets. Then
   all candidate pairs of different groups that still share a bucket are compared, each in the first band they share, so
   that none is left out; members of one group are connected and need no more links. No bucket is gathered.
 
@@ -31,6 +31,7 @@ looked at, and stay as they are in `one_of_each`, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,9 @@ from flowlens.llm.components import components
 
 U64 = np.uint64
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 14, 4
-SAMPLES = 1024
-# Times that open buckets get another pivot before all open pairs are compared.
-PIVOTS = 5
+SAMPLES, PLANES = 1024, 4
+# Times that open buckets get other pivots before all open pairs are compared, and pivots drawn among all rows of a bucket.
+PIVOTS, DRAWS = 5, 3
 # Bits of a shingle's key.
 BITS = 48
 # Random (r, beta, ln c) that keys are hashed to, shared by all samples.
@@ -254,7 +255,7 @@ def _compared(pairs: DataFrame, sketches: DataFrame, carry: tuple[str, ...] = ()
 
 
 def _marked(sketches: DataFrame) -> DataFrame:
-    """row, bands and one bit of each of SAMPLES further samples."""
+    """row, bands and PLANES bits of each of SAMPLES further samples, plane by plane."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from flowlens.llm.words import mix
@@ -265,8 +266,9 @@ def _marked(sketches: DataFrame) -> DataFrame:
                 sets = [_weights(p) for p in part.column(2).to_pylist()]
                 starts = np.cumsum([0, *(len(k) for k, _ in sets)])[:-1]
                 found = sampler(SAMPLES, 22).samples(*(np.concatenate(x) for x in zip(*sets, strict=True)), starts)
-                ones = (mix(found.view(np.uint32).astype(U64)) >> U64(63)).astype(np.uint8)
-                bits = np.ascontiguousarray(np.packbits(ones, axis=0).T).view("<i8")
+                mixed = mix(found.view(np.uint32).astype(U64))
+                planes = [np.packbits((mixed >> U64(63 - p)).astype(np.uint8) & 1, axis=0) for p in range(PLANES)]
+                bits = np.ascontiguousarray(np.concatenate(planes).T).view("<i8")
                 yield pa.record_batch(
                     [part.column(0), part.column(1), pa.array(bits.tolist(), pa.list_(pa.int64()))], ["row", "bands", "bits"]
                 )
@@ -275,38 +277,43 @@ def _marked(sketches: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str, threshold: float, exact: bool) -> Column:
-    """Samples of a pair agree with the chance of its similarity, else their bits do by half."""
+    """Samples of a pair agree with the chance of its similarity, else all their bits do in one of 2 ** PLANES cases."""
     if exact:
         return F.lit(True)
-    chance = (1 - threshold) / 2
+    chance = (1 - threshold) * (1 - 0.5**PLANES)
     most = SAMPLES * chance + 3.5 * (SAMPLES * chance * (1 - chance)) ** 0.5
-    words = range(SAMPLES // 64)
-    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words), F.lit(0))
+    words, apart = SAMPLES // 64, F.lit(0)
+    for i in range(words):
+        differ = [F.col(a)[p * words + i].bitwiseXOR(F.col(b)[p * words + i]) for p in range(PLANES)]
+        apart += F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), differ))
     return apart <= F.lit(int(most))
 
 
-def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int, exact: bool) -> DataFrame:
-    """Candidates x < y of which one is its bucket's pivot: first the least row, of all buckets that a row is in; then the least
-    row of each bucket, and later a row by hash among those that are not of the least row's group."""
+def _pivots(met: DataFrame, step: int) -> DataFrame:
+    """band, hash, pivot, pivot_root, pivot_bits: of each bucket the least row; later DRAWS rows by hash, and one among those that
+    are not of the least row's group."""
+    of = F.struct("row", "root", "bits")
     if step <= 1:
-        pivots = met.groupBy("band", "hash").agg(F.min(F.struct("row", "root")).alias("p"))
-        named = pivots.select("band", "hash", F.col("p.row").alias("pivot"), F.col("p.root").alias("pivot_root"))
+        drawn = met.groupBy("band", "hash").agg(F.min_by(of, "row").alias("p"))
     else:
-        least = met.groupBy("band", "hash").agg(F.min(F.struct("row", "root")).alias("m"))
-        outside = met.join(least, ["band", "hash"]).where(F.col("root") != F.col("m.root"))
-        drawn = F.min(F.struct(F.xxhash64("row", F.lit(step)), "row", "root"))
-        named = outside.groupBy("band", "hash").agg(drawn.alias("p")).select(
-            "band", "hash", F.col("p.row").alias("pivot"), F.col("p.root").alias("pivot_root")
-        )
-    pairs = met.join(named, ["band", "hash"]).where(F.col("root") != F.col("pivot_root"))
+        order = [F.xxhash64("row", F.lit(step * (DRAWS + 1) + k)) for k in range(DRAWS + 1)]
+        any_row = met.groupBy("band", "hash").agg(F.array(*[F.min_by(of, o) for o in order[:DRAWS]]).alias("ps"))
+        least = met.groupBy("band", "hash").agg(F.min_by("root", "row").alias("least_root"))
+        outside = met.join(least, ["band", "hash"]).where("root != least_root")
+        other = outside.groupBy("band", "hash").agg(F.min_by(of, order[DRAWS]).alias("p"))
+        drawn = any_row.select("band", "hash", F.explode(F.array_distinct("ps")).alias("p")).unionByName(other)
+    return drawn.select("band", "hash", *[F.col(f"p.{c}").alias(n) for c, n in zip(("row", "root", "bits"), ("pivot", "pivot_root", "pivot_bits"), strict=True)])
+
+
+def _pivot_pairs(met: DataFrame, marks: DataFrame, threshold: float, step: int, exact: bool) -> DataFrame:
+    """Candidates x < y of which one is a pivot of a bucket of both. First of all, a row takes the least of its pivots alone."""
+    rows = met.join(marks.select("row", "bits"), "row")
+    pairs = rows.join(_pivots(rows, step), ["band", "hash"]).where(
+        (F.col("root") != F.col("pivot_root")) & _may_link("bits", "pivot_bits", threshold, exact)
+    )
     if step == 0:
         pairs = pairs.groupBy("row").agg(F.min("pivot").alias("pivot"))
-    pairs = pairs.select(F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
-    bits = marks.select("row", "bits")
-    marked = pairs.join(bits.select(F.col("row").alias("x"), F.col("bits").alias("a")), "x").join(
-        bits.select(F.col("row").alias("y"), F.col("bits").alias("b")), "y"
-    )
-    return marked.where(_may_link("a", "b", threshold, exact)).select("x", "y")
+    return pairs.select(F.least("row", "pivot").alias("x"), F.greatest("row", "pivot").alias("y")).distinct()
 
 
 def _open_pairs(met: DataFrame, marks: DataFrame, threshold: float, bands: int, exact: bool) -> DataFrame:

@@ -63,6 +63,19 @@ def test_a_large_group_of_near_copies_takes_few_pairs(spark, monkeypatch):
     assert sum(made) < 1.5 * len(rows)
 
 
+def test_pivots_of_a_large_bucket_change_with_the_step(spark):
+    """At first the least row; then several rows, other ones in each step, of which one is not of the least row's group."""
+    rows = [(i, 0, 5, 0 if i % 10 else i, [i]) for i in range(200)] + [(7, 1, 6, 0, [7])]
+    met = spark.createDataFrame(rows, "row long, band int, hash long, root long, bits array<long>").cache()
+    of = {step: {(r["band"], r["pivot"], r["pivot_root"], tuple(r["pivot_bits"])) for r in icws._pivots(met, step).collect()} for step in (0, 1, 2, 3)}
+    assert of[0] == of[1] == {(0, 0, 0, (0,)), (1, 7, 0, (7,))}
+    for step in (2, 3):
+        drawn = {p for band, p, _, _ in of[step] if band == 0}
+        assert icws.DRAWS <= len(drawn) <= icws.DRAWS + 1 and any(p and p % 10 == 0 for p in drawn)
+        assert of[step] <= {(band, row, root, tuple(bits)) for row, band, _, root, bits in rows}
+    assert of[2] != of[3]
+
+
 def test_classes_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
