@@ -227,6 +227,53 @@ def test_scores_learn_from_texts_of_any_length(spark, monkeypatch):
     assert learned > 0.99 * sum(r["score"] for r in context_mixing.scores(docs).collect())
 
 
+def test_bytes_of_words_with_equal_counts_are_predicted_once():
+    """What weights are learned from grows with distinct predictions, not with the bytes of the dictionary; no prediction changes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flowlens.llm import tally
+
+    words = [f"{a}{b}ing".encode() for a in "bcdfghklmnprst" for b in ("all", "ell", "ill", "oll")] + [b"\n", b"y" * 48, b"x"]
+    length = np.array([len(w) for w in words])
+    kind = np.full(len(words), context_mixing.WHOLE)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    spelled = context_mixing.Spelled(data, np.cumsum(length) - length, length, kind)
+    counts = (np.arange(len(words)) % 3).astype(np.uint64)
+    asked = pa.Table.from_batches(context_mixing._contexts(0, spelled.contexts(30), counts[spelled.word], 30, 0, 0))
+    reply = []
+    for bucket in range(context_mixing.KINDS):
+        reply += context_mixing._walked(asked.filter(pa.compute.equal(asked["bucket"], bucket << 40)).combine_chunks()).to_pylist()
+    row = context_mixing._folded(7, spelled, np.arange(len(words), dtype=np.uint64), counts, reply, 30).to_pylist()[0]
+    which = tally.unsqueeze(row["which"]).astype(np.int64)
+    found = [(of, context_mixing._path_counts(reply, k)) for k, (_, of) in enumerate(spelled.contexts(30))]
+    for left_out in (0, 1):
+        plain = context_mixing.Predictions(spelled.byte, found, 0, left_out)
+        once = context_mixing._unfolded(row["byte"], row["places"], row["widths"], row["paths"], left_out)
+        for a, b in zip(plain.at(np.arange(len(which))), once.at(which), strict=True):
+            assert np.array_equal(a, b)
+    assert len(row["byte"]) < len(which) / 2
+    weight = tally.unsqueeze(row["weight"])
+    assert weight.sum() == counts[spelled.word].sum() and len(weight) == len(row["byte"])
+
+
+def test_chunks_are_parsed_once():
+    """A packed chunk has the units, entries and numbers of the one that was parsed."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["The cat, été the CAT", "", "y" * 200 + " the " + "é" * 30, "\x1f a\tb\x0bc  ", "the cat sat on the mat"]
+    rows = context_mixing._rows([3, None, 17, 10, 4], pa.array(texts), [True, True, False, True, True], [5, 6, 7, 8, 9])
+    for part in (rows, rows.slice(0, 0), rows.slice(1, 1)):
+        one = context_mixing.Chunk(part)
+        two = context_mixing.Chunk.of(one.packed())
+        for name in ("known", "data", "lengths", "which", "gate", "doc", "long_doc", "byte", "next", "pair", "tail", "trains", "held_out", "is_token"):
+            assert np.array_equal(getattr(one, name), getattr(two, name)), name
+        assert one.table.equals(two.table) and np.array_equal(one.coded(), two.coded()) and np.array_equal(one.adds(), two.adds())
+    # Words and ends; the third text has parts of 48 bytes, and its end in another chunk.
+    assert np.bincount(context_mixing.Chunk(rows).doc).tolist() == [6, 1, 8, 5, 7]
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
     one = {r["doc_id"]: r["score"] for r in context_mixing.scores(docs).collect()}
