@@ -12,6 +12,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens import session
+
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 URL_AS_OF = datetime(2024, 1, 31, 0, 0, 0)
 
@@ -248,6 +250,30 @@ def flows(
     return _run(spark, sf_dir, FLOWS, lineitem=spread(lineitem, "l_orderkey", "l_linenumber"))
 
 
+# The same rows with customers joined to orders first, so that one shuffle of the line items is saved.
+_BY_ORDER = FLOWS.replace(
+    "{orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey",
+    "(SELECT * FROM {orders} JOIN {customer} ON o_custkey = c_custkey) ON l_orderkey = o_orderkey",
+)
+
+
+def flow_rounds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The flows in frames of about ROUND_ROWS line items by a hash of their order, to be written one after the other: the shuffles
+    of the joins, which are several times as large as what is stored, then need not lie on disk for all rows at once."""
+    rounds = -(-read(spark, sf_dir, "lineitem").count() // session.ROUND_ROWS)
+    if rounds < 2:
+        return [flows(spark, sf_dir)]
+
+    def of(table: str, key: str, number: int) -> DataFrame:
+        return read(spark, sf_dir, table).where(F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(rounds)) == number)
+
+    return [
+        _run(spark, sf_dir, _BY_ORDER, lineitem=spread(of("lineitem", "l_orderkey", i), "l_orderkey", "l_linenumber"),
+             orders=of("orders", "o_orderkey", i))
+        for i in range(rounds)
+    ]
+
+
 def urls(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """One row per event; dealt over a number of tasks if one is given."""
     events = read(spark, sf_dir, "events")

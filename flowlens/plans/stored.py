@@ -12,7 +12,7 @@ from flowlens.operators.filters import FilterSpec
 from flowlens.plans import fixtures as fx
 from flowlens.plans.pages import FLOW_ORDER_SQL
 from flowlens.plans.registry import on_flows, query
-from flowlens.session import scratch_dir, tasks_for
+from flowlens.session import scratch_dir, shuffles_dropped, tasks_for
 from flowlens.sources import directory, indexes, tables
 
 ORDER = ["ts", "src_ip", "dst_ip"]
@@ -41,9 +41,9 @@ def stored_flows(spark: SparkSession, sf_dir: str) -> Stored:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         root = scratch_dir(spark, "stored")
-        tables.write_clustered(fx.flows(spark, sf_dir), f"{root}/flows", ORDER, "ts")
+        tables.write_clustered(fx.flow_rounds(spark, sf_dir), f"{root}/flows", ORDER, "ts")
         rows = spark.read.parquet(f"{root}/flows")
-        with tasks_for(spark, rows.count()):
+        with tasks_for(spark, rows.count()), shuffles_dropped(spark):
             directory.add(rows, f"{root}/directory", "ts")
             indexes.value_index(rows, LOOKED_UP).write.parquet(f"{root}/values")
             indexes.gram_index(rows, list(FilterSpec.SEARCHED), "ts").write.parquet(f"{root}/grams")

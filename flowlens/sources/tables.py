@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.functions.times import moment, month
-from flowlens.session import remove, scratch_dir
+from flowlens import session
+from flowlens.session import remove, scratch_dir, shuffles_dropped
 
 RETENTION_DAYS = 90
 # Rows that one task sorts when a table is clustered.
@@ -54,7 +55,7 @@ def _partitioned(df: DataFrame, path: str, mode: str, **options: str) -> None:
 
 
 def write_clustered(
-    df: DataFrame,
+    df: DataFrame | list[DataFrame],
     path: str,
     order: list[str],
     ts: str = "timestamp",
@@ -68,26 +69,68 @@ def write_clustered(
     in all of them, by a hash of the whole row. The rows are written once before, since finding the
     ranges reads them, too, and their number gives that of the tasks: none sorts many more than
     SORTED_ROWS, however large the table.
+
+    Shuffled rows are several times as large as stored ones. So a table of many rows may be given as several frames, which are
+    staged one after the other, and one that is ordered by time is sorted in rounds of about ROUND_ROWS rows; the shuffle files
+    of each go before the next.
     """
-    spark = df.sparkSession
+    frames = [df] if isinstance(df, DataFrame) else df
+    spark = frames[0].sparkSession
     staged = scratch_dir(spark, "staged")
-    df.withColumn("ym", month(F.col(ts))).write.parquet(f"{staged}/rows")
-    rows = spark.read.parquet(f"{staged}/rows")
-    if partitions is None:
-        wanted = -(-rows.count() // SORTED_ROWS)
-        partitions = wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
-    salted = rows.withColumn("_salt", F.xxhash64(*rows.columns))
-    keys = ["ym", *order, "_salt"]
-    ranged = (
-        salted.repartitionByRange(*keys)
-        if partitions is None
-        else salted.repartitionByRange(partitions, *keys)
-    )
-    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
-    _partitioned(ranged.sortWithinPartitions(*keys).drop("_salt"), path, "overwrite", **options)
+    with shuffles_dropped(spark):
+        # Folders by year let a round pass over the years that it does not need.
+        extra = {"ym": month(F.col(ts))} | ({"_year": F.year(ts)} if len(frames) > 1 else {})
+        for number, frame in enumerate(frames):
+            writer = frame.withColumns(extra).write
+            (writer.partitionBy("_year") if len(frames) > 1 else writer).parquet(f"{staged}/rows/frame={number}")
+        rows = spark.read.schema(frames[0].withColumns(extra).schema).option("basePath", f"{staged}/rows").parquet(f"{staged}/rows")
+        rows = rows.select(*frames[0].columns, *extra)
+        count, columns = rows.count(), [*frames[0].columns, "ym"]
+        rounds = _rounds(rows, ts, count) if order[0] == ts else [F.lit(True)]
+        each = -(-count // len(rounds))
+        if partitions is None:
+            wanted = -(-each // SORTED_ROWS)
+            tasks = wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+        else:
+            tasks = -(-partitions // len(rounds))
+        # The hash is found where it is compared, as no other column would take so much room in a shuffle.
+        keys = ["ym", *order, F.xxhash64(*columns)]
+        options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+        for number, stretch in enumerate(rounds):
+            some = rows.where(stretch).select(*columns)
+            ranged = some.repartitionByRange(*keys) if tasks is None else some.repartitionByRange(tasks, *keys)
+            _partitioned(ranged.sortWithinPartitions(*keys), path, "append" if number else "overwrite", **options)
     remove(spark, staged)
 
 
+def _rounds(rows: DataFrame, ts: str, count: int) -> list[Column]:
+    """Predicates on stretches of time with about ROUND_ROWS of the rows each; the first one has the rows without a time. Rows of
+    one time are not parted."""
+    wanted = -(-count // session.ROUND_ROWS)
+    if wanted < 2:
+        return [F.lit(True)]
+    cuts = F.percentile_approx(ts, [i / wanted for i in range(1, wanted)])
+    named = F.transform(cuts, lambda at: F.struct(at.cast("string").alias("at"), F.year(at).alias("year")))
+    found = list(dict.fromkeys((c["at"], c["year"]) for c in rows.agg(named.alias("cuts")).first()["cuts"] or []))
+    kind = rows.schema[ts].dataType
+
+    def since(cut: tuple[str, int]) -> Column:
+        return F.col(ts) >= F.lit(cut[0]).cast(kind)
+
+    stretches = []
+    for low, high in zip([None, *found], [*found, None], strict=True):
+        inside = F.lit(True) if low is None else since(low)
+        if high is not None:
+            inside &= ~since(high) if low is not None else ~since(high) | F.col(ts).isNull()
+        if "_year" in rows.columns:
+            known = F.lit(True) if low is None else F.col("_year") >= low[1]
+            if high is not None:
+                known &= F.col("_year") <= high[1] if low is not None else (F.col("_year") <= high[1]) | F.col("_year").isNull()
+            inside &= known
+        stretches.append(inside)
+    return stretches
+
+
 def retained(df: DataFrame, as_of: datetime, ts: str = "timestamp", days: int = RETENTION_DAYS) -> DataFrame:
     """Rows not older than the retention time."""
     return df.where(F.col(ts) >= moment(as_of) - F.expr(f"INTERVAL {days} DAYS"))

@@ -1,12 +1,18 @@
 """Page directory, indexes over files, and verification of content on small tables."""
 
+import os
+import time
 from collections import Counter
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens import session
 from flowlens.operators import paging, verify
+from flowlens.plans import fixtures as fx
 from flowlens.session import scratch_dir, tasks_for
 from flowlens.sources import directory, indexes, tables
 
@@ -189,3 +195,41 @@ def test_shuffles_have_tasks_for_their_rows(spark):
     with tasks_for(spark, 0):
         assert spark.conf.get(key) == before
     assert spark.conf.get(key) == before
+
+
+def _shuffle_files(spark):
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    found = (os.path.join(d, f) for one in top for d, _, names in os.walk(one) for f in names if f.startswith("shuffle_"))
+    return set(found)
+
+
+def test_a_large_table_is_clustered_in_rounds(spark, monkeypatch):
+    """Frames, rounds within hot seconds and over years, rows without a time; no shuffle stays on disk behind them."""
+    monkeypatch.setattr(session, "ROUND_ROWS", 40)
+    times = [START] * 60 + [START + timedelta(days=5 * i, seconds=i) for i in range(150)] + [None] * 20
+    data = [(t, f"10.0.{i % 7}.{i}", i) for i, t in enumerate(times)] * 2
+    frames = [spark.createDataFrame(data[i::3], "ts timestamp_ntz, ip string, n int") for i in range(3)]
+    path, before = f"{scratch_dir(spark, 'test-rounds')}/t", _shuffle_files(spark)
+    tables.write_clustered(frames, path, ["ts", "ip"], "ts")
+    found = spark.read.parquet(path)
+    assert found.columns == ["ts", "ip", "n", "ym"]
+    assert Counter((r["ts"], r["ip"], r["n"]) for r in found.collect()) == Counter(data)
+    assert all(r["ym"] == (r["ts"] and r["ts"].year * 100 + r["ts"].month) for r in found.collect())
+    for file in found.inputFiles():
+        rows = [(r["ts"], r["ip"]) for r in spark.read.parquet(file).collect() if r["ts"]]
+        assert rows == sorted(rows)
+    until = time.time() + 20
+    while (left := _shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    tables.write_clustered([f.where("false") for f in frames], path, ["ts", "ip"], "ts")
+    assert not os.path.exists(path) or spark.read.schema(found.schema).parquet(path).count() == 0
+
+
+def test_rounds_hold_all_flows(spark, sf_dir, monkeypatch):
+    want = rows(fx.flows(spark, sf_dir))
+    assert len(fx.flow_rounds(spark, sf_dir)) == 1
+    monkeypatch.setattr(session, "ROUND_ROWS", 1500)
+    parts = fx.flow_rounds(spark, sf_dir)
+    assert len(parts) > 3 and max(p.count() for p in parts) < 3000
+    assert rows(reduce(DataFrame.unionAll, parts)) == want
