@@ -8,8 +8,9 @@ from flowlens.operators import parse_kv, rollups, validate
 from flowlens.operators import parse_positional as positional
 from flowlens.operators.filters import TimeWindow
 from flowlens.plans import fixtures as fx
+from flowlens.plans import streams
 from flowlens.plans.monitoring import land_lines
-from flowlens.session import scratch_dir
+from flowlens.session import file_sizes, scratch_dir
 from flowlens.sources import syslog
 from flowlens.streaming import ingest
 from flowlens.streaming import rollups as stream_rollups
@@ -224,3 +225,19 @@ def test_a_batch_holds_lines_and_no_typed_rows(spark, monkeypatch):
 def test_large_feeds_are_landed_in_more_files(spark):
     path = land_lines(spark, spark.range(100).select(F.col("id").cast("string").alias("line")), "test-files", maxRecordsPerFile=5)
     assert len(spark.read.text(path).inputFiles()) >= 20 and spark.read.text(path).count() == 100
+
+
+def test_a_feed_is_landed_packed_and_not_shuffled(spark, monkeypatch):
+    """Tasks write their own lines; a feed of few files is dealt anew, and no line is lost either way."""
+    lines = spark.range(0, 4000, 1, 16).select(F.when(F.col("id") % 9 != 0, F.concat(F.lit("same text " * 20), F.col("id") % 500)).alias("line"))
+    want = sorted(r["line"] or "" for r in lines.collect())
+    monkeypatch.setattr(streams, "FEED_LINES", 100)
+    for parts, files in ((16, 48), (1, 40)):
+        path = streams.land_feed(spark, lines.coalesce(parts), f"{scratch_dir(spark, 'test-feed')}/{parts}")
+        sizes = file_sizes(spark, f"{path}/part-*.gz")
+        assert len(sizes) >= files and sum(sizes) < sum(map(len, want)) / 4
+        assert sorted(r["value"] for r in spark.read.text(path).collect()) == want
+    monkeypatch.setattr(streams, "FEED_LINES", 100_000)
+    path = streams.land_feed(spark, lines.coalesce(1), f"{scratch_dir(spark, 'test-feed')}/few")
+    assert len(file_sizes(spark, f"{path}/part-*")) == 8
+    assert [streams.batch_files(spark, path, n) for n in (1, 4, 6, None)] == [1, 4, 6, None]
