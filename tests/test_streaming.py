@@ -241,3 +241,17 @@ def test_a_feed_is_landed_packed_and_not_shuffled(spark, monkeypatch):
     path = streams.land_feed(spark, lines.coalesce(1), f"{scratch_dir(spark, 'test-feed')}/few")
     assert len(file_sizes(spark, f"{path}/part-*")) == 8
     assert [streams.batch_files(spark, path, n) for n in (1, 4, 6, None)] == [1, 4, 6, None]
+
+
+def test_a_batch_does_not_grow_with_the_feed(spark, sf_dir, monkeypatch):
+    """Of a large feed no batch has more than its bytes, in stream_resume either."""
+    path = streams.land_feed(spark, fx.kv_lines(spark, sf_dir), f"{scratch_dir(spark, 'test-bytes')}/lines")
+    sizes = file_sizes(spark, f"{path}/part-*")
+    monkeypatch.setattr(streams, "BATCH_BYTES", 3 * max(sizes))
+    assert 3 <= streams.batch_files(spark, path) < len(sizes) and streams.batch_files(spark, path, 6) <= 4
+    monkeypatch.setattr(streams, "BATCH_BYTES", 1)
+    assert streams.batch_files(spark, path) == streams.batch_files(spark, path, 6) == 1
+    taken = []
+    made = syslog.stream_syslog
+    monkeypatch.setattr(syslog, "stream_syslog", lambda spark, path, max_files=None: taken.append(max_files) or made(spark, path, max_files))
+    assert streams.stream_resume(spark, sf_dir).count() > 0 and taken == [1, 1]
