@@ -255,3 +255,23 @@ def test_a_batch_does_not_grow_with_the_feed(spark, sf_dir, monkeypatch):
     made = syslog.stream_syslog
     monkeypatch.setattr(syslog, "stream_syslog", lambda spark, path, max_files=None: taken.append(max_files) or made(spark, path, max_files))
     assert streams.stream_resume(spark, sf_dir).count() > 0 and taken == [1, 1]
+
+
+def test_batches_are_compacted_in_rounds(spark, monkeypatch):
+    """Months with and without a date, one larger than a round, and rows without months: all rows, as often as they were there."""
+    root = scratch_dir(spark, "test-compact")
+    data = [(i % 7, 202401 + i % 3 if i % 11 else None) for i in range(300)] + [(i, 202402) for i in range(400)]
+    for batch in range(5):
+        rows_ = spark.createDataFrame(data[batch::5], "n int, ym int")
+        rows_.write.partitionBy("ym").parquet(f"{root}/a/batch_id={batch}")
+        rows_.drop("ym").write.parquet(f"{root}/b/batch_id={batch}")
+    monkeypatch.setattr(ingest, "COMPACTED_ROWS", 150)
+    for branch, names in (("a", ["n", "ym"]), ("b", ["n"])):
+        schema = rows_.select(*names).schema
+        stored = ingest.stored(spark, root, branch, schema)
+        assert len(ingest._rounds(stored, names[1:])) > 3
+        for _ in range(2):
+            ingest.compact_batches(spark, root, branch, schema, f"{root}/{branch}-compacted")
+        after = spark.read.schema(schema).parquet(f"{root}/{branch}-compacted")
+        assert rows(after) == rows(stored.drop("batch_id")) and after.count() == 700
+        assert len(after.inputFiles()) < len(stored.inputFiles()) or branch == "b"
